@@ -1 +1,102 @@
-"""."""
+"""TF-IDF, singular values and explained variance."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import tfidf
+from ..operators.classifiers import hashed_tfidf
+from ..operators.reduction import explained_variance, svd_transform, truncated_svd
+from ..operators.sets import split_classes
+from . import CATALOG
+from .tables import COMMANDS, LABELLED, WORD, commands, labelled, rounded, sql_tfidf, vectors
+
+
+@CATALOG.query(
+    f"""with {COMMANDS} select cmd_id, term, count(*) as tf
+    from (select cmd_id, unnest(regexp_extract_all(lower(command), '{WORD}')) as term from commands)
+    group by all"""
+)
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.term_counts(commands(spark, sf_dir))
+
+
+@CATALOG.query(
+    f"""with {COMMANDS} select term, count(distinct cmd_id) as df
+    from (select cmd_id, unnest(regexp_extract_all(lower(command), '{WORD}')) as term from commands)
+    group by term"""
+)
+def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.document_frequencies(commands(spark, sf_dir))
+
+
+@CATALOG.query(f"with {COMMANDS}, {sql_tfidf('commands')} select term, df, round(idf, 6) as idf from idf")
+def tfidf_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(tfidf.tfidf_fit(commands(spark, sf_dir)).terms, "idf")
+
+
+@CATALOG.query(
+    f"with {COMMANDS}, {sql_tfidf('commands')} select cmd_id, term, round(weight, 6) as weight from tfidf"
+)
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = commands(spark, sf_dir)
+    return rounded(tfidf.tfidf_transform(rows, tfidf.tfidf_fit(rows)), "weight")
+
+
+NORMALS = "normals as (select * from labelled where label = 0)"
+
+
+@CATALOG.query(
+    f"""with {LABELLED}, {NORMALS}, {sql_tfidf('normals', 'labelled')}
+    select cmd_id, term, round(weight, 6) as weight from tfidf"""
+)
+def tfidf_of_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled(spark, sf_dir)
+    normal, _ = split_classes(rows)
+    return rounded(tfidf.tfidf_transform(rows, tfidf.tfidf_fit(normal)), "weight")
+
+
+@CATALOG.query(
+    """select cast(64 as bigint) as k, round(sum(x * x), 4) as energy
+    from (select unnest(cast(embedding as double[])) as x from embeddings)"""
+)
+def singular_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All squared singular values together are the sum of all squared entries."""
+    rows = vectors(spark, sf_dir).select(array_to_vector("features").alias("features"))
+    singular = truncated_svd(rows, 64).singular
+    found = [(len(singular), float((singular**2).sum()))]
+    return rounded(spark.createDataFrame(found, "k long, energy double"), "energy", digits=4)
+
+
+@CATALOG.query(
+    """select vec_id as id, round(sqrt(sum(x * x)), 6) as length
+    from (select vec_id, unnest(cast(embedding as double[])) as x from embeddings) group by vec_id"""
+)
+def rotated_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates on all 64 directions keep the length of every row."""
+    rows = vectors(spark, sf_dir).select("id", array_to_vector("features").alias("features"))
+    reduced = svd_transform(rows, truncated_svd(rows.select("features"), 64))
+    length = F.sqrt(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x))
+    return rounded(reduced.select("id", length.alias("length")), "length")
+
+
+@CATALOG.query("select cast(unnest([64]) as bigint) as k, cast(1.0 as double) as explained")
+def explained_variance_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).select(array_to_vector("features").alias("features"))
+    return rounded(explained_variance(rows, [8, 16, 32, 64]), "explained").where("k = 64")
+
+
+@CATALOG.query()
+def explained_variance_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = commands(spark, sf_dir)
+    features = hashed_tfidf(rows).transform(rows).select("features")
+    return explained_variance(features, list(range(10, 60, 10)))
+
+
+@CATALOG.query()
+def reduced_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = commands(spark, sf_dir)
+    features = hashed_tfidf(rows).transform(rows).select("cmd_id", "label", "features")
+    return svd_transform(features, truncated_svd(features, 20))

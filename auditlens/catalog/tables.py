@@ -12,8 +12,18 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 SPACE = WHITESPACE_CLASS
 
 
+# Tables whose rows are heavy to process, and their unique keys.
+HEAVY = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table. A heavy one in so few files that the scan would leave cores idle is spread over
+    them; with as many scan tasks as cores, as on any large input, nothing is moved."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in HEAVY and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, HEAVY[name])
+    return df
 
 
 def _host() -> Column:

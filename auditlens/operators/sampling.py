@@ -18,6 +18,11 @@ from ..session import cut_lineage
 BUCKET_DIGITS = 4
 
 
+def _range(n: int) -> Column:
+    """The numbers 0 .. n - 1 as an array."""
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def hash_position(
     df: DataFrame, key: str, seed: int = 0, upto: int | None = None, position: str = "position"
 ) -> DataFrame:
@@ -120,7 +125,7 @@ def k_fold(
 
 def shuffle_split(df: DataFrame, splits: int, fraction: float, key: str, seed: int = 0) -> DataFrame:
     """Independent random splits: each row once per split with ``split`` and ``is_test``."""
-    tagged = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).cast("bigint"))
+    tagged = df.withColumn("split", F.explode(_range(splits)))
     return tagged.withColumn(
         "is_test",
         below_fraction(F.concat_ws("|", F.col("split"), F.col(key)), fraction, seed),
@@ -140,8 +145,7 @@ def bagging_chunks(
         .withColumn("model", F.floor((F.col("position") - 1) / chunk).cast("bigint"))
         .drop("position")
     )
-    every = F.explode(F.sequence(F.lit(0), F.lit(models - 1))).cast("bigint")
-    return chunks.unionByName(abnormals.withColumn("model", every))
+    return chunks.unionByName(abnormals.withColumn("model", F.explode(_range(models))))
 
 
 def pattern_of(command: Column, patterns: Sequence[tuple[str, str]] = REPETITIVE_PATTERNS) -> Column:
