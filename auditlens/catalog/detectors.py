@@ -174,7 +174,7 @@ def contamination_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     means as (select label, i, avg(x) as mean from entries group by all),
     centred as (select id, i, x - mean as x from entries join means using (label, i))
     select cast(a.i as bigint) as i, cast(b.i as bigint) as j,
-           round(sum(a.x * b.x) / ((select count(*) from vectors) - 2), 6) as covariance
+           round(sum(a.x * b.x) / ((select count(*) from vectors) - 2), 6) + 0.0 as covariance
     from centred a join centred b using (id) group by a.i, b.i"""
 )
 def pooled_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:

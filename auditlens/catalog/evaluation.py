@@ -115,6 +115,10 @@ def _sweep_rounded(df: DataFrame) -> DataFrame:
     return rounded(df, "bound", *SWEEP_MEASURES)
 
 
+CENTROID_GRID = """case when i = 299 then 1.2::double
+  else 0.8::double + (1.2::double - 0.8::double) / 299 * i end"""
+
+
 UNKNOWN = "chr(0) || 'unknown'"
 
 
@@ -197,7 +201,7 @@ SQL_CENTROID = f"""{LABELLED}, normals as (select * from labelled where label =
 
 @CATALOG.query(
     f"""with {SQL_CENTROID},
-    {sql_sweep('distances', '0.8 + i * (0.4 / 299)', 300, 'distance >= bound')}
+    {sql_sweep('distances', CENTROID_GRID, 300, 'distance >= bound')}
     select {SWEEP_COLUMNS} from cells where tp + fp > 0 and tp + fn > 0 and tn + fn > 0 and tn + fp > 0"""
 )
 def centroid_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +210,7 @@ def centroid_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query(
     f"""with scores as (select case when event_type = 'error' then 1 else 0 end as label, value / 10 as distance from events),
-    {sql_sweep('scores', '0.8 + i * ((1.2 - 0.8) / 299)', 300, 'distance >= bound')}
+    {sql_sweep('scores', CENTROID_GRID, 300, 'distance >= bound')}
     select {SWEEP_COLUMNS} from cells where tp + fp > 0 and tp + fn > 0 and tn + fn > 0 and tn + fp > 0"""
 )
 def score_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:

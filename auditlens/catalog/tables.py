@@ -185,10 +185,8 @@ REPORT_COLUMNS = """class, round("precision", 6) as "precision", round(recall, 6
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Round once, at the very end."""
-    for column in columns:
-        df = df.withColumn(column, F.round(column, digits))
-    return df
+    """Round once, at the very end; adding zero turns -0.0 into 0.0."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
 def report_rounded(df: DataFrame) -> DataFrame:

@@ -52,4 +52,4 @@ def run_counts(values: Column) -> Column:
         )
 
     empty = F.array().cast("array<struct<term:string,tf:bigint>>")
-    return bind(F.array_sort(values), lambda s: F.when(F.size(s) > 0, count(s)).otherwise(empty))
+    return bind(F.sort_array(values), lambda s: F.when(F.size(s) > 0, count(s)).otherwise(empty))

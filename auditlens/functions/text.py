@@ -144,16 +144,16 @@ def command_length(command: Column) -> Column:
 
 def char_entropy(text: Column) -> Column:
     """Shannon entropy of the characters in bits, rounded to 7 digits; 0 for empty text."""
-    length = F.length(text)
 
-    def add(total: Column, char: Column) -> Column:
-        share = (length - F.length(F.replace(text, char, F.lit("")))) / length
-        return total - share * F.log2(share)
+    def entropy(t: Column) -> Column:
+        def add(total: Column, char: Column) -> Column:
+            share = (F.length(t) - F.length(F.replace(t, char, F.lit("")))) / F.length(t)
+            return total - share * F.log2(share)
 
-    characters = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)."), 0))
-    return F.when(length > 0, F.round(F.aggregate(characters, F.lit(0.0), add), 7)).otherwise(
-        F.when(text.isNotNull(), F.lit(0.0))
-    )
+        characters = F.array_distinct(F.regexp_extract_all(t, F.lit("(?s)."), 0))
+        return F.when(t == "", F.lit(0.0)).otherwise(F.round(F.aggregate(characters, F.lit(0.0), add), 7))
+
+    return F.when(text.isNotNull(), bind(text, entropy))
 
 
 def substr_count(text: Column, needle: str) -> Column:

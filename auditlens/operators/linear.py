@@ -7,12 +7,94 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Numbers of one (entries x columns) block held while multiplying.
+BLOCK = 4_000_000
+
+
+def unwrap(df: DataFrame, features: str, kept: list[str]) -> DataFrame:
+    """``kept`` columns and the parts of a vector column: ``_at`` (null for a dense vector) and
+    ``_values``."""
+    rows = df.withColumn("_v", F.unwrap_udt(features))
+    return rows.select(*kept, F.col("_v.indices").alias("_at"), F.col("_v.values").alias("_values"))
+
+
+class Rows:
+    """Vectors of one Arrow batch in compressed row form."""
+
+    def __init__(self, batch: pa.RecordBatch, width: int):
+        values, at = batch.column("_values"), batch.column("_at")
+        self.n = batch.num_rows
+        self.length = pc.list_value_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.edge = np.concatenate(([0], np.cumsum(self.length)))
+        self.values = values.flatten().to_numpy(zero_copy_only=False)
+        if at.null_count == 0:
+            self.at = at.flatten().to_numpy(zero_copy_only=False)
+        else:
+            self.at = np.concatenate(
+                [np.arange(width) if one is None else np.asarray(one, dtype=np.int64) for one in at.to_pylist()]
+                or [np.zeros(0, dtype=np.int64)]
+            )
+
+    def _blocks(self, columns: int) -> Iterator[tuple[int, int]]:
+        first = 0
+        while first < self.n:
+            last = int(np.searchsorted(self.edge, self.edge[first] + BLOCK // max(1, columns), "right")) - 1
+            last = min(self.n, max(first + 1, last))
+            yield first, last
+            first = last
+
+    def times(self, matrix: np.ndarray) -> np.ndarray:
+        """Rows @ matrix."""
+        out = np.zeros((self.n, matrix.shape[1]))
+        for first, last in self._blocks(matrix.shape[1]):
+            part = slice(self.edge[first], self.edge[last])
+            filled = np.flatnonzero(self.length[first:last])
+            if len(filled):
+                products = self.values[part, None] * matrix[self.at[part]]
+                starts = self.edge[first:last][filled] - self.edge[first]
+                out[first + filled] = np.add.reduceat(products, starts, axis=0)
+        return out
+
+    def transposed_times(self, matrix: np.ndarray, out: np.ndarray) -> None:
+        """Add rows.T @ matrix to ``out``."""
+        row = np.repeat(np.arange(self.n), self.length)
+        for first, last in self._blocks(matrix.shape[1]):
+            part = slice(self.edge[first], self.edge[last])
+            order = np.argsort(self.at[part], kind="stable")
+            columns = self.at[part][order]
+            if len(columns):
+                starts = np.flatnonzero(np.concatenate(([True], columns[1:] != columns[:-1])))
+                products = self.values[part][order, None] * matrix[row[part][order]]
+                out[columns[starts]] += np.add.reduceat(products, starts, axis=0)
+
+
+def list_column(matrix: np.ndarray) -> pa.Array:
+    """Matrix rows as a list column."""
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).ravel()))
+
+
+def map_vectors(df: DataFrame, features: str, output: str, apply, width: int) -> DataFrame:
+    """Replace a vector column by ``output``, the array ``apply(Rows)`` gives per row."""
+    kept = [c for c in df.columns if c != features]
+    rows = unwrap(df, features, kept)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = list_column(apply(Rows(batch, width)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], names=[*kept, output])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema]
+    return rows.mapInArrow(project, ", ".join([*fields, f"`{output}` array<double>"]))
+
+
 def dense(features: pd.Series) -> np.ndarray:
     """Rows of equally long arrays as a matrix."""
     return np.stack(features.to_numpy()).astype(np.float64) if len(features) else np.zeros((0, 0))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ABNORMAL, DETECTOR_SEEDS, NORMAL, WHITESPACE_CLASS
+from ..functions.common import bind
 from ..functions.text import strip, tokens_strict, tokens_ws
+from ..session import cut_lineage
 from .blockjoin import BLOCK_VALUES, block_join
 from .evaluation import sweep_fraction
 from .sampling import sample_n
@@ -21,8 +23,9 @@ UNKNOWN = "\u0000unknown"
 
 
 def _sides(df: DataFrame, id: str, tokens: Column) -> DataFrame:
-    rows = df.select(F.col(id).cast("bigint").alias("id"), tokens.alias("all")).where(F.size("all") > 0)
-    return rows.select("id", F.array_distinct("all").alias("tokens"), F.size("all").alias("size"))
+    """``(id, tokens: distinct tokens, size: list size)``; the token expression runs once per row."""
+    both = bind(tokens, lambda t: F.struct(F.array_distinct(t).alias("tokens"), F.size(t).alias("size")))
+    return df.select(F.col(id).cast("bigint").alias("id"), both.alias("s")).select("id", "s.tokens", "s.size")
 
 
 def nearest_distance(
@@ -76,12 +79,15 @@ def filter_by_distance(
 def known_seeds(commands: DataFrame, seeds: Sequence[str] = DETECTOR_SEEDS) -> DataFrame:
     """``(command, tokens)`` of the seed commands, unknown tokens merged.
 
-    Only the words of the seeds are looked up in the corpus; the vocabulary is not built.
+    Only the words of the seeds are looked up, in commands that contain them at all; the vocabulary
+    is not built.
     """
     words = sorted({w for s in seeds for w in s.split()})
     spark = commands.sparkSession
+    holds = reduce(Column.__or__, [F.contains("command", F.lit(w)) for w in words])
     found = (
-        commands.select(F.explode(tokens_ws(F.col("command"))).alias("token"))
+        commands.where(holds)
+        .select(F.explode(tokens_ws(F.col("command"))).alias("token"))
         .where(F.col("token").isin(words))
         .groupBy()
         .agg(F.collect_set("token").alias("known"))
@@ -115,14 +121,17 @@ def nearest_scores(
     """
     test_normal = sample_n(normals.select("command"), n, "command", seed)
     test_abnormal = sample_n(abnormals.select("command"), n, "command", seed)
-    train = set_minus(normals.select("command"), test_normal).where("command <> ''")
     key = F.xxhash64("command")
     tests = test_normal.withColumn("label", F.lit(NORMAL)).unionByName(
         test_abnormal.withColumn("label", F.lit(ABNORMAL))
     )
-    queries = tests.select(
-        "command", "label", encoded_tokens(F.col("command"), collapse_unknown).alias("tokens")
-    ).withColumn("cmd_id", F.xxhash64("label", "command"))
+    # The sample is small and used several times.
+    queries = cut_lineage(
+        tests.select("command", "label", encoded_tokens(F.col("command"), collapse_unknown).alias("tokens"))
+        .withColumn("cmd_id", F.xxhash64("label", "command"))
+    )
+    held_out = queries.where(F.col("label") == NORMAL).select("command")
+    train = set_minus(normals.select("command"), held_out).where("command <> ''")
     seeds = known_seeds(normals.select("command").unionByName(abnormals.select("command")))
     references = (
         train.select("command", encoded_tokens(strip(F.col("command")), collapse_unknown).alias("tokens"))

@@ -92,7 +92,10 @@ class NearestOverlap:
         for first, last, shared in self.postings.products(terms, row, batch.num_rows):
             total = size[first:last, None] + self.size[None, :]
             gap = total - 2 * shared
-            value = gap / total if self.normalised else gap
+            value = gap / np.maximum(total, 1) if self.normalised else gap.astype(float)
+            # A list without tokens has no distance.
+            value[size[first:last] == 0] = np.inf
+            value[:, self.size == 0] = np.inf
             at = value.argmin(axis=0)
             nearest = value[at, each]
             better = nearest < self.best

@@ -61,16 +61,16 @@ def tfidf_vectors(
         "raw", F.col("tf") * F.col("idf")
     )
     entry = F.when(F.col("raw").isNotNull(), F.struct("term", F.col("raw").alias("weight")))
-    rows = weighted.groupBy(id, *keep).agg(F.array_sort(F.collect_list(entry)).alias("vector"))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, e: s + e["weight"] * e["weight"]))
-    return rows.withColumn("norm", norm).select(
-        id,
-        *keep,
-        F.transform(
-            "vector",
-            lambda e: F.struct(e["term"].alias("term"), (e["weight"] / F.col("norm")).alias("weight")),
-        ).alias("vector"),
+    # The norm is an aggregate, not a second walk over the finished array.
+    rows = weighted.groupBy(id, *keep).agg(
+        F.sort_array(F.collect_list(entry)).alias("entries"),
+        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"),
     )
+    unit = F.transform(
+        "entries",
+        lambda e: F.struct(e["term"].alias("term"), (e["weight"] / F.col("norm")).alias("weight")),
+    )
+    return rows.select(id, *keep, unit.alias("vector"))
 
 
 def vector_entries(vectors: DataFrame, *keep: str) -> DataFrame:

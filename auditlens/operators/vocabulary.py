@@ -56,7 +56,7 @@ def encode(
     )
     return (
         looked_up.groupBy(id)
-        .agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("placed"))
+        .agg(F.sort_array(F.flatten(F.collect_list(placed))).alias("placed"))
         .select(id, F.col("placed.token_id").alias(ids))
     )
 
