@@ -82,10 +82,16 @@ def rotated_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reduced.select("id", length.alias("length")), "length")
 
 
-@CATALOG.query("select cast(unnest([64]) as bigint) as k, cast(1.0 as double) as explained")
-def explained_variance_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vectors(spark, sf_dir).select(array_to_vector("features").alias("features"))
-    return rounded(explained_variance(rows, [8, 16, 32, 64]), "explained").where("k = 64")
+@CATALOG.query(
+    """select cast(64 as bigint) as k, round(sum(v), 6) as variance, 1.0::double as explained from (
+      select var_pop(x) as v from (
+        select unnest(range(64)) as i, unnest(cast(embedding as double[])) as x from embeddings) group by i)"""
+)
+def variance_of_all_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On all 64 directions the coordinates carry the variance of all columns."""
+    model = truncated_svd(vectors(spark, sf_dir).select(array_to_vector("features").alias("features")), 64)
+    found = [(len(model.variance), float(model.variance.sum()), float(model.ratio.sum()))]
+    return rounded(spark.createDataFrame(found, "k long, variance double, explained double"), "variance", "explained")
 
 
 @CATALOG.query()

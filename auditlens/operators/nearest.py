@@ -12,7 +12,7 @@ from ..constants import ABNORMAL, DETECTOR_SEEDS, NORMAL, WHITESPACE_CLASS
 from ..functions.common import bind
 from ..functions.text import strip, tokens_strict, tokens_ws
 from ..session import cut_lineage
-from .blockjoin import BLOCK_VALUES, block_join
+from .blockjoin import BLOCK_BYTES, block_join
 from .evaluation import sweep_fraction
 from .sampling import sample_n
 from .scanners import NearestOverlap
@@ -34,7 +34,7 @@ def nearest_distance(
     id: str = "cmd_id",
     tokens: Column | None = None,
     normalised: bool = True,
-    block_values: int = BLOCK_VALUES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(id, numerator, denominator, distance)``: smallest distance of each query to any reference.
 
@@ -49,9 +49,8 @@ def nearest_distance(
         _sides(reference, id, tokens),
         partial(NearestOverlap, normalised=normalised),
         NearestOverlap.SCHEMA,
-        F.size("tokens"),
-        F.size("tokens"),
-        block_values,
+        F.octet_length(F.array_join("tokens", "")) + 8 * F.size("tokens"),
+        block_bytes,
     )
     value = F.col("numerator") / F.col("denominator")
     best = (
@@ -113,7 +112,7 @@ def nearest_scores(
     n: int = 500,
     seed: int = 0,
     collapse_unknown: bool = True,
-    block_values: int = BLOCK_VALUES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(command, label, numerator, denominator, distance)`` of n normals and n abnormals.
 
@@ -139,7 +138,7 @@ def nearest_scores(
         .withColumn("cmd_id", key)
     )
     distances = nearest_distance(
-        queries, references, tokens=F.col("tokens"), block_values=block_values
+        queries, references, tokens=F.col("tokens"), block_bytes=block_bytes
     )
     return queries.select("cmd_id", "command", "label").join(distances, "cmd_id").drop("cmd_id")
 

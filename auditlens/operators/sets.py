@@ -38,8 +38,8 @@ def set_union(*frames: DataFrame) -> DataFrame:
 
 
 def set_minus(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct rows of ``left`` that are not in ``right``."""
-    return left.subtract(right)
+    """Distinct rows of ``left`` that are not in ``right``; copies collapse before the join."""
+    return left.distinct().subtract(right.distinct())
 
 
 def not_in(df: DataFrame, known: DataFrame, on: str) -> DataFrame:

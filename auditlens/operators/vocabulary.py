@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.common import run_positions
 from ..functions.text import tokens_ws
 from .sampling import hash_position
 
@@ -42,14 +43,12 @@ def encode(
 ) -> DataFrame:
     """``(id, ids)``: token ids in text order, -1 for unknown tokens, empty text gives [].
 
-    Positions of equal tokens travel together, so a frequent token costs one row per text in
-    the lookup join, not one per occurrence.
+    Equal tokens of a text are gathered inside its row, so a frequent token costs one row per text
+    in the lookup join, not one per occurrence.
     """
-    occurrences = (
-        df.select(id, F.posexplode_outer(tokenizer(F.col(text))).alias("pos", "token"))
-        .groupBy(id, "token")
-        .agg(F.collect_list("pos").alias("at"))
-    )
+    occurrences = df.select(
+        id, F.explode_outer(run_positions(tokenizer(F.col(text)))).alias("o")
+    ).select(id, "o.token", "o.at")
     looked_up = occurrences.join(vocabulary.select("token", "token_id"), "token", "left")
     placed = F.transform(
         F.col("at"), lambda p: F.struct(p.alias("pos"), F.coalesce("token_id", F.lit(-1)).alias("token_id"))

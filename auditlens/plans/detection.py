@@ -24,6 +24,7 @@ from ..operators.injection import inject
 from ..operators.neighbours import knn_classify
 from ..operators.sampling import below_fraction, hash_position, k_fold, train_test_split
 from ..operators.tfidf import tfidf_fit, tfidf_vectors
+from ..session import cut_lineage
 
 Predictor = Callable[[DataFrame], DataFrame]
 Detector = Callable[[DataFrame], Predictor]
@@ -90,7 +91,7 @@ def injection_report(
 
 def cross_val_score(detector: Detector, df: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """``(fold, score)``: accuracy on each fold after fitting on the others."""
-    folds = k_fold(df, k, "cmd_id", seed).persist()
+    folds = cut_lineage(k_fold(df, k, "cmd_id", seed))
     scores = [
         accuracy(detector(folds.where(F.col("fold") != i).drop("fold"))(folds.where(F.col("fold") == i).drop("fold")))
         .select(F.lit(i).cast("bigint").alias("fold"), F.col("accuracy").alias("score"))

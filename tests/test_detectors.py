@@ -32,12 +32,12 @@ def gap(a, b):
     return len(a) + len(b) - 2 * len(set(a) & set(b))
 
 
-@pytest.mark.parametrize("block_values", [10**6, 60])
+@pytest.mark.parametrize("block_bytes", [10**7, 6000])
 @pytest.mark.parametrize("normalised", [True, False])
-def test_nearest_distance_is_exact(frame, block_values, normalised):
+def test_nearest_distance_is_exact(frame, block_bytes, normalised):
     """Both plans, the broadcast scan and the grid of blocks, agree with all pairs."""
     query, reference = make_commands(40, 1), make_commands(90, 2, 1000) + [(5000 + i, "the the", 0) for i in range(45)]
-    got = nearest_distance(frame(query, CMD), frame(reference, CMD), normalised=normalised, block_values=block_values)
+    got = nearest_distance(frame(query, CMD), frame(reference, CMD), normalised=normalised, block_bytes=block_bytes)
     found = {r["cmd_id"]: r["distance"] for r in got.collect()}
     for key, text, _ in query:
         a = text.split(" ")
@@ -107,12 +107,12 @@ def as_points(vectors):
     return np.array([[v.get(t, 0.0) for t in terms] for v in vectors])
 
 
-@pytest.mark.parametrize("block_values", [10**6, 50])
-def test_sparse_neighbours(frame, block_values):
+@pytest.mark.parametrize("block_bytes", [10**7, 9000])
+def test_sparse_neighbours(frame, block_bytes):
     rows = make_commands(70, 7) + [(900 + i, "ls -l cat", 0) for i in range(30)]
     model = tfidf.tfidf_fit(frame(rows, CMD))
     vectors = tfidf.tfidf_vectors(frame(rows, CMD), model, keep=("label",))
-    near = neighbours.k_nearest(vectors, vectors, 4, "cmd_id", "label", skip_self=True, block_values=block_values)
+    near = neighbours.k_nearest(vectors, vectors, 4, "cmd_id", "label", skip_self=True, block_bytes=block_bytes)
     got = collections.defaultdict(list)
     for r in near.orderBy("cmd_id", "rank").collect():
         got[r["cmd_id"]].append((r["neighbour"], round(r["distance"], 6)))
@@ -134,11 +134,11 @@ def make_points(n, d, seed):
 VEC = "id long, features array<double>, label int"
 
 
-@pytest.mark.parametrize("block_values", [10**6, 70])
-def test_dense_neighbours_and_outliers(frame, block_values):
+@pytest.mark.parametrize("block_bytes", [10**7, 6000])
+def test_dense_neighbours_and_outliers(frame, block_bytes):
     points = make_points(90, 5, 3)
     df = frame([(i, p.tolist(), i % 2) for i, p in enumerate(points)], VEC)
-    near = neighbours.k_nearest(df, df, 6, skip_self=True, block_values=block_values).collect()
+    near = neighbours.k_nearest(df, df, 6, skip_self=True, block_bytes=block_bytes).collect()
     distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
     got = {(r["id"], r["rank"]): (r["neighbour"], r["distance"]) for r in near}
     lists, k = {}, 6
@@ -149,18 +149,18 @@ def test_dense_neighbours_and_outliers(frame, block_values):
         assert [got[i, n + 1][1] for n in range(k)] == pytest.approx([distance[i, j] for j in lists[i]], abs=1e-9)
     radius = {i: max(distance[i, j] for j in lists[i]) for i in range(90)}
     lrd = {i: 1 / (np.mean([max(distance[i, j], radius[j]) for j in lists[i]]) + 1e-10) for i in range(90)}
-    lof = {r["id"]: r["lof"] for r in neighbours.local_outlier_factor(df, k, block_values=block_values).collect()}
+    lof = {r["id"]: r["lof"] for r in neighbours.local_outlier_factor(df, k, block_bytes=block_bytes).collect()}
     for i in range(90):
         assert lof[i] == pytest.approx(np.mean([lrd[j] for j in lists[i]]) / lrd[i], rel=1e-6)
 
 
-@pytest.mark.parametrize("block_values", [10**6, 70])
-def test_classifiers_on_vectors(frame, block_values):
+@pytest.mark.parametrize("block_bytes", [10**7, 6000])
+def test_classifiers_on_vectors(frame, block_bytes):
     points = make_points(80, 4, 5)
     rows = [(i, p.tolist(), int(p[0] > 0)) for i, p in enumerate(points)]
     train, test = frame(rows[:60], VEC), frame(rows[60:], VEC)
-    knn = dict(neighbours.knn_classify(train, test, 5, block_values=block_values).collect())
-    ball = dict(neighbours.radius_classify(train, test, 1.2, unit_vectors=False, block_values=block_values).collect())
+    knn = dict(neighbours.knn_classify(train, test, 5, block_bytes=block_bytes).collect())
+    ball = dict(neighbours.radius_classify(train, test, 1.2, unit_vectors=False, block_bytes=block_bytes).collect())
     for key, features, _ in rows[60:]:
         d = sorted((round(float(np.linalg.norm(np.array(f) - features)), 9), j, label) for j, f, label in rows[:60])
         votes = collections.Counter(label for _, _, label in d[:5])
