@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import NORMAL
 from ..session import cut_lineage
 from .evaluation import sweep_score
-from .tfidf import term_scores, tfidf_fit, tfidf_vectors, vector_entries
+from .tfidf import term_scores, tfidf_fit, tfidf_transform
 
 
 @dataclass(frozen=True)
@@ -24,8 +24,7 @@ class CentroidModel:
 def centroid_fit(normals: DataFrame, id: str = "cmd_id", text: str = "command") -> CentroidModel:
     """Fit terms and centre on the normals; the term table is stored once."""
     model = tfidf_fit(normals, text)
-    entries = vector_entries(tfidf_vectors(normals, model, id, text))
-    centre = entries.groupBy("term").agg((F.sum("weight") / model.documents).alias("centre"))
+    centre = tfidf_transform(normals, model, id, text).groupBy("term").agg((F.sum("weight") / model.documents).alias("centre"))
     terms = cut_lineage(model.terms.join(centre, "term").select("term", "idf", "centre"))
     squared = terms.agg(F.coalesce(F.sum(F.col("centre") * F.col("centre")), F.lit(0.0))).first()[0]
     return CentroidModel(terms, squared)

@@ -31,7 +31,7 @@ def hash_position(
     Rows are bucketed by the first hash digits and ranked inside their bucket; the offset of a
     bucket comes from the bucket counts, at most 65,536 rows whatever the data size. With ``upto``
     buckets that start beyond it are dropped before anything is ranked, so a sample of n rows
-    shuffles about n rows.
+    shuffles about n rows. ``df`` is read twice, the first time for its key only.
     """
     tagged = df.withColumn("_hash", hash_hex(F.col(key), seed)).withColumn(
         "_bucket", F.substring("_hash", 1, BUCKET_DIGITS)
@@ -58,7 +58,8 @@ def range_position(df: DataFrame, order: Sequence[str], position: str = "positio
     """Number the rows 1, 2, ... in the order of given columns.
 
     A range-partitioned sort is written to the shared folder once; the row index inside a partition
-    comes for free and only one count per partition is added up.
+    comes for free and only one count per partition is added up. End the order with a unique
+    column, so that rows equal in the others can be split over partitions.
     """
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = cut_lineage(parts.withColumn("_mono", F.monotonically_increasing_id()))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import run_counts
 from ..functions.text import tokens_word
+from ..session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -42,10 +43,25 @@ def document_frequencies(df: DataFrame, text: str = "command") -> DataFrame:
 
 
 def tfidf_fit(df: DataFrame, text: str = "command") -> TfidfModel:
-    """Smoothed inverse document frequency, ln((1 + n) / (1 + df)) + 1."""
+    """Smoothed inverse document frequency, ln((1 + n) / (1 + df)) + 1.
+
+    The term table is stored once, so that using the model does not read the corpus again.
+    """
     n = df.count()
     idf = F.log(F.lit(1.0 + n) / (F.col("df") + 1)) + 1
-    return TfidfModel(document_frequencies(df, text).withColumn("idf", idf), n)
+    return TfidfModel(cut_lineage(document_frequencies(df, text).withColumn("idf", idf)), n)
+
+
+def _weighted(
+    df: DataFrame, terms: DataFrame, columns: tuple[str, ...], id: str, text: str, keep: tuple[str, ...]
+) -> DataFrame:
+    """``(id, *keep, term, raw, *columns)`` with raw = tf * idf. Texts stay even without terms;
+    unknown terms have nulls. A term's row is unique, so a frequent term makes the left side of
+    this join skewed only, which adaptive execution splits."""
+    counts = run_counts(tokens_word(F.col(text)))
+    long = df.select(id, *keep, F.explode_outer(counts).alias("c")).select(id, *keep, "c.term", "c.tf")
+    known = long.join(terms.select("term", "idf", *columns), "term", "left")
+    return known.withColumn("raw", F.col("tf") * F.col("idf")).drop("tf", "idf")
 
 
 def tfidf_vectors(
@@ -55,11 +71,7 @@ def tfidf_vectors(
 
     Unknown terms are dropped; a text without known terms has an empty vector.
     """
-    counts = run_counts(tokens_word(F.col(text)))
-    long = df.select(id, *keep, F.explode_outer(counts).alias("c")).select(id, *keep, "c.term", "c.tf")
-    weighted = long.join(model.terms.select("term", "idf"), "term", "left").withColumn(
-        "raw", F.col("tf") * F.col("idf")
-    )
+    weighted = _weighted(df, model.terms, (), id, text, keep)
     entry = F.when(F.col("raw").isNotNull(), F.struct("term", F.col("raw").alias("weight")))
     # The norm is an aggregate, not a second walk over the finished array.
     rows = weighted.groupBy(id, *keep).agg(
@@ -73,16 +85,14 @@ def tfidf_vectors(
     return rows.select(id, *keep, unit.alias("vector"))
 
 
-def vector_entries(vectors: DataFrame, *keep: str) -> DataFrame:
-    """Long form ``(*keep, term, weight)`` of :func:`tfidf_vectors`."""
-    return vectors.select(*keep, F.explode("vector").alias("e")).select(*keep, "e.term", "e.weight")
-
-
 def tfidf_transform(
-    df: DataFrame, model: TfidfModel, id: str = "cmd_id", text: str = "command"
+    df: DataFrame, model: TfidfModel, id: str = "cmd_id", text: str = "command", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``(id, term, weight)``, L2-normalised per text; a text without known terms has no rows."""
-    return vector_entries(tfidf_vectors(df, model, id, text), id)
+    """``(id, *keep, term, weight)``, L2-normalised per text; a text without known terms has no rows."""
+    raw = F.col("raw")
+    norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(id)))
+    weighted = _weighted(df, model.terms, (), id, text, keep).where("raw is not null")
+    return weighted.select(id, *keep, "term", (raw / norm).alias("weight"))
 
 
 def term_scores(
@@ -99,10 +109,8 @@ def term_scores(
     One lookup join and one aggregate; the vectors themselves are never built. ``norm`` is 0, and
     so are the products, for a text without known terms.
     """
-    counts = run_counts(tokens_word(F.col(text)))
-    long = df.select(id, *keep, F.explode_outer(counts).alias("c")).select(id, *keep, "c.term", "c.tf")
-    known = long.join(terms.select("term", "idf", *columns), "term", "left")
-    raw = F.col("tf") * F.col("idf")
+    known = _weighted(df, terms, columns, id, text, keep)
+    raw = F.col("raw")
     norm = F.sqrt(F.coalesce(F.sum(raw * raw), F.lit(0.0)))
     return known.groupBy(id, *keep).agg(
         norm.alias("norm"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import run_positions
 from ..functions.text import tokens_ws
+from ..session import cut_lineage
 from .sampling import hash_position
 
 
@@ -22,12 +23,14 @@ def build_vocabulary(
 
     With ``base`` the old ids are kept and new tokens continue after the largest one. New tokens
     are numbered in hash order, which needs no global sort; ids are only compared for equality.
+    The distinct tokens are stored once, so the corpus is read once.
     """
     tokens = df.select(F.explode(F.array_distinct(tokenizer(F.col(text)))).alias("token")).distinct()
     if base is None:
-        return hash_position(tokens, "token", position="token_id")
+        return hash_position(cut_lineage(tokens), "token", position="token_id")
     start = base.agg(F.coalesce(F.max("token_id"), F.lit(0))).first()[0]
-    fresh = hash_position(tokens.join(base, "token", "left_anti"), "token", position="token_id")
+    fresh = cut_lineage(tokens.join(base, "token", "left_anti"))
+    fresh = hash_position(fresh, "token", position="token_id")
     return base.select("token", "token_id").unionByName(
         fresh.select("token", (F.col("token_id") + start).alias("token_id"))
     )

@@ -12,6 +12,7 @@ from ..constants import ABNORMAL, DATASET_SEEDS, EXAMPLE_TITLES, NORMAL, PATTERN
 from ..functions.markup import extract_blocks
 from ..functions.text import clean_prompt_comment, clean_prompt_redirect, command_length, nul_to_space, strip
 from ..operators.aggregates import class_counts, java_report, length_buckets, length_histogram, program_histogram
+from ..operators.nearest import filter_by_distance
 from ..operators.sampling import cap_patterns, pattern_of, shuffle
 from ..operators.sets import (
     add_seed_rows,
@@ -23,7 +24,7 @@ from ..operators.sets import (
     split_classes,
     strip_commands,
 )
-from ..operators.nearest import filter_by_distance
+from ..session import cut_lineage
 
 
 def build_dataset(normal_logs: DataFrame, abnormal_logs: DataFrame, seed: int = 0) -> DataFrame:
@@ -51,8 +52,8 @@ def clean_normals(
     n: int = PATTERN_CAP,
 ) -> CleanNormals:
     """Distinct normals without known abnormals, repetitive patterns capped; java commands are
-    only counted, not rewritten."""
-    remaining = set_minus(normals.select("command"), abnormals.select("command"))
+    only counted, not rewritten. The distinct normals are stored once and used for all of it."""
+    remaining = cut_lineage(set_minus(normals.select("command"), abnormals.select("command")))
     capped = cap_patterns(remaining, patterns, n)
     found = remaining.select(pattern_of(F.col("command"), patterns).alias("pattern"))
     return CleanNormals(capped, class_counts(found.where("pattern is not null"), "pattern"), java_report(capped))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip, tokens_alnum
 from ..operators.sampling import hash_position
 from ..operators.vocabulary import build_vocabulary, encode, padded_batches
+from ..session import cut_lineage
 
 
 def prepare_sequences(
@@ -20,7 +21,8 @@ def prepare_sequences(
     trimmed = df.select(id, "label", strip(F.col("command")).alias("command"))
     vocabulary = build_vocabulary(trimmed, tokens_alnum)
     ids = encode(trimmed, vocabulary, tokens_alnum, id)
-    encoded = trimmed.select(id, "label").join(ids, id)
+    # Numbering and batching read the encoded rows several times.
+    encoded = cut_lineage(trimmed.select(id, "label").join(ids, id))
     ranked = hash_position(encoded, id, seed, position="rank")
     test = ranked.where(F.col("rank") <= take).drop("rank")
     train = ranked.where(F.col("rank") > take).drop("rank")
