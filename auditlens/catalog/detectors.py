@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexical import LEXICAL_COLUMNS, lexical_features
+from ..functions.text import substr_count
 from ..operators import classifiers, neighbours, tfidf
 from ..operators.bayes import bayes_fit, bayes_scores
 from ..operators.centroid import centroid_distance, centroid_fit
@@ -17,17 +18,20 @@ from ..operators.quantile import contamination_cut
 from ..operators.reduction import svd_transform, truncated_svd
 from ..operators.sampling import train_test_split
 from ..operators.sets import split_classes
+from ..plans import detection
 from ..session import scratch_path
 from . import CATALOG
 from .bayes_sql import sql_bayes
 from .evaluation import SQL_CENTROID
 from .tables import (
     LABELLED,
+    REPORT_COLUMNS,
     VECTORS,
     labelled,
     report_rounded,
     rounded,
     sql_hash,
+    sql_report,
     sql_tfidf,
     table,
     vectors,
@@ -38,8 +42,7 @@ IS_TEST = f"{sql_hash('cmd_id', 42)} < {int(0.2 * (1 << 32))}"
 IS_TEST_VECTOR = f"{sql_hash('id', 42)} < {int(0.2 * (1 << 32))}"
 
 
-@CATALOG.query(
-    f"""with {LABELLED}, train as (select * from labelled where not ({IS_TEST})),
+SQL_KNN_TEXT = f"""train as (select * from labelled where not ({IS_TEST})),
     {sql_tfidf('train', 'labelled')},
     pairs as (
       select a.cmd_id, b.cmd_id as neighbour, sum(a.weight * b.weight) as dot
@@ -52,11 +55,14 @@ IS_TEST_VECTOR = f"{sql_hash('id', 42)} < {int(0.2 * (1 << 32))}"
       select a.cmd_id, b.label, sqrt(greatest(a.own + b.own - 2 * coalesce(dot, 0), 0)) as distance
       from sizes a cross join sizes b left join pairs on pairs.cmd_id = a.cmd_id and neighbour = b.cmd_id
       where a.cmd_id in (select cmd_id from labelled where {IS_TEST}) and b.cmd_id in (select cmd_id from train)
-      qualify row_number() over (partition by a.cmd_id order by round(distance, 6), b.cmd_id) <= 3)
-    select cmd_id, cast(label as integer) as prediction from (
-      select cmd_id, label, count(*) as votes from near group by all)
-    qualify row_number() over (partition by cmd_id order by votes desc, label) = 1"""
-)
+      qualify row_number() over (partition by a.cmd_id order by round(distance, 6), b.cmd_id) <= 3),
+    knn as (
+      select cmd_id, cast(label as integer) as prediction from (
+        select cmd_id, label, count(*) as votes from near group by all)
+      qualify row_number() over (partition by cmd_id order by votes desc, label) = 1)"""
+
+
+@CATALOG.query(f"with {LABELLED}, {SQL_KNN_TEXT} select cmd_id, prediction from knn")
 def knn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = train_test_split(labelled(spark, sf_dir), 0.2, "cmd_id")
     model = tfidf.tfidf_fit(train)
@@ -183,6 +189,43 @@ def pooled_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(cells, "i long, j long, covariance double"), "covariance")
 
 
+@CATALOG.query(
+    f"""with {LABELLED},
+    points as (
+      select cmd_id, label, {IS_TEST} as is_test, length(command) / 1000.0::double as x,
+             cast(length(command) - length(replace(command, '.', '')) as double) / 10 as y from labelled),
+    train as (select * from points where not is_test),
+    means as (select label, count(*) as n, avg(x) as mx, avg(y) as my from train group by label),
+    pooled as (
+      select sum((x - mx) * (x - mx)) / (count(*) - 2) as sxx, sum((x - mx) * (y - my)) / (count(*) - 2) as sxy,
+             sum((y - my) * (y - my)) / (count(*) - 2) as syy
+      from train join means using (label)),
+    weights as (
+      select label, mx, my, (syy * mx - sxy * my) / (sxx * syy - sxy * sxy) as wx,
+             (sxx * my - sxy * mx) / (sxx * syy - sxy * sxy) as wy,
+             ln(n / (select count(*) from train)) as prior
+      from means cross join pooled),
+    scores as (
+      select cmd_id, p.label, w.label as class, x * wx + y * wy - (mx * wx + my * wy) / 2 + prior as score
+      from points p cross join weights w where is_test),
+    pairs as (
+      select cmd_id, label, max(score) filter (where class = 0) as s0, max(score) filter (where class = 1) as s1
+      from scores group by all)
+    select cmd_id, label, round(s1 - s0, 6) + 0.0 as margin, case when s1 > s0 then 1 else 0 end as prediction
+    from pairs"""
+)
+def discriminant_of_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features, so that SQL can invert the covariance."""
+    points = labelled(spark, sf_dir).select(
+        "cmd_id",
+        "label",
+        F.array(F.length("command") / 1000.0, substr_count(F.col("command"), ".") / 10).alias("features"),
+    )
+    train, test = train_test_split(points, 0.2, "cmd_id")
+    scored = lda_classify(train, test).withColumn("margin", F.col("scores")[1] - F.col("scores")[0])
+    return rounded(scored.select("cmd_id", "label", "margin", "prediction"), "margin")
+
+
 @CATALOG.query()
 def linear_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = train_test_split(vectors(spark, sf_dir), 0.2, "id")
@@ -244,3 +287,23 @@ def bagged_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     classifiers.save_models(classifiers.bagged_trees(normal, abnormal, chunk=step // 2, step=step), path)
     answers = classifiers.ensemble_predict(classifiers.load_models(spark, path), rows)
     return report_rounded(classification_report(answers))
+
+
+def _sql_report_of(relation: str) -> str:
+    return f"(with {sql_report(relation)} select {REPORT_COLUMNS} from report)"
+
+
+@CATALOG.query(
+    f"""with {LABELLED}, {SQL_KNN_TEXT},
+    fit_rows as (select 0 as f, * from train),
+    test_rows as (select 0 as f, * from labelled where {IS_TEST}),
+    {sql_bayes('fit_rows', 'test_rows')},
+    knn_rows as (select l.label, knn.prediction from knn join labelled l using (cmd_id))
+    select 'bayes' as detector, * from {_sql_report_of('bayes')}
+    union all
+    select 'knn', * from {_sql_report_of('knn_rows')}"""
+)
+def comparison_of_exact_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detectors that SQL can follow, on one split."""
+    detectors = {"bayes": detection.bayes, "knn": detection.knn}
+    return report_rounded(detection.compare_detectors(labelled(spark, sf_dir), detectors))

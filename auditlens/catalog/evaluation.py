@@ -257,9 +257,27 @@ def injection_report_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_rounded(detection.injection_report(labelled(spark, sf_dir)))
 
 
-@CATALOG.query()
+@CATALOG.query(
+    f"""with {LABELLED},
+    runs as (select s * 2 + z as f, s, case z when 0 then 0.5 else 1.0 end as size from range(2) as a(s), range(2) as b(z)),
+    sides as (
+      select f, s, size, cmd_id, command, label,
+             case when {sql_hash("s || '|' || cmd_id")} < {int(0.2 * (1 << 32))} then 'test' else 'train' end as side,
+             {sql_hash("s || '|' || cmd_id", '0-size')} < cast(size * {1 << 32} as bigint) as inside
+      from labelled cross join runs),
+    train as (select f, cmd_id, command, label from sides where side = 'train' and inside),
+    test as (select f, cmd_id, command, label from sides where side = 'test' or inside),
+    {sql_bayes('train', 'test')},
+    scores as (
+      select size, side, f, avg(case when bayes.label = prediction then 1.0 else 0.0 end) as score
+      from bayes join sides using (f, cmd_id) group by all)
+    select cast(size as double) as train_size, side, round(avg(score), 6) as mean_score,
+           round(stddev_pop(score), 6) as std_score
+    from scores group by all"""
+)
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detection.learning_curve(detection.bayes, labelled(spark, sf_dir), sizes=(0.5, 1.0), splits=2)
+    curve = detection.learning_curve(detection.bayes, labelled(spark, sf_dir), sizes=(0.5, 1.0), splits=2)
+    return rounded(curve, "mean_score", "std_score")
 
 
 @CATALOG.query()
