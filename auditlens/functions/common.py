@@ -28,14 +28,6 @@ def hash_uint32(key: Column, seed: int | str = 0) -> Column:
     return F.conv(F.substring(hash_hex(key, seed), 1, 8), 16, 10).cast("bigint")
 
 
-def _run_starts(s: Column, value: Callable[[Column], Column]) -> Column:
-    """Indexes at which a sorted, non-empty array changes its value."""
-    return F.filter(
-        F.sequence(F.lit(0), F.size(s) - 1),
-        lambda i: (i == 0) | (value(F.get(s, i)) != value(F.get(s, i - 1))),
-    )
-
-
 def run_counts(values: Column) -> Column:
     """``array<struct<term, tf>>`` of an array's distinct values, sorted, without a shuffle.
 
@@ -44,8 +36,12 @@ def run_counts(values: Column) -> Column:
     """
 
     def count(s: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1),
+            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
+        )
         return bind(
-            _run_starts(s, lambda v: v),
+            starts,
             lambda st: F.transform(
                 st,
                 lambda first, j: F.struct(
@@ -57,27 +53,3 @@ def run_counts(values: Column) -> Column:
 
     empty = F.array().cast("array<struct<term:string,tf:bigint>>")
     return bind(F.sort_array(values), lambda s: F.when(F.size(s) > 0, count(s)).otherwise(empty))
-
-
-def run_positions(values: Column) -> Column:
-    """``array<struct<token, at>>``: distinct values with the positions they occur at, built inside
-    the row like :func:`run_counts`."""
-
-    def places(s: Column) -> Column:
-        return bind(
-            _run_starts(s, lambda v: v["token"]),
-            lambda st: F.transform(
-                st,
-                lambda first, j: F.struct(
-                    F.get(s, first)["token"].alias("token"),
-                    F.transform(
-                        F.slice(s, first + 1, F.coalesce(F.get(st, j + 1), F.size(s)) - first),
-                        lambda e: e["pos"],
-                    ).alias("at"),
-                ),
-            ),
-        )
-
-    empty = F.array().cast("array<struct<token:string,at:array<int>>>")
-    tagged = F.transform(values, lambda v, i: F.struct(v.alias("token"), i.alias("pos")))
-    return bind(F.sort_array(tagged), lambda s: F.when(F.size(s) > 0, places(s)).otherwise(empty))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.common import run_positions
 from ..functions.text import tokens_ws
 from ..session import cut_lineage
 from .sampling import hash_position
@@ -46,19 +45,15 @@ def encode(
 ) -> DataFrame:
     """``(id, ids)``: token ids in text order, -1 for unknown tokens, empty text gives [].
 
-    Equal tokens of a text are gathered inside its row, so a frequent token costs one row per text
-    in the lookup join, not one per occurrence.
+    A token's row in the vocabulary is unique, so a frequent token makes only the long side of the
+    lookup join skewed, which adaptive execution splits.
     """
-    occurrences = df.select(
-        id, F.explode_outer(run_positions(tokenizer(F.col(text)))).alias("o")
-    ).select(id, "o.token", "o.at")
+    occurrences = df.select(id, F.posexplode_outer(tokenizer(F.col(text))).alias("pos", "token"))
     looked_up = occurrences.join(vocabulary.select("token", "token_id"), "token", "left")
-    placed = F.transform(
-        F.col("at"), lambda p: F.struct(p.alias("pos"), F.coalesce("token_id", F.lit(-1)).alias("token_id"))
-    )
+    entry = F.struct("pos", F.coalesce("token_id", F.lit(-1)).alias("token_id"))
     return (
         looked_up.groupBy(id)
-        .agg(F.sort_array(F.flatten(F.collect_list(placed))).alias("placed"))
+        .agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("placed"))
         .select(id, F.col("placed.token_id").alias(ids))
     )
 
