@@ -1,0 +1,138 @@
+"""Neighbour search between two large sides, pruned by the triangle inequality.
+
+Some reference rows act as pivots. Every row belongs to the cell of its nearest pivot; a query needs a
+cell only when its distance to the pivot, less the cell's radius, does not exceed the distance it
+searches within. Cells are cut into slices of bounded size by the hash of the row id, queries into
+blocks of bounded size, and only the (block, slice) pairs some query needs are compared. The result is
+exact: at worst nothing is pruned and this is the plain grid of blocks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut_lineage
+from .blockjoin import ROW_BYTES, Scanner, pack, unpack
+from .linear import list_column
+from .sampling import sample_n
+from .scanners import vectors_of
+
+PIVOTS = 64
+
+CELL = ["_home", "_block", "_cell", "_slice"]
+
+
+def _with_cells(df: DataFrame, pivots: pa.Table, sparse: bool) -> DataFrame:
+    """Add ``_far``: distances to all pivots, ``_cell``: the nearest one, ``_reach``: its distance."""
+    shared = df.sparkSession.sparkContext.broadcast(pack(pivots))
+    names = df.columns
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = vectors_of(unpack(shared.value), sparse)
+        for batch in batches:
+            far = np.zeros((batch.num_rows, len(vectors.ids)))
+            if batch.num_rows:
+                for first, last, squared, _ in vectors.squared(batch):
+                    far[first:last] = np.sqrt(np.maximum(squared, 0.0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, list_column(far)], names=[*names, "_far"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema]
+    measured = df.mapInArrow(measure, ", ".join([*fields, "_far array<double>"]))
+    reach = F.array_min("_far")
+    return measured.withColumn("_reach", reach).withColumn(
+        "_cell", (F.array_position("_far", reach) - 1).cast("int")
+    )
+
+
+def _pieces(df: DataFrame, size: Column, block_bytes: int) -> tuple[list[int], list[float]]:
+    """Per pivot: into how many pieces its rows are cut, and the largest distance to the pivot."""
+    stats = df.groupBy("_cell").agg(F.sum(size + ROW_BYTES).alias("bytes"), F.max("_reach").alias("radius"))
+    pieces, radius = [0] * PIVOTS, [float("-inf")] * PIVOTS
+    for row in stats.collect():
+        pieces[row["_cell"]] = -(-row["bytes"] // block_bytes)
+        radius[row["_cell"]] = row["radius"]
+    return pieces, radius
+
+
+def _pick(values: list, at: str) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col(at))
+
+
+def pruned_join(
+    queries: DataFrame,
+    references: DataFrame,
+    scanner: Callable[[pa.Table], Scanner],
+    schema: str,
+    sparse: bool,
+    size: Column,
+    block_bytes: int,
+    radius: float | None = None,
+    digits: int = 9,
+) -> DataFrame:
+    """Partial results per query, as :func:`auditlens.operators.blockjoin.block_join` gives them.
+
+    With ``radius`` queries search within it. Without, the scanner must be a partial of
+    ``scanners.KNearest``: a first pass over one slice of a query's own cell gives a k-th distance that the
+    true one cannot exceed.
+    """
+    columns = list(queries.columns)
+    pivots = sample_n(references, PIVOTS, "id").select(*columns).toArrow()
+    near_q = cut_lineage(_with_cells(queries, pivots, sparse))
+    near_r = cut_lineage(_with_cells(references, pivots, sparse))
+    blocks, _ = _pieces(near_q, size, block_bytes)
+    slices, reach = _pieces(near_r, size, block_bytes)
+
+    placed_r = near_r.withColumn("_slice", F.pmod(F.xxhash64("id"), _pick(slices, "_cell"))).drop("_far", "_reach")
+    placed_q = near_q.withColumn("_home", F.col("_cell")).withColumn(
+        "_block", F.pmod(F.xxhash64("id"), _pick(blocks, "_cell"))
+    )
+
+    def compare(left: DataFrame) -> DataFrame:
+        """Scan the slices that ``left`` (queries with the cell they go to) asks for."""
+        left = left.select(*columns, *CELL)
+        # Fresh names keep the two sides of the cogroup apart.
+        wanted = left.select(*[F.col(c).alias(f"{c}_of") for c in CELL]).distinct()
+        meets = (F.col("_cell") == F.col("_cell_of")) & (F.col("_slice") == F.col("_slice_of"))
+        right = placed_r.join(wanted, meets).drop("_cell", "_slice")
+        keys = [f"{c}_of" for c in CELL]
+
+        def meet(some: pa.Table, others: pa.Table) -> pa.Table:
+            work = scanner(some)
+            for batch in others.to_batches(max_chunksize=10_000):
+                work.feed(batch)
+            return work.finish()
+
+        return left.groupBy(*CELL).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+
+    if radius is None:
+        own = placed_q.where(_pick(slices, "_cell") > 0).withColumn("_slice", F.lit(0).cast("bigint"))
+        k = scanner.keywords["k"]
+        found = compare(own).groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("_bound"))
+        bounds = cut_lineage(found.where(F.col("n") >= k).select("id", "_bound"))
+        placed_q = placed_q.join(bounds, "id", "left")
+        within = F.coalesce(F.col("_bound"), F.lit(float("inf")))
+    else:
+        within = F.lit(radius)
+
+    # Room for rounding in the comparison of distances and in the distances to the pivots.
+    slack = 2 * 10.0**-digits + 1e-6 * (1 + F.array_max("_far"))
+    radii = F.array(*[F.lit(r) for r in reach])
+    needed = F.filter(
+        F.sequence(F.lit(0), F.lit(PIVOTS - 1)),
+        lambda p: F.get("_far", p) - F.get(radii, p) <= F.col("_within"),
+    )
+    targets = (
+        placed_q.withColumn("_within", within + slack)
+        .withColumn("_cell", F.explode(needed))
+        .where(_pick(slices, "_cell") > 0)
+        .withColumn("_last", _pick(slices, "_cell") - 1)
+        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+        .withColumn("_slice", F.col("_slice").cast("bigint"))
+    )
+    return compare(targets)
+

@@ -136,13 +136,14 @@ class _Sparse(_Vectors):
         super().__init__(queries)
         terms, owner = _lists(queries["terms"])
         weights = _one(queries["weights"]).flatten().to_numpy(zero_copy_only=False)
-        self.norms = np.bincount(owner, weights=weights**2, minlength=len(self.ids))
+        # An empty bincount has whole numbers, whatever its weights.
+        self.norms = np.bincount(owner, weights=weights**2, minlength=len(self.ids)).astype(float)
         self.postings = _Postings(terms, owner, len(self.ids), weights)
 
     def squared(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, float]]:
         terms, row = _lists(batch.column("terms"))
         weights = batch.column("weights").flatten().to_numpy(zero_copy_only=False)
-        norms = np.bincount(row, weights=weights**2, minlength=batch.num_rows)
+        norms = np.bincount(row, weights=weights**2, minlength=batch.num_rows).astype(float)
         largest = max(norms.max(), self.norms.max())
         for first, last, dots in self.postings.products(terms, row, batch.num_rows, weights):
             yield first, last, norms[first:last, None] + self.norms[None, :] - 2 * dots, largest
@@ -179,6 +180,10 @@ class _Dense(_Vectors):
         return found
 
 
+def vectors_of(queries: pa.Table, sparse: bool) -> _Vectors:
+    return (_Sparse if sparse else _Dense)(queries)
+
+
 class KNearest:
     """The k nearest references per query, ties by reference id.
 
@@ -189,7 +194,7 @@ class KNearest:
     SCHEMA = "id long, neighbour long, distance double, label int"
 
     def __init__(self, queries: pa.Table, k: int, sparse: bool, digits: int, skip_self: bool):
-        self.vectors = (_Sparse if sparse else _Dense)(queries)
+        self.vectors = vectors_of(queries, sparse)
         self.k, self.digits, self.skip_self = k, digits, skip_self
         self.limit = np.full(len(self.vectors.ids), np.inf)
         self.kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32)]
@@ -245,7 +250,7 @@ class RadiusCounts:
     SCHEMA = "id long, label int, n long"
 
     def __init__(self, queries: pa.Table, radius: float, sparse: bool, digits: int):
-        self.vectors = (_Sparse if sparse else _Dense)(queries)
+        self.vectors = vectors_of(queries, sparse)
         self.radius, self.digits = radius, digits
         self.counts: dict[int, np.ndarray] = {}
 

@@ -346,3 +346,33 @@ def test_first_majority(frame):
     df = frame([(0, [1, 0]), (1, [0, 1, 1]), (2, [0, 1]), (3, [2])], "i int, a array<int>")
     got = dict(df.select("i", classifiers.first_majority(F.col("a")).alias("v")).collect())
     assert got == {0: 1, 1: 1, 2: 0, 3: 2}
+
+
+def test_pruning_skips_far_cells(frame):
+    """Clusters far apart: a query meets the rows of its own surroundings, not all rows."""
+    import pyarrow as pa
+
+    from auditlens.operators.pivots import pruned_join
+
+    class CountRows:
+        """(id, label, n): how many reference rows each query was compared with."""
+
+        def __init__(self, queries):
+            self.ids, self.seen = queries["id"], 0
+
+        def feed(self, batch):
+            self.seen += batch.num_rows
+
+        def finish(self):
+            n = len(self.ids)
+            return pa.table({"id": self.ids, "label": pa.array([0] * n, pa.int32()), "n": pa.array([self.seen] * n, pa.int64())})
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(20, 4)) * 100
+    points = centres[np.arange(600) % 20] + rng.normal(size=(600, 4))
+    df = frame([(i, p.tolist(), 0) for i, p in enumerate(points)], VEC).select("id", "features", F.lit(0).alias("label"))
+    met = pruned_join(df.drop("label"), df, CountRows, "id long, label int, n long", False, 8 * F.size("features"), 8000, 3.0)
+    seen = {r["id"]: r["s"] for r in met.groupBy("id").agg(F.sum("n").alias("s")).collect()}
+    inside = (np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)) <= 3.0).sum(axis=1)
+    assert all(seen[i] >= inside[i] for i in range(600))
+    assert sum(seen.values()) < 0.2 * 600 * 600
