@@ -21,7 +21,7 @@ def built_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.build_dataset(normal, abnormal).withColumn("command", F.md5("command"))
 
 
-ABNORMAL_PROCESS = "l_orderkey % 11 = 0"
+ABNORMAL_PROCESS = "label = 1"
 
 
 def _process_classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -30,10 +30,10 @@ from .tables import (
 
 @CATALOG.query(
     f"""with {LINES} select label, count(*) as n, cast(sum(length(command)) as bigint) as characters
-    from (select doc_id % 2 as label, command from lines where command <> '') group by label"""
+    from lines where command <> '' group by label"""
 )
 def class_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sets.non_empty(lines(spark, sf_dir).withColumn("label", F.col("doc_id") % 2))
+    rows = sets.non_empty(lines(spark, sf_dir))
     normal, abnormal = sets.split_classes(rows)
     sides = [
         side.groupBy("label").agg(
@@ -44,35 +44,28 @@ def class_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
-def _two_class_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).select("doc_id", "pos", "command", (F.col("doc_id") % 7 == 0).cast("int").alias("label"))
-
-
-TWO_CLASS = f"""{LINES}, two as (
-  select doc_id, pos, command, case when doc_id % 7 = 0 then 1 else 0 end as label from lines)"""
-
-
 @CATALOG.query(
-    f"""with {TWO_CLASS} select doc_id, pos, label from two
-    where label = 1 or command not in (select command from two where label = 1)"""
+    f"""with {LINES} select doc_id, pos, label from lines
+    where label = 1 or command not in (select command from lines where label = 1)"""
 )
 def conflicts_keep_abnormal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.remove_conflicts(_two_class_lines(spark, sf_dir), keep=1).select("doc_id", "pos", "label")
+    return sets.remove_conflicts(lines(spark, sf_dir), keep=1).select("doc_id", "pos", "label")
 
 
 @CATALOG.query(
-    f"""with {TWO_CLASS} select doc_id, pos, label from two
-    where label = 0 or command not in (select command from two where label = 0)"""
+    f"""with {LINES} select doc_id, pos, label from lines
+    where label = 0 or command not in (select command from lines where label = 0)"""
 )
 def conflicts_keep_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sets.remove_conflicts(_two_class_lines(spark, sf_dir), keep=0).select("doc_id", "pos", "label")
+    return sets.remove_conflicts(lines(spark, sf_dir), keep=0).select("doc_id", "pos", "label")
 
 
 @CATALOG.query(
-    f"""with {TWO_CLASS} select command from two where label = 0 except select command from two where label = 1"""
+    f"""with {LINES}
+    select command from lines where label = 0 except select command from lines where label = 1"""
 )
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    normal, abnormal = sets.split_classes(_two_class_lines(spark, sf_dir))
+    normal, abnormal = sets.split_classes(lines(spark, sf_dir))
     return sets.set_minus(normal.select("command"), abnormal.select("command"))
 
 

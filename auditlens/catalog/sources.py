@@ -66,14 +66,12 @@ def source_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query(
     f"""with {LINES}
-    select command, cast(doc_id % 2 as integer) as label, 'agent1' as host, count(*) as n
+    select command, label, 'agent1' as host, count(*) as n
     from lines where trim(command) <> '' group by all"""
 )
 def labelled_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "labelled")
-    rows = lines(spark, sf_dir).select(
-        F.replace("command", F.lit(" "), F.lit(NUL)).alias("command"), (F.col("doc_id") % 2).alias("label")
-    )
+    rows = lines(spark, sf_dir).select(F.replace("command", F.lit(" "), F.lit(NUL)).alias("command"), "label")
     write_labelled_csv(rows, path)
     return read_labelled_csv(spark, path, "agent1").groupBy("command", "label", "host").agg(
         F.count("*").alias("n")

@@ -70,15 +70,16 @@ LABELLED = """labelled as (
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every document as a command."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("pos", "command")
-    ).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "command")
+    """Every line of every document as a command, with the label of its document."""
+    return commands(spark, sf_dir).select(
+        F.col("cmd_id").alias("doc_id"), "label", F.posexplode(F.split("command", "\n")).alias("pos", "command")
+    ).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "command", "label")
 
 
 LINES = """lines as (
-  select doc_id, unnest(range(len(p))) as pos, unnest(p) as command
-  from (select doc_id, string_split(text, chr(10)) as p from documents))"""
+  select doc_id, label, unnest(range(len(p))) as pos, unnest(p) as command
+  from (select d.doc_id, cast(coalesce(l.toxic, 0) as integer) as label, string_split(d.text, chr(10)) as p
+        from documents d left join labels l using (doc_id)))"""
 
 
 def process_commands(spark: SparkSession, sf_dir: str) -> DataFrame:

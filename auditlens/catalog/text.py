@@ -186,7 +186,7 @@ def prompt_lines_redirect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query(
     f"""with {LINES}, raised as (
-      select case when doc_id % 3 = 0 then 'sudo ' || command else command end as command from lines
+      select case when label = 1 then 'sudo ' || command else command end as command from lines
       where command <> '')
     select command, count(*) as n from (
       select command from raised union all
@@ -195,7 +195,7 @@ def prompt_lines_redirect(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sudo_augmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     raised = lines(spark, sf_dir).where("command <> ''").select(
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("sudo "), "command"))
+        F.when(F.col("label") == 1, F.concat(F.lit("sudo "), "command"))
         .otherwise(F.col("command"))
         .alias("command")
     )

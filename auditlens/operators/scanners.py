@@ -91,18 +91,19 @@ class NearestOverlap:
         each = np.arange(len(self.ids))
         for first, last, shared in self.postings.products(terms, row, batch.num_rows):
             total = size[first:last, None] + self.size[None, :]
-            gap = total - 2 * shared
-            value = gap / np.maximum(total, 1) if self.normalised else gap.astype(float)
+            # 1 - 2 x overlap / total is smallest where overlap / total is largest.
+            rank = -shared / np.maximum(total, 1) if self.normalised else (total - 2 * shared).astype(float)
             # A list without tokens has no distance.
-            value[size[first:last] == 0] = np.inf
-            value[:, self.size == 0] = np.inf
-            at = value.argmin(axis=0)
-            nearest = value[at, each]
+            if not size[first:last].all():
+                rank[size[first:last] == 0] = np.inf
+            at = rank.argmin(axis=0)
+            nearest = np.where(self.size > 0, rank[at, each], np.inf)
             better = nearest < self.best
+            at, each_better = at[better], each[better]
             self.best[better] = nearest[better]
-            self.numerator[better] = gap[at, each][better]
+            self.numerator[better] = total[at, each_better] - 2 * shared[at, each_better]
             if self.normalised:
-                self.denominator[better] = total[at, each][better]
+                self.denominator[better] = total[at, each_better]
 
     def finish(self) -> pa.Table:
         found = np.isfinite(self.best)
