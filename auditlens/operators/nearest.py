@@ -13,6 +13,7 @@ from ..functions.common import bind
 from ..functions.text import strip, tokens_strict, tokens_ws
 from ..session import cut_lineage
 from .blockjoin import BLOCK_BYTES, block_join
+from .cells import size_join
 from .evaluation import sweep_fraction
 from .sampling import sample_n
 from .scanners import NearestOverlap
@@ -44,13 +45,20 @@ def nearest_distance(
     ``command``. Queries without tokens or without a reference get nulls.
     """
     tokens = tokens_strict(F.col("command")) if tokens is None else tokens
+    scanner = partial(NearestOverlap, normalised=normalised)
+    size = F.octet_length(F.array_join("tokens", "")) + 8 * F.size("tokens")
+
+    def by_size(some: DataFrame, others: DataFrame) -> DataFrame:
+        return size_join(some, others, scanner, NearestOverlap.SCHEMA, size, block_bytes, normalised)
+
     partials = block_join(
         _sides(query, id, tokens),
         _sides(reference, id, tokens),
-        partial(NearestOverlap, normalised=normalised),
+        scanner,
         NearestOverlap.SCHEMA,
-        F.octet_length(F.array_join("tokens", "")) + 8 * F.size("tokens"),
+        size,
         block_bytes,
+        by_size,
     )
     value = F.col("numerator") / F.col("denominator")
     best = (

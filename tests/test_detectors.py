@@ -352,7 +352,7 @@ def test_pruning_skips_far_cells(frame):
     """Clusters far apart: a query meets the rows of its own surroundings, not all rows."""
     import pyarrow as pa
 
-    from auditlens.operators.pivots import pruned_join
+    from auditlens.operators.cells import pivot_join
 
     class CountRows:
         """(id, label, n): how many reference rows each query was compared with."""
@@ -371,8 +371,63 @@ def test_pruning_skips_far_cells(frame):
     centres = rng.normal(size=(20, 4)) * 100
     points = centres[np.arange(600) % 20] + rng.normal(size=(600, 4))
     df = frame([(i, p.tolist(), 0) for i, p in enumerate(points)], VEC).select("id", "features", F.lit(0).alias("label"))
-    met = pruned_join(df.drop("label"), df, CountRows, "id long, label int, n long", False, 8 * F.size("features"), 8000, 3.0)
+    met = pivot_join(df.drop("label"), df, CountRows, "id long, label int, n long", False, 8 * F.size("features"), 8000, radius=3.0)
     seen = {r["id"]: r["s"] for r in met.groupBy("id").agg(F.sum("n").alias("s")).collect()}
     inside = (np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)) <= 3.0).sum(axis=1)
     assert all(seen[i] >= inside[i] for i in range(600))
     assert sum(seen.values()) < 0.2 * 600 * 600
+
+
+def test_nearest_distance_over_many_sizes(frame):
+    """Lists of 1 to 150 tokens: the search by size skips far sizes and stays exact."""
+    rng = random.Random(31)
+    words = [f"w{i}" for i in range(60)]
+
+    def texts(n, start):
+        return [(start + i, " ".join(rng.choice(words) for _ in range(int(150 ** rng.random()))), 0) for i in range(n)]
+
+    query, reference = texts(60, 0) + [(99, " ".join(words * 9), 0)], texts(150, 1000)
+    for normalised in (True, False):
+        got = nearest_distance(frame(query, CMD), frame(reference, CMD), normalised=normalised, block_bytes=9000)
+        found = {r["cmd_id"]: r["distance"] for r in got.collect()}
+        for key, text, _ in query:
+            a = text.split(" ")
+            lists = [t.split(" ") for _, t, _ in reference]
+            best = min(gap(a, b) / (len(a) + len(b) if normalised else 1) for b in lists)
+            assert found[key] == pytest.approx(best, abs=1e-12)
+
+
+def test_search_by_size_skips_far_sizes(frame):
+    import pyarrow as pa
+
+    from auditlens.operators import cells, scanners
+    from auditlens.operators.nearest import _sides
+
+    class Counting(scanners.NearestOverlap):
+        """Counts the compared rows in the numerator of an extra row per query."""
+
+        def __init__(self, queries):
+            super().__init__(queries)
+            self.seen = 0
+
+        def feed(self, batch):
+            super().feed(batch)
+            self.seen += batch.num_rows
+
+        def finish(self):
+            extra = pa.table(
+                {
+                    "id": self.ids.cast(pa.int64()),
+                    "numerator": pa.array([10**9 + self.seen] * len(self.ids), pa.int64()),
+                    "denominator": pa.array([1] * len(self.ids), pa.int64()),
+                }
+            )
+            return pa.concat_tables([super().finish(), extra])
+
+    lists = [(i, " ".join(f"t{i % 3}x{j}" for j in range(3 ** (i % 6))), 0) for i in range(300)]
+    sides = _sides(frame(lists, CMD), "cmd_id", tfidf.tokens_word(F.col("command")))
+    met = cells.size_join(sides, sides, Counting, scanners.NearestOverlap.SCHEMA, 8 * F.size("tokens"), 20_000, True)
+    seen = met.where("numerator >= 1000000000").agg(F.sum(F.col("numerator") - 10**9)).first()[0]
+    assert 300 * 50 <= seen < 0.4 * 300 * 300
+    best = met.where("numerator < 1000000000").groupBy("id").agg(F.min(F.col("numerator") / F.col("denominator")))
+    assert all(r[1] == 0.0 for r in best.collect()) and best.count() == 300
