@@ -63,14 +63,16 @@ def _compare_cells(
     turns that bound into the distance to search within; ``lower`` is a cell's lower bound.
     """
     blocks, slices = (_pieces(df, size, block_bytes) for df in (queries, references))
-    placed = references.withColumn("_slice", F.pmod(F.xxhash64("id"), _pick(slices, F.col("_cell"))))
+    # Fresh names keep the two sides of the cogroup apart, also when a frame is compared with itself.
+    placed = references.select(*[F.col(c).alias(c) for c in references.columns]).withColumn(
+        "_slice", F.pmod(F.xxhash64("id"), _pick(slices, F.col("_cell")))
+    )
     asking = queries.withColumn("_home", F.col("_cell")).withColumn(
         "_block", F.pmod(F.xxhash64("id"), _pick(blocks, F.col("_cell")))
     )
 
     def compare(left: DataFrame) -> DataFrame:
         left = left.select(*columns, *KEYS)
-        # Fresh names keep the two sides of the cogroup apart.
         wanted = left.select(*[F.col(c).alias(f"{c}_of") for c in KEYS]).distinct()
         meets = (F.col("_cell") == F.col("_cell_of")) & (F.col("_slice") == F.col("_slice_of"))
         right = placed.join(wanted, meets).drop("_cell", "_slice")
@@ -103,6 +105,18 @@ def _compare_cells(
     return compare(targets)
 
 
+def collapse(df: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One row (id, *payload) per distinct payload, and the (id, rep) of every row.
+
+    Equal queries have equal answers, so only one of them searches. Copies are counted away before
+    the shuffle, and the representative is unique per payload, so a payload shared by much of the
+    data makes only the long side of the join skewed.
+    """
+    unique = cut_lineage(df.groupBy(*payload).agg(F.min("id").alias("rep")))
+    copies = df.join(unique, payload).select("id", "rep")
+    return unique.select(F.col("rep").alias("id"), *payload), copies
+
+
 def _to_pivots(df: DataFrame, pivots: pa.Table, sparse: bool) -> DataFrame:
     """Add ``_far``: distances to all pivots, ``_cell``: the nearest one, ``_reach``: its distance."""
     shared = df.sparkSession.sparkContext.broadcast(pack(pivots))

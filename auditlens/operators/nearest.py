@@ -13,7 +13,7 @@ from ..functions.common import bind
 from ..functions.text import strip, tokens_strict, tokens_ws
 from ..session import cut_lineage
 from .blockjoin import BLOCK_BYTES, block_join
-from .cells import size_join
+from .cells import collapse, size_join
 from .evaluation import sweep_fraction
 from .sampling import sample_n
 from .scanners import NearestOverlap
@@ -29,6 +29,12 @@ def _sides(df: DataFrame, id: str, tokens: Column) -> DataFrame:
     return df.select(F.col(id).cast("bigint").alias("id"), both.alias("s")).select("id", "s.tokens", "s.size")
 
 
+def _smallest(partials: DataFrame) -> DataFrame:
+    value = F.col("numerator") / F.col("denominator")
+    best = F.min(F.struct(value.alias("distance"), "numerator", "denominator")).alias("best")
+    return partials.groupBy("id").agg(best).select("id", "best.numerator", "best.denominator", "best.distance")
+
+
 def nearest_distance(
     query: DataFrame,
     reference: DataFrame,
@@ -49,7 +55,11 @@ def nearest_distance(
     size = F.octet_length(F.array_join("tokens", "")) + 8 * F.size("tokens")
 
     def by_size(some: DataFrame, others: DataFrame) -> DataFrame:
-        return size_join(some, others, scanner, NearestOverlap.SCHEMA, size, block_bytes, normalised)
+        some, others = (df.withColumn("tokens", F.sort_array("tokens")) for df in (some, others))
+        queries, copies = collapse(some, ["tokens", "size"])
+        references, _ = collapse(others, ["tokens", "size"])
+        found = size_join(queries, references, scanner, NearestOverlap.SCHEMA, size, block_bytes, normalised)
+        return copies.join(_smallest(found).withColumnRenamed("id", "rep"), "rep").drop("rep", "distance")
 
     partials = block_join(
         _sides(query, id, tokens),
@@ -60,12 +70,7 @@ def nearest_distance(
         block_bytes,
         by_size,
     )
-    value = F.col("numerator") / F.col("denominator")
-    best = (
-        partials.groupBy("id")
-        .agg(F.min(F.struct(value.alias("distance"), "numerator", "denominator")).alias("best"))
-        .select("id", "best.numerator", "best.denominator", "best.distance")
-    )
+    best = _smallest(partials)
     ids = query.select(F.col(id).cast("bigint").alias("id"))
     return ids.join(best, "id", "left").withColumnRenamed("id", id)
 

@@ -246,7 +246,8 @@ class KNearest:
 
 
 class RadiusCounts:
-    """Neighbours within a radius per query and label: (id, label, n)."""
+    """Neighbours within a radius per query and label: (id, label, n). A reference row stands for ``n``
+    equal ones."""
 
     SCHEMA = "id long, label int, n long"
 
@@ -259,10 +260,12 @@ class RadiusCounts:
         if not len(self.vectors.ids) or not batch.num_rows:
             return
         labels = batch.column("label").to_numpy(zero_copy_only=False)
+        weight = batch.column("n").to_numpy(zero_copy_only=False)
         for first, last, squared, _ in self.vectors.squared(batch):
             inside = np.round(np.sqrt(np.maximum(squared, 0.0)), self.digits) <= self.radius
             for label in np.unique(labels[first:last]):
-                hits = inside[labels[first:last] == label].sum(axis=0)
+                own = labels[first:last] == label
+                hits = (inside[own] * weight[first:last][own, None]).sum(axis=0)
                 self.counts[int(label)] = self.counts.get(int(label), 0) + hits
 
     def finish(self) -> pa.Table:
