@@ -24,7 +24,8 @@ class CentroidModel:
 def centroid_fit(normals: DataFrame, id: str = "cmd_id", text: str = "command") -> CentroidModel:
     """Fit terms and centre on the normals; the term table is stored once."""
     model = tfidf_fit(normals, text)
-    centre = tfidf_transform(normals, model, id, text).groupBy("term").agg((F.sum("weight") / model.documents).alias("centre"))
+    weights = tfidf_transform(normals, model, id, text)
+    centre = weights.groupBy("term").agg((F.sum("weight") / model.documents).alias("centre"))
     terms = cut_lineage(model.terms.join(centre, "term").select("term", "idf", "centre"))
     squared = terms.agg(F.coalesce(F.sum(F.col("centre") * F.col("centre")), F.lit(0.0))).first()[0]
     return CentroidModel(terms, squared)

@@ -37,10 +37,11 @@ def classification_report(
         "n",
         F.explode(F.array_distinct(F.array("l", "p"))).alias("class"),
     )
+    hit, said = F.col("l") == F.col("class"), F.col("p") == F.col("class")
     per_class = sides.groupBy(*by, "class").agg(
-        F.sum(F.when((F.col("l") == F.col("class")) & (F.col("p") == F.col("class")), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("p") == F.col("class"), F.col("n")).otherwise(0)).alias("predicted"),
-        F.sum(F.when(F.col("l") == F.col("class"), F.col("n")).otherwise(0)).alias("support"),
+        F.sum(F.when(hit & said, F.col("n")).otherwise(0)).alias("tp"),
+        F.sum(F.when(said, F.col("n")).otherwise(0)).alias("predicted"),
+        F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("support"),
     )
     scored = (
         per_class.withColumn("precision", _ratio(F.col("tp"), F.col("predicted")))
@@ -104,7 +105,8 @@ def bounds_below(score: Column, bounds: Sequence[float], strict: bool) -> Column
     first, step = bounds[0], (bounds[-1] - bounds[0]) / (len(bounds) - 1)
     grid = F.array(*[F.lit(float(b)) for b in bounds])
     # The clamp comes before the cast, so that far-off scores stay inside the grid.
-    guess = F.greatest(F.lit(0.0), F.least(F.floor((score - first) / step).cast("double"), F.lit(float(len(bounds)))))
+    place = F.floor((score - first) / step).cast("double")
+    guess = F.greatest(F.lit(0.0), F.least(place, F.lit(float(len(bounds)))))
     low = F.greatest(guess.cast("int") - 1, F.lit(0))
     near = F.slice(grid, low + 1, 4)
     passed = F.size(F.filter(near, lambda b: b < score if strict else b <= score))
