@@ -109,8 +109,9 @@ def collapse(df: DataFrame, payload: list[str]) -> tuple[DataFrame, DataFrame]:
     """One row (id, *payload) per distinct payload, and the (id, rep) of every row.
 
     Equal queries have equal answers, so only one of them searches. Copies are counted away before
-    the shuffle, and the representative is unique per payload, so a payload shared by much of the
-    data makes only the long side of the join skewed.
+    the shuffle, and the representatives are unique per payload and stored, so a payload shared by
+    much of the data makes only the long side of the join skewed, which adaptive execution splits.
+    Store what is joined to the copies, too.
     """
     unique = cut_lineage(df.groupBy(*payload).agg(F.min("id").alias("rep")))
     copies = df.join(unique, payload).select("id", "rep")

@@ -59,7 +59,8 @@ def nearest_distance(
         queries, copies = collapse(some, ["tokens", "size"])
         references, _ = collapse(others, ["tokens", "size"])
         found = size_join(queries, references, scanner, NearestOverlap.SCHEMA, size, block_bytes, normalised)
-        return copies.join(_smallest(found).withColumnRenamed("id", "rep"), "rep").drop("rep", "distance")
+        answers = cut_lineage(_smallest(found).withColumnRenamed("id", "rep"))
+        return copies.join(answers, "rep").drop("rep", "distance")
 
     partials = block_join(
         _sides(query, id, tokens),

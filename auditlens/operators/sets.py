@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ABNORMAL, NORMAL
 from ..functions.text import program_name, strip
+from ..session import cut_lineage
 
 
 def non_empty(df: DataFrame, command: str = "command") -> DataFrame:
@@ -45,10 +46,10 @@ def set_minus(left: DataFrame, right: DataFrame) -> DataFrame:
 def not_in(df: DataFrame, known: DataFrame, on: str) -> DataFrame:
     """Rows whose key does not occur in ``known``; row multiplicity is kept.
 
-    The known side is made unique first. A hot key on the left is left to adaptive skew
-    splitting, which handles left anti joins.
+    The known keys are made unique and stored, so that both sides of the join come straight from a
+    shuffle: that is what lets adaptive execution split a hot key on the left.
     """
-    return df.join(known.select(on).distinct(), on, "left_anti")
+    return df.join(cut_lineage(known.select(on).distinct()), on, "left_anti")
 
 
 def remove_conflicts(
