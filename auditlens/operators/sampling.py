@@ -162,7 +162,7 @@ def cap_patterns(
     patterns: Sequence[tuple[str, str]] = REPETITIVE_PATTERNS,
     n: int = PATTERN_CAP,
     command: str = "command",
-    salts: int = 64,
+    salts: int = 1024,
 ) -> DataFrame:
     """At most n rows of each repetitive pattern; all other rows are kept.
 

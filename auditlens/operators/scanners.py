@@ -199,6 +199,8 @@ class KNearest:
         self.k, self.digits, self.skip_self = k, digits, skip_self
         self.limit = np.full(len(self.vectors.ids), np.inf)
         self.kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int32)]
+        self.new: list[list[np.ndarray]] = []
+        self.waiting = 0
 
     def feed(self, batch: pa.RecordBatch) -> None:
         if not len(self.vectors.ids) or not batch.num_rows:
@@ -217,11 +219,15 @@ class KNearest:
             reach = (limit + 2 * 10.0**-self.digits) ** 2 + 1e-12 * largest
             row, query = np.nonzero((squared <= reach[None, :]) & np.isfinite(squared))
             exact = self.vectors.exact(batch, row + first, query, squared[row, query])
-            new = [query, ids[row + first], exact, labels[row + first]]
-            self.kept = [np.concatenate(pair) for pair in zip(self.kept, new, strict=True)]
-            self._prune()
+            self.new.append([query, ids[row + first], exact, labels[row + first]])
+            self.waiting += len(row)
+            # Sorting pays only once the new candidates rival what is kept.
+            if self.waiting > max(len(self.kept[0]), 100_000):
+                self._prune()
 
     def _prune(self) -> None:
+        self.kept = [np.concatenate(columns) for columns in zip(self.kept, *self.new, strict=True)]
+        self.new, self.waiting = [], 0
         query, neighbour, distance, _ = self.kept
         order = np.lexsort((neighbour, np.round(distance, self.digits), query))
         query = query[order]
@@ -234,6 +240,7 @@ class KNearest:
         self.limit[last] = kth
 
     def finish(self) -> pa.Table:
+        self._prune()
         query, neighbour, distance, label = self.kept
         return pa.table(
             {
