@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,9 +26,9 @@ def build_session(app_name: str = "auditlens", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a plain local session (one process, so one disk) without that setting gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -35,23 +36,43 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="auditlens-")
+    folder = tempfile.mkdtemp(prefix="auditlens-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder.
+
+    The part is removed when the driver's JVM ends in order; it holds nothing anyone else needs.
+    """
+    context = spark.sparkContext
+    root = f"{shared_dir(spark).rstrip('/')}/auditlens-{context.applicationId}"
+    if getattr(context, "_auditlens_scratch", None) != root:
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._auditlens_scratch = root
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and go on from the copy.
+
+    A lost executor then never forces a replay of what came before, readers prune columns, and the
+    planner knows the size of the copy.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the copy, so a lost executor
-    never forces an iterative job to replay its whole history."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """:func:`stored`, for jobs that iterate."""
+    return stored(df, "lineage")
 
 
 def ship_package(spark: SparkSession) -> None:
