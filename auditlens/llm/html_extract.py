@@ -54,13 +54,17 @@ ENDS_OWN = {
 }
 SCOPES = frozenset("ul ol dl table select body html article main section div td th".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-# Words of class and id names that mark what is not the article.
-MARKS = frozenset(
-    """ad ads advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored
-    cookie cookies consent gdpr notice notices notification popup modal overlay sidebar sidebars aside menu
-    menus nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments respond reply
-    replies discussion disqus share sharing social related recommended recommendations newsletter subscribe
-    subscription signup login search widget widgets toolbar pagination pager""".split()
+# Words of class and id names that mark what is not the article: page furniture, which an article may still
+# stand in (a wrapper "has-sidebar"), and what never holds it.
+FURNITURE = frozenset(
+    """sidebar sidebars sidenav aside menu menus nav navbar navigation breadcrumb breadcrumbs header masthead
+    footer notice notices search toolbar topbar widget widgets share sharing social modal overlay popup rail""".split()
+)
+FOREIGN = frozenset(
+    """ad ads advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored cookie
+    cookies consent gdpr notification comment comments commentlist respond reply replies discussion disqus
+    related recommended recommendations newsletter subscribe subscription signup login pagination pager
+    copyright""".split()
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？；：]")
 SHARE = 0.3
@@ -71,7 +75,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
-_MARK_WORDS = re.compile(r"[a-z]+")
+_MARK_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
@@ -90,41 +94,53 @@ class _Open:
     name: str
     path: str
     banned: bool
+    furniture: bool
     inside: bool
     header: bool = field(default=False)
 
 
-def _marked(attributes: str) -> bool:
+def _marks(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id, role or hidden say furniture, and foreign."""
+    furniture = foreign = False
     for m in _ATTRIBUTE.finditer(attributes):
         name = m.group(1).lower()
-        value = (m.group(2) or m.group(3) or m.group(4) or "").lower()
-        if name == "hidden" or (name == "role" and value.strip() in ROLES):
-            return True
-        if name in ("class", "id") and not MARKS.isdisjoint(_MARK_WORDS.findall(value)):
-            return True
-    return False
+        value = m.group(2) or m.group(3) or m.group(4) or ""
+        if name == "hidden":
+            foreign = True
+        elif name == "role":
+            furniture |= value.strip().lower() in ROLES
+        else:
+            words = {w.lower() for w in _MARK_WORDS.findall(value)}
+            furniture |= not FURNITURE.isdisjoint(words)
+            foreign |= not FOREIGN.isdisjoint(words)
+    return furniture, foreign
 
 
 def _opened(parent: _Open, name: str, attributes: str) -> _Open:
-    container = name in CONTAINERS
-    header = parent.header or name == "header"
-    # The header of an article holds its headings and much else; only the headings are kept.
-    banned = parent.banned or name in NEVER or (not container and name != "body" and _marked(attributes))
+    furniture, foreign = _marks(attributes) if name != "body" else (False, False)
+    banned = parent.banned or foreign or name in NEVER
+    container = name in CONTAINERS and not banned
+    # An article is one whatever furniture is named around it; what is named inside it is not.
+    furniture = False if container and not parent.inside else parent.furniture or (furniture and not container)
     if name == "header" and not parent.inside:
-        banned = True
-    return _Open(name, f"{parent.path}/{name}", banned, parent.inside or container, header)
+        furniture = True
+    return _Open(
+        name, f"{parent.path}/{name}", banned, furniture, parent.inside or container, parent.header or name == "header"
+    )
 
 
 def text_nodes(page: str) -> list[Node]:
     """All runs of text in page order."""
-    root = _Open("", "", False, False)
+    root = _Open("", "", False, False, False)
     stack, nodes, block, at = [root], [], 0, 0
 
     def add(text: str) -> None:
         top = stack[-1]
         if text:
-            headed = top.header and not any(o.name in HEADINGS for o in stack)
-            nodes.append(Node(html.unescape(text), top.path, block, top.banned or headed, top.inside))
+            # The header of an article holds its headings and much else; only the headings are kept.
+            headed = top.inside and top.header and not any(o.name in HEADINGS for o in stack)
+            banned = top.banned or top.furniture or headed
+            nodes.append(Node(html.unescape(text), top.path, block, banned, top.inside))
 
     def close(names: tuple[str, ...]) -> None:
         """End the innermost open element of ``names`` in scope, with all inside it."""

@@ -1,16 +1,18 @@
 """Language-model scores: prediction by partial matching over bytes, and a word-count base.
 
-The trie of byte contexts up to two bytes deep is counted over all training texts. A symbol that a
-context has seen n of T times, among d different ones, has probability n / (T + d) there; d / (T + d)
-is the escape to the context shorter by a byte, where the symbols already seen are excluded from all
-counts. Below the empty context every symbol left is equally likely. A text starts in the context of
-two ends and closes with an end symbol. As counts are fixed after training, each of the 257**3
-(context, symbol) cells has one log-probability; that table, 68 MB whatever the corpus, is what the
-tasks get, so scoring is one look-up per byte.
-
-The base is a smoothed unigram model of words. Texts are dealt into blocks of bounded bytes by a
-hash of their id; a block asks for the counts of its distinct words once, so what is shuffled is
-(block, word) and the texts, and no vocabulary is gathered anywhere.
+The model is a trie of byte contexts, three deep, counted over all training texts. A symbol that a context has
+seen n of T times, among d different ones, has probability n / (T + d) there; d / (T + d) is the escape to the
+context shorter by a byte, where the symbols already seen are excluded from all counts. Below the empty
+context every symbol left is equally likely. A text starts after ends and closes with an end symbol.
+
+The two upper levels have at most 257**3 (context, symbol) cells whatever the corpus: their counts, one row
+per cell seen, go to every task, which works out all their log-probabilities. The third level has no such
+bound and stays distributed: texts are dealt into blocks of bounded bytes by a hash, a block asks for
+the distinct cells it holds, and the answer brings what the cell's context has seen in all of training.
+Exclusion needs one number more per context: how often the shorter context saw the same symbols.
+
+The base is a smoothed unigram model of words, whose counts are asked for in the same way and in the
+same shuffle. So what is gathered grows with the corpus, and no vocabulary or trie is gathered anywhere.
 
 * a null text is empty: it scores its end alone; a training id is decided by crc32 of the id as text
 * rows without id count as the empty id text; rows that repeat train and score each by themselves
@@ -27,42 +29,51 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
 from .common import id_remainder, n_bytes
 
 END = 256
 SYMBOLS = 257
-BLOCK_BYTES = 8 << 20
+SHORT = SYMBOLS**3  # cells of contexts of up to two bytes
+BLOCK_BYTES = 16 << 20
 _CHUNK = 1 << 22
 
 
 def _cells(text: bytes) -> np.ndarray:
-    """The (context, symbol) cell of every byte and of the end."""
-    symbols = np.empty(len(text) + 3, dtype=np.int32)
-    symbols[:2] = END
-    symbols[2:-1] = np.frombuffer(text, dtype=np.uint8)
+    """The (context of three, symbol) cell of every byte and of the end; modulo ``SHORT``, of contexts of two."""
+    symbols = np.empty(len(text) + 4, dtype=np.int64)
+    symbols[:3] = END
+    symbols[3:-1] = np.frombuffer(text, dtype=np.uint8)
     symbols[-1] = END
-    return (symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:]
+    return ((symbols[:-3] * SYMBOLS + symbols[1:-2]) * SYMBOLS + symbols[2:-1]) * SYMBOLS + symbols[3:]
+
+
+def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells of some texts and their counts, holding a few million cells at a time."""
+    cells, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        held.append(_cells(text))
+        size += len(held[-1])
+        if size >= _CHUNK or i == len(texts) - 1:
+            new, n = np.unique(np.concatenate(held), return_counts=True)
+            cells, at = np.unique(np.concatenate([cells, new]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(cells)).astype(np.int64)
+            held, size = [], 0
+    return cells, counts
 
 
 def cell_counts(texts: DataFrame) -> DataFrame:
-    """(cell, n) over all rows of (text); a task sends one row per cell it has seen."""
+    """(cell, n) of contexts of two over all rows of (text); a task sends one row per cell it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SYMBOLS**3, dtype=np.int64)
+        counts = np.zeros(SHORT, dtype=np.int64)
         for batch in batches:
-            held, size = [], 0
-            for value in batch.column(0):
-                held.append(_cells(value.as_py() or b""))
-                size += len(held[-1])
-                if size >= _CHUNK:
-                    _add(counts, held)
-                    held, size = [], 0
-            if held:
-                _add(counts, held)
+            for start in range(0, batch.num_rows, 200):
+                cells, n = _distinct([v.as_py() or b"" for v in batch.column(0).slice(start, 200)])
+                np.add.at(counts, cells % SHORT, n)
         seen = np.flatnonzero(counts)
         for start in range(0, len(seen), 100_000):
             part = seen[start : start + 100_000]
@@ -72,14 +83,9 @@ def cell_counts(texts: DataFrame) -> DataFrame:
     return found.groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def _add(counts: np.ndarray, held: list[np.ndarray]) -> None:
-    cells, n = np.unique(np.concatenate(held), return_counts=True)
-    counts[cells] += n
-
-
 def log_probabilities(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log10 probability of every cell (257**3, single precision), escapes and exclusions worked out."""
-    table = np.zeros(SYMBOLS**3, dtype=np.float64)
+    table = np.zeros(SHORT, dtype=np.float64)
     table[cells] = n
     table = table.reshape(SYMBOLS, SYMBOLS, SYMBOLS)  # older byte, newer byte, symbol
     by_one = table.sum(axis=0)
@@ -109,36 +115,151 @@ def log_probabilities(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-def score_bytes(text: bytes, table: np.ndarray) -> float:
-    """log10 probability of a whole text and its end."""
-    if len(text) <= _CHUNK:
-        return float(table[_cells(text)].sum(dtype=np.float64))
-    cells = _cells(text)
-    return float(sum(table[cells[i : i + _CHUNK]].sum(dtype=np.float64) for i in range(0, len(cells), _CHUNK)))
-
-
-def _words(text: bytes) -> list[bytes]:
-    return text.lower().split()
+class ShortContexts:
+    """The two upper levels of the trie, from (cell, n) in cell order."""
+
+    def __init__(self, cells: np.ndarray, n: np.ndarray) -> None:
+        self.cells, self.n = cells, n
+        self.logs = log_probabilities(cells, n)
+        self.total = np.bincount(cells // SYMBOLS, weights=n, minlength=SYMBOLS**2)
+        self.kinds = np.bincount(cells // SYMBOLS, minlength=SYMBOLS**2).astype(float)
+
+    def counts(self, cells: np.ndarray) -> np.ndarray:
+        if not len(self.cells):
+            return np.zeros(len(cells), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
+        return np.where(self.cells[at] == cells, self.n[at], 0)
+
+    def log_probability(
+        self, cells: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray
+    ) -> np.ndarray:
+        """log10 probability of cells of contexts of three.
+
+        ``n``: of the cell; ``total`` and ``kinds``: of its context; ``lower``: what the shorter context
+        counts for the symbols its context has seen.
+        """
+        short = cells % SHORT
+        n2, t2, k2 = self.counts(short), self.total[short // SYMBOLS], self.kinds[short // SYMBOLS]
+        whole = np.maximum(np.where(kinds < SYMBOLS, total + kinds, total), 1.0)
+        left, new = t2 - lower, k2 - kinds
+        whole2 = np.maximum(np.where(k2 < SYMBOLS, left + new, left), 1.0)
+        # Below contexts of two the symbols excluded are the same, so the rest of the table applies.
+        escape = np.where(left > 0, new / whole2, 1.0)
+        direct = np.maximum(k2, 1.0) / np.maximum(t2 + k2, 1.0)
+        with np.errstate(divide="ignore"):
+            deeper = np.where(n2 > 0, np.log10(n2 / whole2), np.log10(escape / direct) + self.logs[short])
+            unseen = np.where(total > 0, np.log10(kinds / whole) + deeper, self.logs[short])
+            return np.where(n > 0, np.log10(n / whole), unseen)
+
+
+_HELD: dict[int, ShortContexts] = {}
+
+
+def _short_contexts(packed) -> ShortContexts:
+    """The broadcast counts as a table, worked out once per worker process."""
+    cells, n = packed.value
+    key = hash((zlib.crc32(cells.tobytes()), zlib.crc32(n.tobytes())))
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = ShortContexts(cells, n)
+    return _HELD[key]
 
 
 # The end of a text as a token: no word holds white space.
 _END_TOKEN = b" "
 
 
-def _vocabulary(block: pd.DataFrame) -> pd.DataFrame:
-    """Distinct tokens of one block with their count in its training texts."""
-    trained, others = Counter(), set()
-    for text, held_out in zip(block["text"], block["held_out"], strict=True):
-        words = _words(text)
-        if held_out:
-            others.update(words)
-            others.add(_END_TOKEN)
-        else:
-            trained.update(words)
-            trained[_END_TOKEN] += 1
-    for word in others:
-        trained.setdefault(word, 0)
-    return pd.DataFrame({"block": block["block"].iloc[0], "word": list(trained), "n": list(trained.values())})
+def _tokens(text: bytes) -> list[bytes]:
+    return [*text.lower().split(), _END_TOKEN]
+
+
+ASKED = "block int, word binary, context long, cell long, n long, lower long"
+
+
+def _asks(packed):
+    """One block's distinct words and cells with their counts in its training texts."""
+
+    def run(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        number, out = int(block["block"].iloc[0]), block["held_out"].to_numpy()
+        texts = block["text"].to_numpy()
+        trained, others = Counter(), set()
+        for text in texts[~out]:
+            trained.update(_tokens(text))
+        for text in texts[out]:
+            others.update(_tokens(text))
+        for word in others - trained.keys():
+            trained[word] = 0
+        words = pd.DataFrame({"word": list(trained), "n": list(trained.values())})
+        yield words.assign(block=number, context=None, cell=None, lower=0)[_NAMES].astype(_KINDS)
+        cells, n = _distinct(list(texts[~out]))
+        more, _ = _distinct(list(texts[out]))
+        more = np.setdiff1d(more, cells, assume_unique=True)
+        cells, n = np.concatenate([cells, more]), np.concatenate([n, np.zeros(len(more), dtype=np.int64)])
+        lower = _short_contexts(packed).counts(cells % SHORT)
+        found = pd.DataFrame({"cell": cells, "context": cells // SYMBOLS, "n": n, "lower": lower})
+        yield found.assign(block=number, word=None)[_NAMES].astype(_KINDS)
+
+    return run
+
+
+_NAMES = ["block", "word", "context", "cell", "n", "lower"]
+_KINDS = {"block": "int32", "context": "Int64", "cell": "Int64", "n": "int64", "lower": "int64"}
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """Every row of ``asked`` with what all blocks together have seen: c of the word or cell; total, kinds and
+    lower of the cell's context; ``first`` on one row of each word or cell. One shuffle."""
+    one = Window.partitionBy("word", "context", "cell")
+    context = Window.partitionBy("word", "context")
+    counted = asked.repartition("word", "context").withColumns(
+        {"c": F.sum("n").over(one), "first": F.row_number().over(one.orderBy("block")) == 1}
+    )
+    counts = F.col("first") & (F.col("c") > 0)
+    return counted.select(
+        "block",
+        "word",
+        "cell",
+        "c",
+        "first",
+        F.sum("n").over(context).alias("total"),
+        F.sum(counts.cast("long")).over(context).alias("kinds"),
+        F.sum(F.when(counts, F.col("lower")).otherwise(0)).over(context).alias("lower"),
+    )
+
+
+SCORED = "n_tokens long, n_known long, known double, score double"
+
+
+def _scores(packed):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["id", "held_out", "n_tokens", "n_known", "known", "score"]
+        if not len(left):
+            return pd.DataFrame({name: [] for name in names})
+        model = _short_contexts(packed)
+        is_word = right["cell"].isna().to_numpy()
+        words = right[is_word]
+        words = words[words["c"] > 0]
+        logs = dict(zip(words["word"], np.log10(words["c"].to_numpy() + 0.1).tolist(), strict=True))
+        rest = right[~is_word]
+        cells = rest["cell"].to_numpy(dtype=np.int64)
+        order = np.argsort(cells)
+        cells = cells[order]
+        found = model.log_probability(
+            cells, *(rest[name].to_numpy(dtype=np.float64)[order] for name in ("c", "total", "kinds", "lower"))
+        )
+        rows = []
+        for text in left["text"]:
+            tokens = _tokens(text)
+            hits = [logs[t] for t in tokens if t in logs]
+            held = _cells(text)
+            score = sum(
+                float(found[np.searchsorted(cells, held[i : i + _CHUNK])].sum()) for i in range(0, len(held), _CHUNK)
+            )
+            rows.append((len(tokens), len(hits), sum(hits) - (len(tokens) - len(hits)), score))
+        scored = pd.DataFrame(rows, columns=names[2:])
+        return pd.concat([left[["id", "held_out"]].reset_index(drop=True), scored], axis=1)
+
+    return run
 
 
 def score_documents(
@@ -148,7 +269,6 @@ def score_documents(
 
     ``held_out`` says of each row of ``docs`` whether it is kept from training.
     """
-    spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     total = docs.agg(F.sum(n_bytes(F.col(text)) + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -159,75 +279,33 @@ def score_documents(
         body.cast("binary").alias("text"),
         F.pmod(F.xxhash64(F.lit(71), F.col(key), body), F.lit(blocks)).cast("int").alias("block"),
     )
-    cells = cell_counts(rows.where(~F.col("held_out")).select("text")).toPandas()
-    table = log_probabilities(cells["cell"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=np.int64))
-    packed = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
-
-    asked = rows.groupBy("block").applyInPandas(_vocabulary, "block int, word binary, n long")
-    asked = stored(asked, "block-words")
-    counts = asked.groupBy("word").agg(F.sum("n").alias("c"))
-    counts = stored(counts.where("c > 0"), "word-counts")
-    size = counts.agg(F.sum("c"), F.count("*")).first()
-    n, v = size[0] or 0, size[1] or 0
-    share = float(np.log10(n + 0.1 * (v + 1)))
-    known = asked.select("block", "word").join(counts, "word").select("block", "word", "c")
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        model = _table(packed)
-        logs = dict(zip(right["word"], np.log10(right["c"].to_numpy() + 0.1).tolist(), strict=True))
-        unknown = float(np.log10(0.1))
-        out = []
-        for value in left["text"]:
-            words = _words(value)
-            words.append(_END_TOKEN)
-            found = [logs[w] for w in words if w in logs]
-            base = sum(found) + (len(words) - len(found)) * unknown - len(words) * share
-            out.append((len(words), len(found), base, score_bytes(value, model)))
-        columns = list(zip(*out, strict=True))
-        return pd.DataFrame(
-            {
-                "id": left["id"],
-                "held_out": left["held_out"],
-                "n_tokens": columns[0],
-                "n_known": columns[1],
-                "train_tokens": n,
-                "base_score": columns[2],
-                "score": columns[3],
-            }
-        )
-
+    found = cell_counts(rows.where(~F.col("held_out")).select("text")).orderBy("cell").toPandas()
+    packed = docs.sparkSession.sparkContext.broadcast(
+        (found["cell"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64))
+    )
+    answered = _answered(rows.groupBy("block").applyInPandas(_asks(packed), ASKED))
+    distinct = F.col("first") & (F.col("c") > 0) & F.col("cell").isNull()
+    size = answered.agg(
+        F.coalesce(F.sum(F.when(distinct, F.col("c"))), F.lit(0)).alias("train_tokens"),
+        F.coalesce(F.sum(distinct.cast("long")), F.lit(0)).alias("vocabulary"),
+    )
     kind = rows.schema["id"].dataType.simpleString()
-    return (
+    scored = (
         rows.groupBy("block")
-        .cogroup(known.groupBy("block"))
-        .applyInPandas(
-            _if_any(score, kind),
-            f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-        )
+        .cogroup(answered.drop("first").groupBy("block"))
+        .applyInPandas(_scores(packed), f"id {kind}, held_out boolean, {SCORED}")
+    )
+    # One row, whatever the corpus.
+    share = F.log10(F.col("train_tokens") + 0.1 * (F.col("vocabulary") + 1))
+    return scored.join(F.broadcast(size)).select(
+        "id",
+        "held_out",
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        (F.col("known") - F.col("n_tokens") * share).alias("base_score"),
+        "score",
     )
-
-
-def _if_any(score, kind: str):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            names = ("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-            return pd.DataFrame({name: [] for name in names})
-        return score(left, right)
-
-    return run
-
-
-_TABLE: dict[int, np.ndarray] = {}
-
-
-def _table(packed) -> np.ndarray:
-    """The broadcast table, unpacked once per worker process."""
-    data = packed.value
-    key = zlib.crc32(data)
-    if key not in _TABLE:
-        _TABLE.clear()
-        _TABLE[key] = np.frombuffer(zlib.decompress(data), dtype=np.float32)
-    return _TABLE[key]
 
 
 def held_out_rows(key: Column, modulus: int = 10, remainder: int = 0) -> Column:
