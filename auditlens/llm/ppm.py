@@ -179,7 +179,7 @@ ASKED = "block int, word binary, context long, cell long, n long, lower long"
 def _asks(packed):
     """One block's distinct words and cells with their counts in its training texts."""
 
-    def run(block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def run(block: pd.DataFrame) -> pd.DataFrame:
         number, out = int(block["block"].iloc[0]), block["held_out"].to_numpy()
         texts = block["text"].to_numpy()
         trained, others = Counter(), set()
@@ -190,14 +190,14 @@ def _asks(packed):
         for word in others - trained.keys():
             trained[word] = 0
         words = pd.DataFrame({"word": list(trained), "n": list(trained.values())})
-        yield words.assign(block=number, context=None, cell=None, lower=0)[_NAMES].astype(_KINDS)
+        words = words.assign(block=number, context=None, cell=None, lower=0)[_NAMES].astype(_KINDS)
         cells, n = _distinct(list(texts[~out]))
         more, _ = _distinct(list(texts[out]))
         more = np.setdiff1d(more, cells, assume_unique=True)
         cells, n = np.concatenate([cells, more]), np.concatenate([n, np.zeros(len(more), dtype=np.int64)])
         lower = _short_contexts(packed).counts(cells % SHORT)
         found = pd.DataFrame({"cell": cells, "context": cells // SYMBOLS, "n": n, "lower": lower})
-        yield found.assign(block=number, word=None)[_NAMES].astype(_KINDS)
+        return pd.concat([words, found.assign(block=number, word=None)[_NAMES].astype(_KINDS)])
 
     return run
 
