@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +13,15 @@ from ..operators.bayes import bayes_fit, bayes_scores
 from ..operators.centroid import centroid_distance, centroid_fit
 from ..operators.discriminant import discriminant_fit, lda_classify
 from ..operators.evaluation import classification_report
-from ..operators.isolation import isolation_forest
+from ..operators.isolation import isolation_forest, tree_samples
 from ..operators.oneclass import one_class_fit, one_class_score
+from ..operators.projection import project_terms
 from ..operators.quantile import contamination_cut
 from ..operators.reduction import svd_transform, truncated_svd
 from ..operators.sampling import train_test_split
 from ..operators.sets import split_classes
 from ..plans import detection
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from . import CATALOG
 from .bayes_sql import sql_bayes
 from .evaluation import SQL_CENTROID
@@ -110,7 +112,7 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def radius_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = train_test_split(vectors(spark, sf_dir), 0.2, "id")
-    return neighbours.radius_classify(train, test, 1.3, unit_vectors=False)
+    return neighbours.radius_classify(train, test, 1.3)
 
 
 @CATALOG.query(
@@ -235,10 +237,18 @@ def linear_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query()
 def discriminant_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled(spark, sf_dir)
-    featured = classifiers.hashed_tfidf(rows).transform(rows).select("cmd_id", "label", "features")
-    reduced = svd_transform(featured, truncated_svd(featured, 40))
-    train, test = train_test_split(reduced, 0.2, "cmd_id")
-    return report_rounded(classification_report(lda_classify(train, test, "reduced")))
+    """TF-IDF and SVD are fitted on the train side."""
+    train, test = train_test_split(rows, 0.2, "cmd_id")
+    model = tfidf.tfidf_fit(train)
+
+    def vectors_of(part: DataFrame) -> DataFrame:
+        projected = project_terms(tfidf.tfidf_vectors(part, model, keep=("label",)), 1024)
+        return projected.withColumn("features", array_to_vector("features"))
+
+    seen = stored(vectors_of(train), "train-vectors")
+    directions = truncated_svd(seen.select("features"), 100)
+    sides = [svd_transform(side, directions) for side in (seen, vectors_of(test))]
+    return report_rounded(classification_report(lda_classify(*sides, "reduced")))
 
 
 @CATALOG.query()
@@ -248,6 +258,27 @@ def one_class_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_class_score(rows, one_class_fit(normal)).select("id", "label", "score", "prediction")
 
 
+@CATALOG.query(
+    """with h as (
+      select vec_id as id, md5('42|' || vec_id) as d from embeddings),
+    p as (
+      select t as tree, id, (cast('0x' || substring(d, 1, 8) as bigint) + t * cast('0x' || substring(d, 9, 8) as bigint))
+             % 4294967296 as place from h cross join range(100) as r(t)),
+    q as (select tree, id, row_number() over (partition by tree order by place, id) as rank from p)
+    select cast(tree as integer) as tree, id from q where rank <= 64"""
+)
+def isolation_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which rows each tree of a forest sees."""
+    return tree_samples(vectors(spark, sf_dir), 100, 64, seed=42)
+
+
+@CATALOG.query("select cast(ceil((count(*) - 1) * 0.19) as bigint) as outliers from embeddings")
+def isolation_outliers_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of rows called abnormal is the contamination."""
+    scored = isolation_forest(vectors(spark, sf_dir), 100, 5000, 0.19, seed=42)
+    return scored.agg(F.count_if(F.col("prediction") == -1).alias("outliers"))
+
+
 @CATALOG.query()
 def isolation_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = isolation_forest(vectors(spark, sf_dir), 100, 5000, 0.19, seed=42)
@@ -271,6 +302,21 @@ def decision_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_rounded(classification_report(classifiers.predict(classifiers.decision_tree(train), test)))
 
 
+@CATALOG.query(
+    f"""with {LABELLED}, sides as (
+      select label from labelled where {sql_hash('cmd_id', 42)} < {int(0.2 * (1 << 32))})
+    select detector, label, count(*) as support from sides cross join (values ('svm'), ('tree')) as d(detector)
+    group by all"""
+)
+def supports_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test row is answered once by the tree and by the SVM."""
+    train, test = train_test_split(labelled(spark, sf_dir), 0.2, "cmd_id")
+    tree = classifiers.predict(classifiers.decision_tree(train), test).withColumn("detector", F.lit("tree"))
+    svm = classifiers.rbf_svm_predict(classifiers.rbf_svm(train), test).withColumn("detector", F.lit("svm"))
+    answers = tree.unionByName(svm).where("prediction in (0, 1)")
+    return answers.groupBy("detector", "label").agg(F.count("*").alias("support"))
+
+
 @CATALOG.query()
 def rbf_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = train_test_split(labelled(spark, sf_dir), 0.2, "cmd_id")
@@ -289,6 +335,25 @@ def bagged_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_rounded(classification_report(answers))
 
 
+@CATALOG.query(
+    f"""with {LABELLED}
+    select count(*) as rows, cast(0 as bigint) as differing from labelled"""
+)
+def saved_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ensemble answers the same after saving and loading."""
+    rows = labelled(spark, sf_dir)
+    normal, abnormal = split_classes(rows)
+    step = max(1, normal.count() // 2)
+    models = classifiers.bagged_trees(normal, abnormal, chunk=step // 2, step=step)
+    path = scratch_path(spark, "ensemble")
+    classifiers.save_models(models, path)
+    first = classifiers.ensemble_predict(models, rows).withColumnRenamed("prediction", "first")
+    again = classifiers.ensemble_predict(classifiers.load_models(spark, path), rows).select("cmd_id", "prediction")
+    return first.join(again, "cmd_id").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("first") != F.col("prediction")).alias("differing")
+    )
+
+
 def _sql_report_of(relation: str) -> str:
     return f"(with {sql_report(relation)} select {REPORT_COLUMNS} from report)"
 

@@ -10,6 +10,7 @@ from ..operators.centroid import centroid_detector
 from ..operators.nearest import nearest_distance, nearest_detector, nearest_scores
 from ..operators.sets import split_classes
 from ..plans import detection
+from ..plans.curves import bayes_learning_curve
 from . import CATALOG
 from .bayes_sql import sql_bayes
 from .sets import sql_overlap
@@ -259,7 +260,8 @@ def injection_report_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CATALOG.query(
     f"""with {LABELLED},
-    runs as (select s * 2 + z as f, s, case z when 0 then 0.5 else 1.0 end as size from range(2) as a(s), range(2) as b(z)),
+    runs as (select s * 5 + z as f, s, ([0.1, 0.325, 0.55, 0.775, 1.0])[z + 1] as size
+             from range(10) as a(s), range(5) as b(z)),
     sides as (
       select f, s, size, cmd_id, command, label,
              case when {sql_hash("s || '|' || cmd_id")} < {int(0.2 * (1 << 32))} then 'test' else 'train' end as side,
@@ -276,13 +278,47 @@ def injection_report_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scores group by all"""
 )
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    curve = detection.learning_curve(detection.bayes, labelled(spark, sf_dir), sizes=(0.5, 1.0), splits=2)
+    """Five train sizes on ten splits, all fifty runs in one pass."""
+    curve = bayes_learning_curve(labelled(spark, sf_dir))
     return rounded(curve, "mean_score", "std_score")
 
 
+@CATALOG.query(
+    f"""with {LABELLED}
+    select cmd_id, cast((row_number() over (order by md5('0|' || cmd_id), cmd_id) - 1) % 3 as integer) as fold
+    from labelled"""
+)
+def grid_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folds behind the grid search."""
+    return detection.grid_folds(labelled(spark, sf_dir), 3).select("cmd_id", "fold")
+
+
 @CATALOG.query()
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detection.grid_search(labelled(spark, sf_dir), depths=(3, 9), leaves=(1,), folds=2, num_features=1024)
+    return detection.grid_search(labelled(spark, sf_dir))
+
+
+@CATALOG.query()
+def text_outlier_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-class SVM, isolation forest and local outlier factor on reduced TF-IDF."""
+    return report_rounded(detection.text_outlier_report(labelled(spark, sf_dir)))
+
+
+@CATALOG.query(
+    f"""with {LABELLED}, n as (
+      select count(*) as n, count(*) filter (where label = 0) as m from labelled)
+    select 'isolation_forest' as detector, cast(ceil((n - 1) * 0.19) as bigint) as outliers from n
+    union all
+    select 'one_class_svm', cast(ceil((m - 1) * 0.002) as bigint) from n"""
+)
+def text_outliers_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts two detectors call abnormal, of all and of those they were fitted on: the shares
+    asked for, as no scores tie at the cut."""
+    found = detection.text_outliers(labelled(spark, sf_dir)).where("prediction = -1")
+    counted = (F.col("detector") == "isolation_forest") | (
+        (F.col("detector") == "one_class_svm") & (F.col("label") == 1)
+    )
+    return found.where(counted).groupBy("detector").agg(F.count("*").alias("outliers"))
 
 
 @CATALOG.query()

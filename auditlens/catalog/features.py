@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tfidf
-from ..operators.classifiers import hashed_tfidf
 from ..operators.reduction import explained_variance, svd_transform, truncated_svd
 from ..operators.sets import split_classes
+from ..plans.detection import text_vectors
+from ..session import stored
 from . import CATALOG
 from .tables import COMMANDS, LABELLED, WORD, commands, labelled, rounded, sql_tfidf, vectors
 
@@ -94,15 +95,66 @@ def variance_of_all_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(found, "k long, variance double, explained double"), "variance", "explained")
 
 
+@CATALOG.query(
+    """with p as (select cast(embedding[1] as double) as x, cast(embedding[2] as double) as y from embeddings),
+    m as (select sum(x * x) as a, sum(x * y) as b, sum(y * y) as c from p),
+    e as (select (a + c) / 2 as mid, sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) as half,
+                 0.5 * atan2(2 * b, a - c) as angle from m),
+    v as (select 1 as direction, sqrt(mid + half) as singular, cos(angle) as x, sin(angle) as y from e
+          union all select 2, sqrt(mid - half), -sin(angle), cos(angle) from e)
+    select cast(direction as bigint) as direction, round(singular, 6) as singular,
+           round(x * s, 4) as x, round(y * s, 4) as y
+    from (select *, sign(case when abs(x) >= abs(y) then x else y end) as s from v)"""
+)
+def directions_of_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Singular values and directions of a two-column matrix, whose closed form SQL can say."""
+    pairs = vectors(spark, sf_dir).select(array_to_vector(F.slice("features", 1, 2)).alias("features"))
+    model = truncated_svd(pairs, 2, passes=500, tolerance=1e-14)
+    found = [
+        (i + 1, float(model.singular[i]), float(model.components[0, i]), float(model.components[1, i])) for i in range(2)
+    ]
+    frame = spark.createDataFrame(found, "direction long, singular double, x double, y double")
+    return rounded(rounded(frame, "singular"), "x", "y", digits=4)
+
+
+@CATALOG.query(
+    """select cast(i as bigint) as i, cast(j as bigint) as j, case when i = j then 1.0 else 0.0 end::double as product
+    from range(5) as a(i) cross join range(5) as b(j)"""
+)
+def coordinate_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates on 5 of 64 directions: their cross products over all rows are 0, their squares singular squared."""
+    rows = vectors(spark, sf_dir).select("id", array_to_vector("features").alias("features"))
+    model = truncated_svd(rows.select("features"), 5)
+    reduced = svd_transform(rows, model)
+    each = F.inline(
+        F.flatten(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(4)),
+                lambda i: F.transform(
+                    F.sequence(F.lit(0), F.lit(4)),
+                    lambda j: F.struct(
+                        i.cast("bigint").alias("i"),
+                        j.cast("bigint").alias("j"),
+                        (F.get("reduced", i) * F.get("reduced", j)).alias("p"),
+                    ),
+                ),
+            )
+        )
+    )
+    scale = F.array(*[F.lit(float(s)) for s in model.singular])
+    sums = reduced.select(each).groupBy("i", "j").agg(F.sum("p").alias("p"))
+    product = F.col("p") / F.get(scale, F.col("i").cast("int")) / F.get(scale, F.col("j").cast("int"))
+    return rounded(sums.select("i", "j", product.alias("product")), "product", digits=4)
+
+
 @CATALOG.query()
 def explained_variance_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = commands(spark, sf_dir)
-    features = hashed_tfidf(rows).transform(rows).select("features")
-    return explained_variance(features, list(range(10, 60, 10)))
+    features = text_vectors(commands(spark, sf_dir), keep=()).select(array_to_vector("features").alias("features"))
+    return explained_variance(stored(features, "text-vectors"), list(range(100, 600, 100)))
 
 
 @CATALOG.query()
 def reduced_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = commands(spark, sf_dir)
-    features = hashed_tfidf(rows).transform(rows).select("cmd_id", "label", "features")
-    return svd_transform(features, truncated_svd(features, 20))
+    rows = stored(text_vectors(commands(spark, sf_dir)), "text-vectors")
+    features = rows.withColumn("features", array_to_vector("features"))
+    return svd_transform(features, truncated_svd(features.select("features"), 400))

@@ -6,24 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import WHITESPACE_CLASS
-from ..functions.text import tokens_strict
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 SPACE = WHITESPACE_CLASS
 
 
-# Tables whose rows are heavy to process, and their unique keys.
-HEAVY = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table. A heavy one in so few files that the scan would leave cores idle is spread over
-    them; with as many scan tasks as cores, as on any large input, nothing is moved."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in HEAVY and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, HEAVY[name])
-    return df
+    """One table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _host() -> Column:
@@ -209,7 +199,3 @@ row_terms as (
 raw as (select cmd_id, label, term, tf * idf as x from row_terms join idf using (term)),
 norms as (select cmd_id, sqrt(sum(x * x)) as norm from raw group by cmd_id),
 tfidf as (select cmd_id, label, term, x / norm as weight from raw join norms using (cmd_id))"""
-
-
-def strict_length(column: str) -> Column:
-    return F.size(tokens_strict(F.col(column))).cast("bigint")

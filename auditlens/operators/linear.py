@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,7 +116,8 @@ def affine(features: Column, weights: np.ndarray, offset: np.ndarray) -> Column:
 def class_moments(df: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
     """``(label, n, total, gram)``: count, sum vector and flattened sum of x xT per class.
 
-    Every task reduces its rows to one d x d matrix per class; these are added up in the JVM.
+    Every task reduces its rows to one d x d matrix per class; these are added up in the JVM, first
+    in groups of about the square root of the number of tasks, so that no reducer gets one per task.
     """
     rows = df.select(F.col(label).cast("int").alias("label"), F.col(features).cast("array<double>").alias("x"))
 
@@ -141,9 +143,15 @@ def class_moments(df: DataFrame, features: str = "features", label: str = "label
                 }
             )
 
-    parts = rows.mapInArrow(partial, "label int, n long, total array<double>, gram array<double>")
-    return parts.groupBy("label").agg(
-        F.sum("n").alias("n"),
-        Summarizer.sum(array_to_vector("total")).alias("total"),
-        Summarizer.sum(array_to_vector("gram")).alias("gram"),
+    parts = rows.mapInArrow(partial, "label int, n long, total array<double>, gram array<double>").select(
+        "label", "n", array_to_vector("total").alias("total"), array_to_vector("gram").alias("gram"),
+        task_group(df).alias("part"),
     )
+    sums = (F.sum("n").alias("n"), *[Summarizer.sum(F.col(c)).alias(c) for c in ("total", "gram")])
+    return parts.groupBy("label", "part").agg(*sums).groupBy("label").agg(*sums)
+
+
+def task_group(df: DataFrame) -> Column:
+    """A task's group in a two-level sum over the tasks that read ``df``: as many groups as members."""
+    files = max(1, len(df.inputFiles()))
+    return F.spark_partition_id() % max(2, math.isqrt(files) + 1, math.isqrt(df.sparkSession.sparkContext.defaultParallelism))

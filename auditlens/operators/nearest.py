@@ -15,7 +15,7 @@ from ..session import cut_lineage
 from .blockjoin import BLOCK_BYTES, block_join
 from .cells import collapse, size_join
 from .evaluation import sweep_fraction
-from .sampling import sample_n
+from .sampling import hash_position, sample_n
 from .scanners import NearestOverlap
 from .sets import set_minus
 
@@ -134,14 +134,15 @@ def nearest_scores(
     """
     test_normal = sample_n(normals.select("command"), n, "command", seed)
     test_abnormal = sample_n(abnormals.select("command"), n, "command", seed)
-    key = F.xxhash64("command")
     tests = test_normal.withColumn("label", F.lit(NORMAL)).unionByName(
         test_abnormal.withColumn("label", F.lit(ABNORMAL))
     )
     # The sample is small and used several times.
+    numbered = hash_position(tests.withColumn("key", F.concat_ws("|", "label", "command")), "key", position="cmd_id")
     queries = cut_lineage(
-        tests.select("command", "label", encoded_tokens(F.col("command"), collapse_unknown).alias("tokens"))
-        .withColumn("cmd_id", F.xxhash64("label", "command"))
+        numbered.select(
+            "cmd_id", "command", "label", encoded_tokens(F.col("command"), collapse_unknown).alias("tokens")
+        )
     )
     held_out = queries.where(F.col("label") == NORMAL).select("command")
     train = set_minus(normals.select("command"), held_out).where("command <> ''")
@@ -149,7 +150,7 @@ def nearest_scores(
     references = (
         train.select("command", encoded_tokens(strip(F.col("command")), collapse_unknown).alias("tokens"))
         .unionByName(seeds)
-        .withColumn("cmd_id", key)
+        .withColumn("cmd_id", F.monotonically_increasing_id())
     )
     distances = nearest_distance(
         queries, references, tokens=F.col("tokens"), block_bytes=block_bytes

@@ -13,7 +13,7 @@ from ..functions.markup import extract_blocks
 from ..functions.text import clean_prompt_comment, clean_prompt_redirect, command_length, nul_to_space, strip
 from ..operators.aggregates import class_counts, java_report, length_buckets, length_histogram, program_histogram
 from ..operators.nearest import filter_by_distance
-from ..operators.sampling import cap_patterns, pattern_of, shuffle
+from ..operators.sampling import cap_patterns, hash_position, pattern_of, shuffle
 from ..operators.sets import (
     add_seed_rows,
     augment_sudo,
@@ -79,8 +79,8 @@ def extend_abnormals(
     normal, abnormal = split_classes(df)
     candidates = not_in(augment_sudo(new), normal, "command")
     if min_distance is not None:
-        numbered = candidates.distinct().withColumn("cmd_id", F.xxhash64("command"))
-        base = normal.select("command", F.xxhash64("command").alias("cmd_id"))
+        numbered = hash_position(candidates.distinct(), "command", position="cmd_id")
+        base = hash_position(normal.select("command").distinct(), "command", position="cmd_id")
         far = filter_by_distance(numbered, base, min_distance)
         candidates = candidates.join(far.select("command"), "command", "left_semi")
     if drop_known_programs:

@@ -10,18 +10,23 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import partial, reduce
 
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.common import HASH_RANGE, hash_uint32
+from ..functions.text import signed_label
 from ..operators import classifiers
 from ..operators.aggregates import curve_summary
 from ..operators.bayes import bayes_fit, bayes_scores
 from ..operators.evaluation import accuracy, classification_report
 from ..operators.injection import inject
-from ..operators.neighbours import knn_classify
+from ..operators.isolation import isolation_forest
+from ..operators.neighbours import knn_classify, local_outlier_factor
+from ..operators.oneclass import one_class_fit, one_class_score
+from ..operators.projection import project_terms
+from ..operators.quantile import contamination_cut
+from ..operators.reduction import svd_transform, truncated_svd
 from ..operators.sampling import below_fraction, hash_position, k_fold, train_test_split
 from ..operators.tfidf import tfidf_fit, tfidf_vectors
 from ..session import cut_lineage
@@ -128,33 +133,81 @@ def learning_curve(
     return curve_summary(_union(scores), ("train_size", "side"))
 
 
+def grid_folds(df: DataFrame, folds: int) -> DataFrame:
+    """``df`` with the ``fold`` of each row: hash positions dealt in turn."""
+    fold = ((F.col("position") - 1) % folds).cast("int")
+    return hash_position(df, "cmd_id").withColumn("fold", fold).drop("position")
+
+
 def grid_search(
     df: DataFrame,
     depths: Sequence[int] = (3, 6, 9),
     leaves: Sequence[int] = (1, 5),
     folds: int = 3,
-    num_features: int = classifiers.FEATURES,
-    parallelism: int = 2,
+    num_features: int | None = None,
+) -> DataFrame:
+    """``(max_depth, min_leaf, score)``: mean accuracy of a decision tree over hash-ordered folds.
+
+    TF-IDF is fitted inside each fold, on its train rows; its vectors are stored once for all settings.
+    """
+    dealt = cut_lineage(grid_folds(df.select("cmd_id", "command", "label"), folds))
+    scores = []
+    for fold in range(folds):
+        train = dealt.where(F.col("fold") != fold)
+        model = classifiers.hashed_tfidf(train, num_features)
+        featured = cut_lineage(model.transform(dealt).select("features", "label", "fold"))
+        seen, unseen = featured.where(F.col("fold") != fold), featured.where(F.col("fold") == fold)
+        for depth in depths:
+            for leaf in leaves:
+                tree = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=leaf, seed=0).fit(seen)
+                said = tree.transform(unseen).select("label", F.col("prediction").cast("int").alias("prediction"))
+                scores.append(
+                    accuracy(said).select(
+                        F.lit(depth).alias("max_depth"), F.lit(leaf).alias("min_leaf"), F.col("accuracy").alias("score")
+                    )
+                )
+    return _union(scores).groupBy("max_depth", "min_leaf").agg(F.avg("score").alias("score"))
+
+
+def text_vectors(df: DataFrame, dimensions: int = 1024, seed: int = 0, keep: tuple[str, ...] = ("label",)) -> DataFrame:
+    """``(cmd_id, *keep, features)``: TF-IDF of exact terms projected to a fixed number of dimensions."""
+    vectors = tfidf_vectors(df, tfidf_fit(df), keep=keep)
+    return project_terms(vectors, dimensions, seed)
+
+
+def text_outliers(
+    df: DataFrame,
+    k: int = 100,
+    dimensions: int = 1024,
+    nu: float = 0.002,
+    contamination: float = 0.19,
+    neighbours: int = 20,
+    n_trees: int = 100,
+    max_samples: int = 5000,
+    seed: int = 0,
 ) -> DataFrame:
-    """``(max_depth, min_leaf, score)``: mean accuracy of a decision tree over hash-ordered folds."""
-    featured = classifiers.hashed_tfidf(df, num_features).transform(df)
-    numbered = hash_position(featured.select("cmd_id", "features", "label"), "cmd_id").withColumn(
-        "fold", ((F.col("position") - 1) % folds).cast("int")
+    """``(detector, cmd_id, label, prediction)`` on +1 (normal) and -1 for three outlier detectors on texts.
+
+    TF-IDF, projected and reduced to ``k`` singular directions; a one-class SVM fitted on the normals, an
+    isolation forest and the local outlier factor see the same vectors.
+    """
+    featured = cut_lineage(text_vectors(df, dimensions, seed)).withColumn("vector", array_to_vector("features"))
+    model = truncated_svd(featured.select("vector"), k, "vector")
+    reduced = cut_lineage(
+        svd_transform(featured.select("cmd_id", "label", "vector"), model, "vector", "features")
     )
-    tree = DecisionTreeClassifier(labelCol="label", seed=0)
-    grid = ParamGridBuilder().addGrid(tree.maxDepth, list(depths)).addGrid(tree.minInstancesPerNode, list(leaves))
-    candidates = grid.build()
-    search = CrossValidator(
-        estimator=tree,
-        estimatorParamMaps=candidates,
-        evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
+    signed = signed_label(F.col("label")).alias("label")
+    one_class = one_class_score(reduced, one_class_fit(reduced.where("label = 0"), nu))
+    forest = isolation_forest(reduced, n_trees, max_samples, contamination, seed, "cmd_id")
+    factor = contamination_cut(
+        local_outlier_factor(reduced, neighbours, "cmd_id").select("cmd_id", "score"), contamination
+    ).join(reduced.select("cmd_id", "label"), "cmd_id")
+    found = {"one_class_svm": one_class, "isolation_forest": forest, "local_outlier_factor": factor}
+    return _union(
+        [rows.select(F.lit(name).alias("detector"), "cmd_id", signed, "prediction") for name, rows in found.items()]
     )
-    model = search.fit(numbered)
-    rows = [
-        (int(c[tree.maxDepth]), int(c[tree.minInstancesPerNode]), float(score))
-        for c, score in zip(candidates, model.avgMetrics, strict=True)
-    ]
-    return df.sparkSession.createDataFrame(rows, "max_depth int, min_leaf int, score double")
+
+
+def text_outlier_report(df: DataFrame, **parameters) -> DataFrame:
+    """Report of :func:`text_outliers` per detector."""
+    return classification_report(text_outliers(df, **parameters), by=("detector",))

@@ -14,7 +14,7 @@ SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
 # Model fits that take long; tools/check.py runs them.
-SLOW = {"injection_report_of_models", "detector_comparison", "learning_curve", "grid_search", "cross_validation"}
+SLOW = {"injection_report_of_models", "detector_comparison", "grid_search", "text_outlier_report"}
 
 
 @pytest.fixture(scope="module")

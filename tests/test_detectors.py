@@ -14,7 +14,7 @@ from auditlens.operators import classifiers, neighbours, quantile, tfidf
 from auditlens.operators.bayes import bayes_fit, bayes_scores
 from auditlens.operators.centroid import centroid_detector, centroid_distance, centroid_fit
 from auditlens.operators.discriminant import discriminant_fit, lda_classify
-from auditlens.operators.isolation import isolation_forest
+from auditlens.operators.isolation import isolation_forest, tree_samples
 from auditlens.operators.nearest import filter_by_distance, nearest_distance, nearest_scores
 from auditlens.operators.oneclass import one_class_fit, one_class_score
 from auditlens.operators.reduction import explained_variance, svd_transform, truncated_svd
@@ -160,7 +160,7 @@ def test_classifiers_on_vectors(frame, block_bytes):
     rows = [(i, p.tolist(), int(p[0] > 0)) for i, p in enumerate(points)]
     train, test = frame(rows[:60], VEC), frame(rows[60:], VEC)
     knn = dict(neighbours.knn_classify(train, test, 5, block_bytes=block_bytes).collect())
-    ball = dict(neighbours.radius_classify(train, test, 1.2, unit_vectors=False, block_bytes=block_bytes).collect())
+    ball = dict(neighbours.radius_classify(train, test, 1.2, block_bytes=block_bytes).collect())
     for key, features, _ in rows[60:]:
         d = sorted((round(float(np.linalg.norm(np.array(f) - features)), 9), j, label) for j, f, label in rows[:60])
         votes = collections.Counter(label for _, _, label in d[:5])
@@ -222,7 +222,7 @@ def test_truncated_svd(spark):
     points = rng.normal(size=(200, 30)) * np.linspace(3, 0.1, 30) + 0.5
     rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, x array<double>").repartition(5)
     df = rows.select("id", array_to_vector("x").alias("features"))
-    model = truncated_svd(df, 6, passes=12)
+    model = truncated_svd(df, 6, tolerance=1e-12)
     _, s, vt = np.linalg.svd(points, full_matrices=False)
     assert model.singular == pytest.approx(s[:6], rel=1e-6)
     got = np.array([r["reduced"] for r in svd_transform(df, model).orderBy("id").collect()])
@@ -247,6 +247,24 @@ def test_svd_of_sparse_vectors_with_empty_rows(frame):
     assert norms == pytest.approx([1.0] * len(norms))
 
 
+def test_radius_of_signed_vectors(frame):
+    """Opposite vectors are 2 apart: a radius of 1.5 does not take in every row."""
+    train = frame([(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [-1.0, 0.0], 1)], VEC)
+    test = frame([(9, [-1.0, 0.0], 0)], VEC)
+    assert neighbours.radius_classify(train, test, 1.5).first()["prediction"] == 1
+    assert neighbours.radius_classify(train, test, 2.1).first()["prediction"] == 0
+
+
+@pytest.mark.parametrize("heavy", [0, 150_000, 290_000])
+def test_quantiles_with_a_heavy_value(spark, heavy):
+    """More copies of one value than the driver may hold, and the rank beside, on and past them."""
+    rest = 300_000 - heavy
+    df = spark.range(300_000).select(F.when(F.col("id") < heavy, F.lit(0.5)).otherwise((F.col("id") - heavy) / rest).alias("v"))
+    values = np.concatenate([np.full(heavy, 0.5), np.arange(rest) / rest])
+    for q in (0.0, 0.002, 0.49, 0.5, 0.51, 0.9, 1.0):
+        assert quantile.exact_quantile(df, "v", q) == pytest.approx(np.quantile(values, q), abs=1e-12)
+
+
 def test_linear_discriminant(frame):
     rng = np.random.default_rng(2)
     points = np.vstack([rng.normal(size=(80, 4)), rng.normal(size=(40, 4)) + [2.5, 0, 1, 0]])
@@ -285,6 +303,16 @@ def test_one_class_svm(frame):
     assert model.weights @ model.weights == pytest.approx(margins.mean(), rel=0.05)
 
 
+def test_every_row_can_be_in_every_tree(frame):
+    """Above the former pool of 20 samples: each tree gets its full sample, drawn from all rows."""
+    rows = [(i, [float(i)], 0) for i in range(6000)]
+    got = tree_samples(frame(rows, VEC), 50, 40, seed=1).toPandas()
+    assert got.groupby("tree").size().tolist() == [40] * 50
+    assert got.duplicated().sum() == 0 and got["id"].nunique() > 1500
+    small = tree_samples(frame(rows[:30], VEC), 3, 40).toPandas()
+    assert small.groupby("tree").size().tolist() == [30] * 3
+
+
 def test_isolation_forest(frame):
     rows = planted()
     results = []
@@ -300,9 +328,11 @@ def test_isolation_forest(frame):
 
 def test_fourier_features_approximate_the_kernel(frame):
     df = frame(make_commands(12, 23), CMD)
-    featured = classifiers.hashed_tfidf(df, 256).transform(df).select("cmd_id", "features")
-    mapped = classifiers.fourier_features(featured, 0.5, 4096, 0, 256)
-    exact = {r["cmd_id"]: r["features"].toArray() for r in featured.collect()}
+    vectors = tfidf.tfidf_vectors(df, tfidf.tfidf_fit(df))
+    mapped = classifiers.fourier_features(vectors, 0.5, 4096, 0)
+    rows = {r["cmd_id"]: {e["term"]: e["weight"] for e in r["vector"]} for r in vectors.collect()}
+    terms = sorted({t for row in rows.values() for t in row})
+    exact = {i: np.array([row.get(t, 0.0) for t in terms]) for i, row in rows.items()}
     approx = {r["cmd_id"]: r["fourier"].toArray() for r in mapped.collect()}
     for i in exact:
         for j in exact:
@@ -324,7 +354,7 @@ def separable(n, seed=0, start=0):
 def test_tree_and_svm_learn(frame):
     train, test = frame(separable(150), CMD), frame(separable(60, 5, 1000), CMD)
     tree = classifiers.predict(classifiers.decision_tree(train, num_features=256), test)
-    svm = classifiers.rbf_svm_predict(classifiers.rbf_svm(train, num_features=256, dimensions=256), test)
+    svm = classifiers.rbf_svm_predict(classifiers.rbf_svm(train, dimensions=256), test)
     for answers in (tree, svm):
         rows = answers.collect()
         assert len(rows) == 60
