@@ -203,17 +203,21 @@ def content_paths(nodes: list[Node]) -> set[str]:
         count[n.path] = count.get(n.path, 0) + 1
     text_ratio = np.array([length[n.path] / count[n.path] for n in shown])
     mark_ratio = np.array([1.0 + marks[n.path] / count[n.path] for n in shown])
-    window = np.ones(2 * SMOOTH + 1)
-    spread = np.convolve(np.ones(len(shown)), window, "same")
-    fused = np.sqrt(
-        (np.convolve(text_ratio, window, "same") / spread) * (np.convolve(mark_ratio, window, "same") / spread)
-    )
+    fused = np.sqrt(_smoothed(text_ratio) * _smoothed(mark_ratio))
     sizes = np.array([len(n.text.strip()) for n in shown], dtype=float)
     least = SHARE * float((fused * sizes).sum() / sizes.sum())
-    best: dict[str, float] = {}
+    values: dict[str, list[float]] = {}
     for n, value in zip(shown, fused, strict=True):
-        best[n.path] = max(best.get(n.path, 0.0), float(value))
-    return {path for path, value in best.items() if value >= least}
+        values.setdefault(n.path, []).append(float(value))
+    # The middle node speaks for a path: its ends may stand next to paths of another kind.
+    return {path for path, own in values.items() if np.median(own) >= least}
+
+
+def _smoothed(values: np.ndarray) -> np.ndarray:
+    """Means over each node and its ``SMOOTH`` neighbours on either side, as far as there are any."""
+    window, n = np.ones(2 * SMOOTH + 1), len(values)
+    spread = np.convolve(np.ones(n), window)[SMOOTH : SMOOTH + n]
+    return np.convolve(values, window)[SMOOTH : SMOOTH + n] / spread
 
 
 def main_text(page: str | None) -> str:

@@ -150,15 +150,24 @@ def test_near_duplicates(documents, mixed_texts):
     assert {r.id: (r.n_shingles, r.component) for r in got} == brute_near(list(enumerate(texts)))
 
 
-def test_long_lists_give_the_pairs_of_the_join(documents):
-    docs = documents(near_corpus())
+def test_long_lists_give_the_links_of_short_ones(documents):
+    texts = near_corpus()
+    docs = documents(texts)
+    sets = minhash.shingle_sets(docs.select(F.col("doc_id").alias("id"), "text"))
     signed = minhash.signatures(docs).where("n > 0")
     lists = signed.select(F.explode("signature").alias("value"), "id", "n", F.col("id").alias("part"), "codes")
     found = [
-        {tuple(r) for r in minhash.candidates(lists, long_list, block).collect()}
-        for long_list, block in ((10**6, 512), (0, 16), (5, 512))
+        {tuple(r) for r in minhash.links_between_parts(lists, sets, *limits).collect()}
+        for limits in ((10**6,), (0, 16), (5, 512, 3000), (0, 10**6, 10**9))
     ]
-    assert found[0] == found[1] == found[2] and len(found[0]) > 1000
+    exact = [shingle_set(t) for t in texts]
+    near = {
+        (i, j)
+        for i in range(len(texts))
+        for j in range(i + 1, len(texts))
+        if 100 * len(exact[i] & exact[j]) >= 75 * len(exact[i] | exact[j])
+    }
+    assert found[0] == found[1] == found[2] == found[3] == near and len(near) > 500
 
 
 def test_near_edges(documents):

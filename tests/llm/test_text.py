@@ -168,7 +168,7 @@ def test_scores_of_empty_and_untrained_tables(documents):
     assert ppm.score_documents(documents([]), held).collect() == []
     row = ppm.score_documents(documents(["ab"]), F.lit(True)).collect()[0]
     assert (row.train_tokens, row.n_known, row.n_tokens) == (0, 0, 2)
-    assert math.isclose(row.score, -3 * math.log10(ppm.SYMBOLS), rel_tol=1e-5) and row.base_score < 0
+    assert math.isclose(row.score, -3 * math.log10(ppm.SYMBOLS), rel_tol=1e-5) and row.base_score == 0
 
 
 # Quality --------------------------------------------------------------------------------------------------------
@@ -176,7 +176,8 @@ def test_scores_of_empty_and_untrained_tables(documents):
 
 def quality_corpus():
     good = [words(i, 30 + i) + ". " + words(1000 + i, 20).capitalize() for i in range(60)]
-    bad = [("spam " * 40) if i % 3 == 0 else words(i, 40).upper() if i % 3 == 1 else words(i, 40).replace(" ", "*** ") for i in range(40)]
+    kinds = [lambda i: "spam " * 40, lambda i: words(i, 40).upper(), lambda i: words(i, 40).replace(" ", "*** ")]
+    bad = [kinds[i // 3 % 3](i) for i in range(40)]
     return good, bad
 
 
@@ -217,7 +218,7 @@ def test_shingles():
     ids = WordIds()
     assert len(shingles(word_ids(None, ids))) == 0
     assert len(shingles(word_ids(b"a b", ids))) == 1
-    assert len(shingles(word_ids(b"a b c d e f a b c d e", ids))) == 6 + 0 * 1 or True
+    assert len(shingles(word_ids(b"a b c d e f a b c d e", ids))) == 6
     assert (shingles(word_ids(b"A B\tc", ids)) == shingles(word_ids(b"a  b\nC", ids))).all()
     assert shingles(word_ids(b"a b", ids))[0] != shingles(word_ids(b"a b c", ids))[0]
 
