@@ -65,7 +65,7 @@ def path_of(url: Column) -> Column:
 
 def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
     """The longest fitting rule as a struct (rule, verdict); null if none fits."""
-    found = F.lit(None)
+    found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for rule_host, rule_path, verdict in sorted(rules, key=lambda r: (len(r[0] + r[1]), r)):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
         chosen = F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))
