@@ -67,6 +67,20 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 null_safe_join = _null_safe_join
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, share: float = 0.001) -> DataFrame:
+    """Join ``rows`` with ``groups``, unique per key, where ``size`` is a group's number of rows.
+
+    Groups with more than ``share`` of all rows (at most 1/share of them) are broadcast, so that a key with
+    a third of the rows is joined where its rows lie; the others are shuffled. Both frames are read twice.
+    """
+    total = F.broadcast(groups.agg((F.sum(size) * share).alias("_least")))
+    tagged = groups.join(total)
+    heavy = F.broadcast(tagged.where(F.col(size) > F.col("_least")).drop("_least"))
+    light = tagged.where(F.col(size) <= F.col("_least")).drop("_least")
+    rest = rows.join(heavy.select(*keys), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(rest.join(light, keys))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node reachable.
 

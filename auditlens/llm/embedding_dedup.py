@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import connected_components
+from .common import connected_components, join_groups
 
 BLOCK = 1024
 THRESHOLD = 0.93
@@ -152,11 +152,13 @@ def near_vectors(
         .join(parts, F.col("class") == F.col("node"), "left")
         .select(
             *same,
+            "weight",
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
             F.coalesce("component", "class").alias("component"),
         )
     )
-    linked = valid.drop("vector").join(settled, same).select("id", "n_links", "component")
+    settled = stored(settled, "class-components")
+    linked = join_groups(valid.drop("vector"), settled, same, "weight").select("id", "n_links", "component")
     others = read.where(~usable).select(
         "id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component")
     )

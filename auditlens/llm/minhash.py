@@ -7,11 +7,11 @@ Every distinct shingle set gets a signature of ``COORDINATES`` minima. Sets are
 * Prefix and skip: values held by one set only are never merged. Of a set's remaining s postings,
   rarest first, only the first s - MATCHES + 1 generate candidates: sets with enough in common meet
   there. The long lists behind them are skipped and only counted for pairs already met.
-* No all-pairs output: first every set is compared with one other, the smallest id it meets most
-  often, which already joins a group of thousands of copies into one component by as many links. Then only
-  pairs of different components meet, and the collision count is part of the join, so that a pair
-  below the threshold is never written. The count uses 8-bit codes of the values, seven to a number,
-  and so never counts too few.
+* No all-pairs output: in rounds, every set is compared with one other, a member of the largest component
+  in its lists, which joins a group of thousands of copies by about as many links. Only what these
+  rounds leave in different components then meets pair by pair. The collision count, on 8-bit codes of the
+  values and so never too small, is part of that meeting; long lists are compared block by block together
+  with their full sets, and write confirmed links alone. The rounds save work; the pairs decide.
 * Exact copies, and any sets equal as a whole, are one class from the start.
 
 Documents without words are linked with nothing; fewer words than a shingle are one shingle; null text
@@ -24,18 +24,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import connected_components
+from .common import connected_components, join_groups
 from .words import SHINGLE, WordIds, shingles, word_ids
 
 COORDINATES = 63
 MATCHES = 31
 PERCENT = 75
+LONG_LIST = 16
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 19
+_COLUMNS = 4096
+# Rounds of one partner per set; they end when fewer than one in FRUITLESS of the partners links.
+ROUNDS = 8
+FRUITLESS = 20
 _CHUNK = 2048
 # Codes per number, bits per code with its spare top bit, and the mask of the spare bits.
 _PER_NUMBER = 7
@@ -133,6 +141,130 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").where(common * 100 >= union * PERCENT).select("a", "b")
 
 
+def _labelled(early: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, n, value, part): postings with the component found so far, the id itself where there is none."""
+    return early.join(parts, F.col("id") == F.col("node"), "left").select(
+        "id", "n", "value", F.coalesce("component", "id").alias("part")
+    )
+
+
+def _one_partner(labelled: DataFrame, number: int) -> DataFrame:
+    """(a, b): for every set outside the largest part of its lists one member of such a part.
+
+    Each list names a member of its largest part, another one each round; a set takes the member that
+    most of its lists name.
+    """
+    place = F.xxhash64(F.lit(91 + number), "id")
+    members = labelled.groupBy("value", "part").agg(
+        F.count("*").alias("size"), F.min_by(F.struct("id", "n"), place).alias("named")
+    )
+    lists = (
+        members.groupBy("value")
+        .agg(
+            F.count("*").alias("parts"),
+            F.max_by(F.struct("part", "named"), F.struct("size", -F.col("part"))).alias("top"),
+        )
+        .where("parts > 1")
+        .select("value", F.col("top.part").alias("top"), "top.named")
+    )
+    votes = (
+        labelled.join(lists, "value")
+        .where((F.col("part") != F.col("top")) & _sizes_allow(F.col("n"), F.col("named.n")))
+        .groupBy("id", F.col("named.id").alias("other"))
+        .agg(F.count("*").alias("votes"))
+    )
+    return votes.groupBy("id").agg(F.max_by("other", F.struct("votes", -F.col("other"))).alias("b")).select(
+        F.col("id").alias("a"), "b"
+    )
+
+
+def links_between_parts(
+    lists: DataFrame, sets: DataFrame, long_list: int = LONG_LIST, rows: int = BLOCK_ROWS, shingled: int = BLOCK_SHINGLES
+) -> DataFrame:
+    """Distinct links (a, b) between sets of different parts that meet in a list of (value, id, n, part, codes)
+    and agree in at least ``MATCHES`` codes; ``sets`` has (id, shingles).
+
+    Short lists are joined with themselves, and the pairs confirmed on the sets. A long list is dealt into blocks
+    of bounded rows and shingles; a task takes two of them with their sets and writes the links alone, so that
+    a crowd of sets just below the threshold costs arithmetic, not rows.
+    """
+    sizes = lists.groupBy("value").agg(F.count("*").alias("length"), F.sum("n").alias("shingled"))
+    short = lists.join(sizes.where(F.col("length") <= long_list).select("value"), "value", "left_semi")
+    columns = ("id", "n", "part", "codes")
+    left = short.select("value", *[F.col(c).alias(f"{c}1") for c in columns]).alias("left")
+    right = short.select("value", *[F.col(c).alias(f"{c}2") for c in columns]).alias("right")
+    meeting = (
+        (F.col("left.value") == F.col("right.value"))
+        & (F.col("id1") < F.col("id2"))
+        & (F.col("part1") != F.col("part2"))
+        & _sizes_allow(F.col("n1"), F.col("n2"))
+        & (code_matches("codes1", "codes2") >= MATCHES)
+    )
+    pairs = left.join(right, meeting).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
+    wanted = F.ceil(F.greatest(F.col("length") / rows, F.col("shingled") / shingled)).cast("int")
+    blocks = sizes.where(F.col("length") > long_list).select("value", wanted.alias("blocks"))
+    dealt = lists.join(blocks, "value").withColumn(
+        "block", F.pmod(F.xxhash64(F.lit(81), "id"), F.col("blocks")).cast("int")
+    )
+    tiles = (
+        dealt.join(sets, "id")
+        .withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"one": F.least("block", "partner"), "other": F.greatest("block", "partner")})
+        .select("value", "one", "other", "block", *columns, "shingles")
+    )
+    compared = tiles.groupBy("value", "one", "other").applyInPandas(_compare, "a long, b long")
+    return confirmed(pairs, sets).unionByName(compared).distinct()
+
+
+def _compare(tile: pd.DataFrame) -> pd.DataFrame:
+    """The links between two blocks of a list, or inside one."""
+    block = tile["block"].to_numpy()
+    numbers = np.stack(tile["codes"].to_numpy())
+    shifts = np.arange(_PER_NUMBER, dtype=np.int64) * _FIELD
+    fields = ((numbers[:, :, None] >> shifts) & 255).astype(np.uint8).reshape(len(tile), -1)
+    ids, sizes, parts = (tile[c].to_numpy() for c in ("id", "n", "part"))
+    first, second = np.flatnonzero(block == tile["one"].iloc[0]), np.flatnonzero(block == tile["other"].iloc[0])
+    may = np.zeros((len(first), len(second)), dtype=bool)
+    for start in range(0, len(first), 64):
+        rows = first[start : start + 64]
+        same = (fields[rows][:, None, :] == fields[second][None, :, :]).sum(axis=2)
+        may[start : start + 64] = (same >= MATCHES) & (parts[rows][:, None] != parts[second][None, :])
+    small, large = (f(sizes[first][:, None], sizes[second][None, :]) for f in (np.minimum, np.maximum))
+    may &= small * 100 >= large * PERCENT
+    if not may.any():
+        return pd.DataFrame({"a": [], "b": []})
+    first, second, may = first[may.any(axis=1)], second[may.any(axis=0)], may[may.any(axis=1)][:, may.any(axis=0)]
+    sets = tile["shingles"].to_numpy()
+    common = _common(sets[first], sets[second])
+    union = sizes[first][:, None] + sizes[second][None, :] - common
+    i, j = np.nonzero(may & (common * 100 >= union * PERCENT))
+    pairs = np.stack([ids[first[i]], ids[second[j]]], axis=1)
+    return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+
+
+def _common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets: products of their incidence matrices, some columns at a time."""
+    common = np.zeros((len(left), len(right)), dtype=np.int64)
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for sets in (left, right):
+        rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        values = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
+        held = shared[at] == values if len(shared) else np.zeros(len(values), dtype=bool)
+        order = np.argsort(at[held], kind="stable")
+        sides.append((rows[held][order], at[held][order]))
+    for start in range(0, len(shared), _COLUMNS):
+        matrices = []
+        for sets, (rows, at) in zip((left, right), sides, strict=True):
+            low, high = np.searchsorted(at, [start, start + _COLUMNS])
+            matrix = np.zeros((len(sets), min(_COLUMNS, len(shared) - start)), dtype=np.float32)
+            matrix[rows[low:high], at[low:high] - start] = 1
+            matrices.append(matrix)
+        common += np.rint(matrices[0] @ matrices[1].T).astype(np.int64)
+    return common
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
     """(id, n_shingles, component) for every row; ``component`` is the smallest id reachable by links."""
     signed = stored(signatures(docs, key, text, width), "signatures")
@@ -140,50 +272,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     filled = signed.where("n > 0 and id is not null")
     classes = stored(
         filled.groupBy(*same)
-        .agg(F.min("id").alias("class"), F.min_by(F.struct("signature", "codes"), "id").alias("held"))
-        .select(*same, "class", "held.signature", "held.codes"),
+        .agg(
+            F.min("id").alias("class"),
+            F.count("*").alias("rows"),
+            F.min_by(F.struct("signature", "codes"), "id").alias("held"),
+        )
+        .select(*same, "class", "rows", "held.signature", "held.codes"),
         "classes",
     )
     postings = classes.select(F.col("class").alias("id"), "n", F.explode("signature").alias("value"))
-    # Values that meet: how often, and the smallest id that holds them.
-    met = (
-        postings.groupBy("value")
-        .agg(F.count("*").alias("length"), F.min("id").alias("leader"))
-        .where("length > 1")
-    )
+    met = postings.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
     shared = postings.join(met, "value")
     by_rarity = Window.partitionBy("id").orderBy("length", "value")
     whole = Window.partitionBy("id")
-    prefix = stored(
+    early = stored(
         shared.withColumns({"meets": F.count("*").over(whole), "rank": F.row_number().over(by_rarity)})
-        .where(F.col("meets") >= MATCHES)
-        .select("id", "n", "value", "leader", (F.col("rank") <= F.col("meets") - MATCHES + 1).alias("early")),
-        "postings",
+        .where(F.col("rank") <= F.col("meets") - MATCHES + 1)
+        .select("id", "n", "value"),
+        "early-postings",
     )
-    eligible = prefix.select("id").distinct()
+    eligible = early.select("id").distinct()
     texts = docs.select(F.col(key).cast("bigint").alias("id"), text).withColumnRenamed(text, "text")
     sets = stored(
         shingle_sets(texts.join(eligible, "id", "left_semi").dropDuplicates(["id"]), width), "sets"
     )
-    sizes = classes.select(F.col("class").alias("id"), "n")
 
-    # One link per set: to the leader it meets most often.
-    votes = prefix.where("leader <> id").groupBy("id", "n", "leader").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("id", "n").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("leader"))
-    stars = (
-        chosen.join(sizes.select(F.col("id").alias("leader"), F.col("n").alias("m")), "leader")
-        .where(_sizes_allow(F.col("n"), F.col("m")))
-        .select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    )
-    links = stored(confirmed(stars, sets), "star-links")
-    parts = stored(connected_components(links), "star-components")
+    links = stored(sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), "links")
+    parts = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for number in range(ROUNDS):
+        tried = stored(_one_partner(_labelled(early, parts), number), "partners")
+        fresh = stored(confirmed(tried.select("a", "b"), sets), "links")
+        links = stored(links.unionByName(fresh), "links")
+        parts = stored(connected_components(links), "components")
+        if fresh.count() * FRUITLESS < tried.count():
+            break
 
     # What is left: lists whose sets are in different components.
-    labelled = (
-        prefix.where("early")
-        .join(parts, F.col("id") == F.col("node"), "left")
-        .select("id", "n", "value", F.coalesce("component", "id").alias("part"))
-    )
+    labelled = _labelled(early, parts)
     mixed = labelled.groupBy("value").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
     open_lists = stored(
         labelled.join(mixed.select("value"), "value", "left_semi").join(
@@ -191,33 +316,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         ),
         "open-lists",
     )
-    columns = ("id", "n", "part", "codes")
-    left = open_lists.select("value", *[F.col(c).alias(f"{c}1") for c in columns]).alias("left")
-    right = open_lists.select("value", *[F.col(c).alias(f"{c}2") for c in columns]).alias("right")
-    meeting = (
-        (F.col("left.value") == F.col("right.value"))
-        & (F.col("id1") < F.col("id2"))
-        & (F.col("part1") != F.col("part2"))
-        & _sizes_allow(F.col("n1"), F.col("n2"))
-        & (code_matches("codes1", "codes2") >= MATCHES)
-    )
-    pairs = (
-        left.join(right, meeting)
-        .select(F.col("id1").alias("a"), F.col("id2").alias("b"))
-        .distinct()
-    )
-    links = links.unionByName(confirmed(pairs, sets))
+    links = links.unionByName(links_between_parts(open_lists, sets))
     components = connected_components(links)
 
     linked = classes.join(components, F.col("class") == F.col("node"), "left").select(
-        *same, F.coalesce("component", "class").alias("component")
+        *same, "rows", F.coalesce("component", "class").alias("component")
     )
     single = signed.where("n = 0 or id is null").select(
         "id", F.col("n").alias("n_shingles"), F.col("id").alias("component")
     )
     return (
-        filled.select("id", *same)
-        .join(linked, same)
+        join_groups(filled.select("id", *same), stored(linked, "class-components"), same, "rows")
         .select("id", F.col("n").alias("n_shingles"), "component")
         .unionByName(single)
     )

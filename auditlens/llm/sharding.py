@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import crc32_of, n_bytes, numbered
+from .common import crc32_of, join_groups, n_bytes, numbered
 
 ROW_CHARGE = 16
 BINS = 4096
@@ -55,11 +55,12 @@ def place(rows: DataFrame, heavy_bytes: float) -> DataFrame:
     A coordinate is a value on a grid plus a fraction of the grid's step that is equal for equal texts.
     """
     groups = rows.groupBy("text_key", "text_crc32").agg(
+        F.count("*").alias("group_rows"),
         F.sum("size").alias("group_bytes"),
         F.min(F.coalesce("source", F.lit("￿"))).alias("group_source"),
         F.min(F.coalesce("lang", F.lit("￿"))).alias("group_lang"),
     )
-    both = rows.join(groups, ["text_key", "text_crc32"])
+    both = join_groups(rows, groups, ["text_key", "text_crc32"], "group_rows")
     jitter = F.when(F.col("group_bytes") > heavy_bytes, _unit(31, F.col("id"))).otherwise(
         _unit(32, F.col("text_key"), F.col("text_crc32"))
     )
