@@ -121,8 +121,11 @@ def radius_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     select cmd_id, (select label from winner) as prediction from labelled where {IS_TEST}"""
 )
 def radius_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF vectors and the published radius, which takes in every row: their lengths are measured."""
     train, test = train_test_split(labelled(spark, sf_dir), 0.2, "cmd_id")
-    return neighbours.radius_classify(train, test, 500.0, "cmd_id")
+    model = tfidf.tfidf_fit(train)
+    sides = [stored(tfidf.tfidf_vectors(rows, model, keep=("label",)), "vectors") for rows in (train, test)]
+    return neighbours.radius_classify(sides[0], sides[1], 500.0, "cmd_id")
 
 
 @CATALOG.query(
