@@ -144,7 +144,7 @@ def grid_search(
     depths: Sequence[int] = (3, 6, 9),
     leaves: Sequence[int] = (1, 5),
     folds: int = 3,
-    num_features: int | None = None,
+    num_features: int | None = classifiers.FEATURES,
 ) -> DataFrame:
     """``(max_depth, min_leaf, score)``: mean accuracy of a decision tree over hash-ordered folds.
 

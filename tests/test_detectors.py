@@ -222,7 +222,7 @@ def test_truncated_svd(spark):
     points = rng.normal(size=(200, 30)) * np.linspace(3, 0.1, 30) + 0.5
     rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, x array<double>").repartition(5)
     df = rows.select("id", array_to_vector("x").alias("features"))
-    model = truncated_svd(df, 6, tolerance=1e-12)
+    model = truncated_svd(df, 6, passes=60, tolerance=1e-12)
     _, s, vt = np.linalg.svd(points, full_matrices=False)
     assert model.singular == pytest.approx(s[:6], rel=1e-6)
     got = np.array([r["reduced"] for r in svd_transform(df, model).orderBy("id").collect()])
