@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_entropy
+from .common import join_groups
 
 TRAIN_ROWS = 20_000
 TREES = 20
@@ -110,9 +111,9 @@ def with_suffix_statistics(urls: DataFrame, labelled: DataFrame) -> DataFrame:
     table = (
         rows.join(marks, "suffix", "left")
         .join(F.broadcast(totals))
-        .select("suffix", (F.col("n") / F.col("total")).alias("suffix_share"), blocked.alias("suffix_blocked"))
+        .select("suffix", "n", (F.col("n") / F.col("total")).alias("suffix_share"), blocked.alias("suffix_blocked"))
     )
-    return urls.join(table, "suffix")
+    return join_groups(urls, table, ["suffix"], "n").drop("n")
 
 
 def fit_trees(training: DataFrame) -> GBTClassificationModel | None:
