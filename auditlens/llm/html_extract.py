@@ -4,8 +4,9 @@ Every text node of a page belongs to its root-to-leaf tag path. Per path the len
 punctuation are taken relative to the number of nodes; both ratios are smoothed over neighbouring
 nodes in page order and fused. Paths whose fused value reaches a share of the page's
 length-weighted mean are content. Paths below an element that is never content (menus, footers,
-sidebars, forms, scripts, ... by element, role, or class and id words) weigh nothing; paths below an
-``article`` or ``main`` element are content whatever their length, and then nothing outside is.
+sidebars, forms, scripts, ... by element, role, or class and id words) weigh nothing. Standing below an
+``article`` or ``main`` element is one more weight in the fusion and decides nothing alone; an ``article``
+below page furniture (a teaser in a sidebar) is furniture, unless the page shows no other text.
 
 * null or empty html gives an empty text
 * unclosed and stray tags are repaired as browsers do for paragraphs, lists and tables; an unclosed
@@ -60,6 +61,8 @@ FURNITURE = frozenset(
     """sidebar sidebars sidenav aside menu menus nav navbar navigation breadcrumb breadcrumbs header masthead
     footer notice notices search toolbar topbar widget widgets share sharing social modal overlay popup rail""".split()
 )
+# A name with one of these says how a wrapper is laid out ("has-sidebar"), not what it is.
+LAYOUT = frozenset("has have with without no".split())
 FOREIGN = frozenset(
     """ad ads advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored cookie
     cookies consent gdpr notification comment comments commentlist respond reply replies discussion disqus
@@ -68,12 +71,14 @@ FOREIGN = frozenset(
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？；：]")
 SHARE = 0.3
+INSIDE = 2.0
 SMOOTH = 1
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_HEADERS = re.compile(r"(?:/(?:header|hgroup))+\Z")
 _SPACE = re.compile(r"\s+")
 _MARK_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -87,6 +92,7 @@ class Node:
     block: int
     banned: bool
     inside: bool
+    around: bool = False
 
 
 @dataclass
@@ -97,6 +103,7 @@ class _Open:
     furniture: bool
     inside: bool
     header: bool = field(default=False)
+    around: bool = field(default=False)
 
 
 def _marks(attributes: str) -> tuple[bool, bool]:
@@ -110,9 +117,10 @@ def _marks(attributes: str) -> tuple[bool, bool]:
         elif name == "role":
             furniture |= value.strip().lower() in ROLES
         else:
-            words = {w.lower() for w in _MARK_WORDS.findall(value)}
-            furniture |= not FURNITURE.isdisjoint(words)
-            foreign |= not FOREIGN.isdisjoint(words)
+            for mark in value.split():
+                words = {w.lower() for w in _MARK_WORDS.findall(mark)}
+                furniture |= not FURNITURE.isdisjoint(words) and LAYOUT.isdisjoint(words)
+                foreign |= not FOREIGN.isdisjoint(words)
     return furniture, foreign
 
 
@@ -120,12 +128,20 @@ def _opened(parent: _Open, name: str, attributes: str) -> _Open:
     furniture, foreign = _marks(attributes) if name != "body" else (False, False)
     banned = parent.banned or foreign or name in NEVER
     container = name in CONTAINERS and not banned
-    # An article is one whatever furniture is named around it; what is named inside it is not.
+    # Furniture named around the outermost article is noted, apart from what is named inside it. A page has one
+    # main element, so that is no furniture.
+    around = parent.around or (name == "article" and container and not parent.inside and parent.furniture)
     furniture = False if container and not parent.inside else parent.furniture or (furniture and not container)
     if name == "header" and not parent.inside:
         furniture = True
     return _Open(
-        name, f"{parent.path}/{name}", banned, furniture, parent.inside or container, parent.header or name == "header"
+        name,
+        f"{parent.path}/{name}",
+        banned,
+        furniture,
+        parent.inside or container,
+        parent.header or name == "header",
+        around,
     )
 
 
@@ -140,7 +156,7 @@ def text_nodes(page: str) -> list[Node]:
             # The header of an article holds its headings and much else; only the headings are kept.
             headed = top.inside and top.header and not any(o.name in HEADINGS for o in stack)
             banned = top.banned or top.furniture or headed
-            nodes.append(Node(html.unescape(text), top.path, block, banned, top.inside))
+            nodes.append(Node(html.unescape(text), top.path, block, banned, top.inside, top.around))
 
     def close(names: tuple[str, ...]) -> None:
         """End the innermost open element of ``names`` in scope, with all inside it."""
@@ -155,7 +171,7 @@ def text_nodes(page: str) -> list[Node]:
         m = _TOKEN.search(page, at)
         add(page[at : m.start()] if m else page[at:])
         if not m:
-            return nodes
+            return _without_teasers(nodes)
         at = m.end()
         if m.group(2) is None:
             continue
@@ -188,10 +204,16 @@ def text_nodes(page: str) -> list[Node]:
         stack.append(_opened(stack[-1], name, m.group(3)))
 
 
+def _without_teasers(nodes: list[Node]) -> list[Node]:
+    """``nodes`` with the articles below furniture banned, if the page shows anything else."""
+    if any(not n.banned and not n.around and n.text.strip() for n in nodes):
+        for n in nodes:
+            n.banned |= n.around
+    return nodes
+
+
 def content_paths(nodes: list[Node]) -> set[str]:
     """The paths whose smoothed, fused ratios mark content."""
-    if any(n.inside and not n.banned and n.text.strip() for n in nodes):
-        return {n.path for n in nodes if n.inside and not n.banned}
     shown = [n for n in nodes if not n.banned and n.text.strip()]
     if not shown:
         return set()
@@ -203,7 +225,13 @@ def content_paths(nodes: list[Node]) -> set[str]:
         count[n.path] = count.get(n.path, 0) + 1
     text_ratio = np.array([length[n.path] / count[n.path] for n in shown])
     mark_ratio = np.array([1.0 + marks[n.path] / count[n.path] for n in shown])
-    fused = np.sqrt(_smoothed(text_ratio) * _smoothed(mark_ratio))
+    container = np.array([INSIDE if n.inside else 1.0 for n in shown])
+    fused = np.sqrt(_smoothed(text_ratio) * _smoothed(mark_ratio)) * container
+    # A heading is worth what the text it heads is worth.
+    for i in range(len(shown) - 2, -1, -1):
+        section, _, last = shown[i].path.rpartition("/")
+        if last in HEADINGS and shown[i + 1].path.startswith(_HEADERS.sub("", section) + "/"):
+            fused[i] = max(fused[i], fused[i + 1])
     sizes = np.array([len(n.text.strip()) for n in shown], dtype=float)
     least = SHARE * float((fused * sizes).sum() / sizes.sum())
     values: dict[str, list[float]] = {}

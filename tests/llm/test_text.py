@@ -263,6 +263,20 @@ def test_odd_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_ratios_decide_below_containers_too():
+    body = "".join(f"<h2>Part {i}</h2><p>{words(i, 40)}, {words(i + 90, 20)}. {words(i + 50, 30)}.</p>" for i in range(5))
+    links = "".join(f"<li><a href=x>link {i}</a></li>" for i in range(12))
+    # A link list inside main is left out; the headings of the text stay.
+    text = html_extract.main_text(f"<main>{body}<ul>{links}</ul></main>")
+    assert "link" not in text and text.count("Part") == 5 and text.count("\n") == 9
+    # A teaser in a sidebar neither hides the text of the page nor is content.
+    teaser = "<div class='sidebar'><article><p>Read this next, it is a teaser.</p></article></div>"
+    text = html_extract.main_text(f"{teaser}<div>{body}</div>")
+    assert "teaser" not in text and words(4, 40) in text
+    assert "teaser" in html_extract.main_text(teaser)
+    assert "teaser" in html_extract.main_text(f"<p>skip</p>{teaser.replace('sidebar', 'has-sidebar')}")
+
+
 def test_pages_as_rows(spark):
     rows = [(i, "u", p, "x", "y") for i, p in enumerate([PAGE, None, "", PAGE])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, id string, text string")
