@@ -1,8 +1,9 @@
 """URL verdicts: explicit rules first, gradient-boosted trees on lexical features for the rest.
 
-The trees learn from labelled URLs, at most ``TRAIN_ROWS`` of them, picked by a hash of the URL. Features
-are lengths, depth, digit share, entropy, parameter counts, and statistics of the host's suffix: how many
-of all URLs share it (counted over every row) and the smoothed share of blocked ones among labelled URLs.
+The trees learn from labelled URLs, at most ``TRAIN_ROWS`` distinct ones, picked by a hash of the URL, each
+weighted by its rows. Features are lengths, depth, digit share, entropy, parameter counts, and statistics of
+the host's suffix: how many of all URLs share it and the smoothed share of blocked ones among labelled URLs,
+both counted over every row.
 
 * host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; path: from there
   up to ``?``, ``#`` or the end; a null URL or one without ``://`` has both empty, as strings
@@ -117,13 +118,19 @@ def with_suffix_statistics(urls: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def fit_trees(training: DataFrame) -> GBTClassificationModel | None:
-    """Trees on rows with ``LEXICAL`` and label (1: block); None unless both classes occur."""
+    """Trees on rows with ``LEXICAL``, label (1: block) and weight; None unless both classes occur."""
     if training.select("label").distinct().count() < 2:
         return None
     assembled = VectorAssembler(inputCols=list(LEXICAL), outputCol="lexical").transform(training)
     return GBTClassifier(
-        labelCol="label", featuresCol="lexical", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=5
-    ).fit(assembled.select("lexical", "label"))
+        labelCol="label",
+        featuresCol="lexical",
+        weightCol="weight",
+        maxIter=TREES,
+        maxDepth=DEPTH,
+        stepSize=0.2,
+        seed=5,
+    ).fit(assembled.select("lexical", "label", "weight"))
 
 
 def judge_urls(
@@ -153,12 +160,16 @@ def judge_urls(
         )
     else:
         marked = parsed(labelled, F.col("label").cast("double").alias("label")).where("label in (0, 1)")
-    sample = stored(marked.orderBy(F.xxhash64(F.lit(61), "url"), "url").limit(train_rows), "labelled-urls")
-    table = with_suffix_statistics(rows, sample.select("suffix", "label"))
+    # The bound is on what the trees are fitted to; the suffix statistics take every labelled row.
+    distinct = marked.groupBy("url", "host", "path", "suffix", "label").agg(F.count("*").cast("double").alias("weight"))
+    sample = stored(
+        distinct.orderBy(F.xxhash64(F.lit(61), "url"), "url", "label").limit(train_rows), "labelled-urls"
+    )
+    table = with_suffix_statistics(rows, marked.select("suffix", "label"))
     suffixes = table.select("suffix", "suffix_share", "suffix_blocked").distinct()
     training = stored(
         lexical_features(sample.join(suffixes, "suffix", "left")).select(
-            *[F.coalesce(f, F.lit(0.0)).alias(f) for f in LEXICAL], "label"
+            *[F.coalesce(f, F.lit(0.0)).alias(f) for f in LEXICAL], "label", "weight"
         ),
         "training-urls",
     )

@@ -160,6 +160,25 @@ def test_trees_learn_from_labelled_urls(spark):
     assert np.mean(right) > 0.95
 
 
+def test_suffixes_are_counted_beyond_the_training_sample(spark):
+    urls = [(f"https://{words(i, 1)}.site{s}.org/{words(i, 2).replace(' ', '/')}", s % 2) for s in range(40) for i in range(30)]
+    marks = spark.createDataFrame(urls, "url string, label int")
+    pages = spark.createDataFrame([(s, f"https://new.site{s}.org/page") for s in range(40)], "page_id long, url string")
+    got = url_filter.judge_urls(pages, rules=(), labelled=marks, train_rows=30).collect()
+    assert [r.id % 2 for r in got] == [int(r.verdict == "block") for r in got]
+
+
+def test_a_hot_url_does_not_fill_the_training_sample(spark):
+    good = [f"https://a{i}.example.com/news/{i}" for i in range(50)]
+    bad = [f"http://b{i}.example.com/p/{i * 104729}?a={i}&b={i}&c=1" for i in range(50)]
+    frame = spark.createDataFrame([(u, 0) for u in good] + [(u, 1) for u in bad], "url string, label int")
+    first = frame.orderBy(F.xxhash64(F.lit(61), "url"), "url").first()
+    marks = frame.unionByName(spark.createDataFrame([(first.url, first.label)] * 150, frame.schema))
+    pages = spark.createDataFrame(list(enumerate(good + bad)), "page_id long, url string")
+    got = url_filter.judge_urls(pages, rules=(), labelled=marks, train_rows=100).collect()
+    assert np.mean([(r.verdict == "block") == (r.id >= 50) for r in got]) > 0.95
+
+
 def test_url_edges(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge_urls(empty).collect() == []
