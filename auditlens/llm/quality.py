@@ -148,7 +148,9 @@ def _bytes(docs: DataFrame, key: str, text: str) -> DataFrame:
 def training_rows(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``rows`` documents of ``labels`` (id, label), picked by hash."""
+    """Features and labels of at most ``rows`` documents of ``labels`` (id, label), picked by hash.
+
+    Rows that repeat an id train once, by the smallest of their features."""
     known = labels.where("id is not null and label in (0, 1)").dropDuplicates(["id"])
     picked = F.broadcast(known.orderBy(F.xxhash64(F.lit(51), "id"), "id").limit(rows))
 
@@ -161,7 +163,8 @@ def training_rows(
             )
 
     joined = _bytes(docs, key, text).join(picked, "id").select(F.col("id").cast("string").alias("id"), "label", "text")
-    found = joined.mapInArrow(run, "id string, label int, f array<double>").collect()
+    each = joined.mapInArrow(run, "id string, label int, f array<double>")
+    found = each.groupBy("id", "label").agg(F.min("f").alias("f")).collect()
     found.sort(key=lambda r: (r["id"], r["label"], r["f"]))
     x = np.array([r["f"] for r in found], dtype=float).reshape(len(found), len(FEATURES))
     return x, np.array([r["label"] for r in found], dtype=int)

@@ -214,6 +214,13 @@ def test_training_sample_is_bounded(spark, documents):
     assert len(rows) == len(labels) == 30
 
 
+def test_repeated_ids_train_once(spark, documents):
+    docs = documents(["a b c"] * 100 + ["A! B!", "d e"], ids=[1] * 100 + [2, 3])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "id long, label int")
+    x, y = quality.training_rows(docs, labels, rows=3)
+    assert x.shape == (3, len(quality.FEATURES)) and sorted(y) == [0, 1, 1]
+
+
 def test_shingles():
     ids = WordIds()
     assert len(shingles(word_ids(None, ids))) == 0
