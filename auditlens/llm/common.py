@@ -31,6 +31,12 @@ def id_remainder(key: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def row_key(df: DataFrame) -> Column:
+    """128 bits of a row's whole content: equal rows share it, and nulls tell columns apart."""
+    values = [part for c in df.columns for part in (F.isnull(df[c]), df[c])]
+    return F.struct(F.xxhash64(F.lit(91), *values).alias("a"), F.xxhash64(F.lit(92), *values).alias("b"))
+
+
 def numbered(df: DataFrame, groups: list[str], key: str, slot: str, per_bucket: int = 1000) -> DataFrame:
     """Add ``slot``: 0, 1, 2, ... without gaps inside each group, whatever the group's size.
 

@@ -53,7 +53,12 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", suppo
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay. Rows without an id cannot be told apart and always stay."""
+    """The rows of ``docs`` that stay. Rows without an id cannot be told apart and always stay.
+
+    A row is dropped by its id and its digest: an id that also occurs with another text keeps that row.
+    """
     groups = exact_groups(docs, key, text)
-    dropped = groups.where(F.col("id") != F.col("keep")).select(F.col("id").alias("_id")).distinct()
-    return docs.join(dropped, docs[key] == F.col("_id"), "left_anti")
+    copies = groups.where(F.col("id") != F.col("keep"))
+    dropped = copies.select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    same = (docs[key] == F.col("_id")) & (normalised_sha256(docs[text]) == F.col("_digest"))
+    return docs.join(dropped, same, "left_anti")

@@ -332,8 +332,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     )
 
 
+def _keep_one_of_each_text(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """:func:`keep_one_of_each` where ids repeat with other texts: distinct (id, text) are numbered in id order."""
+    digest = F.sha2(F.coalesce(docs[text], F.lit("")), 256)
+    named = stored(docs.select(docs[key].alias("id"), digest.alias("digest"), docs[text].alias("text")), "texts")
+    # Sorted into ranges, so that numbers rise with ids; stored, so that they are drawn once.
+    numbers = stored(
+        named.where("id is not null")
+        .select("id", "digest")
+        .distinct()
+        .orderBy("id", "digest")
+        .withColumn("number", F.monotonically_increasing_id()),
+        "numbers",
+    )
+    found = near_duplicates(named.join(numbers, ["id", "digest"]).dropDuplicates(["number"]), "number", "text")
+    of_component = numbers.select(F.col("number").alias("component"), F.col("id").alias("kept"))
+    dropped = (
+        found.where("id <> component")
+        .withColumnRenamed("id", "number")
+        .join(of_component, "component")
+        .join(numbers, "number")
+        .where("id <> kept")
+        .select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    )
+    return docs.join(dropped, (docs[key] == F.col("_id")) & (digest == F.col("_digest")), "left_anti")
+
+
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that are near copies of one with a smaller id."""
+    """``docs`` without the documents that are near copies of one with a smaller id.
+
+    If an id occurs with several texts, every (id, text) is a document of its own.
+    """
+    body = F.coalesce(docs[text], F.lit(""))
+    hashes = docs.select(docs[key].alias("id"), F.xxhash64(body).alias("h")).where("id is not null")
+    if not hashes.groupBy("id").agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 <> h2").isEmpty():
+        return _keep_one_of_each_text(docs, key, text)
     dropped = (
         near_duplicates(docs, key, text).where("id <> component").select(F.col("id").alias("_id")).distinct()
     )

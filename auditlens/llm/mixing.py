@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import n_words, null_safe_join
+from .common import join_groups, n_words, null_safe_join, row_key
 
 NEWTON_STEPS = 80
 TOLERANCE = 1e-9
@@ -101,18 +101,39 @@ def mix_sources(
     per_salt: int = 256,
 ) -> DataFrame:
     """(id, source, size, source_size, target, rate, copies) for every row of ``docs``."""
+    groups = mix_groups(docs, weights, most, key, text, source, per_salt)
+    each, more = F.col("copies") / F.col("same"), F.col("copies") % F.col("same")
+    rows = groups.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("same"))))
+    return rows.withColumn("copies", F.floor(each) + (F.col("_row") <= more).cast("bigint")).drop("same", "_row")
+
+
+def mix_groups(
+    docs: DataFrame,
+    weights: Sequence[float] = (1, 2, 3),
+    most: int = 3,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    per_salt: int = 256,
+) -> DataFrame:
+    """(id, source, size, source_size, target, rate, same, copies): ``same`` rows of ``docs`` are equal in id,
+    source and size, and take ``copies`` together. They are counted before any shuffle by cell."""
     sized = stored(
-        docs.select(F.col(key).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")),
+        docs.select(F.col(key).alias("id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+        .groupBy("id", "source", "size")
+        .agg(F.count("*").alias("same")),
         "sizes",
     )
     sources = stored(
-        source_targets(sized, weights, most).withColumn(
+        source_targets(
+            sized.select("source", (F.col("size") * F.col("same")).alias("size")), weights, most
+        ).withColumn(
             "rate", dual_rate(F.col("source_size"), F.col("target"), most)
         ),
         "sources",
     )
     # At most one row per distinct size and source, however many documents there are.
-    histogram = sized.groupBy("source", "size").agg(F.count("*").alias("rows"))
+    histogram = sized.groupBy("source", "size").agg(F.sum("same").alias("rows"))
     cells = null_safe_join(histogram, sources.select("source", "rate"), ["source"]).withColumn(
         "most", F.lit(int(most))
     )
@@ -128,7 +149,7 @@ def mix_sources(
         "salt", F.pmod(F.xxhash64(F.lit(21), "id"), salts).cast("int")
     )
     counts = tagged.groupBy(*cell, "salt").agg(
-        F.count("*").alias("n"), F.max("rows").alias("rows"), F.max("copies").alias("copies")
+        F.sum("same").alias("n"), F.max("rows").alias("rows"), F.max("copies").alias("copies")
     )
     running = Window.partitionBy(*cell).orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("n").over(running)
@@ -141,11 +162,33 @@ def mix_sources(
         *cell, "salt", (share(F.col("upto")) - share(F.col("upto") - F.col("n"))).alias("extra")
     )
     inside = Window.partitionBy(*cell, "salt").orderBy(F.xxhash64(F.lit(22), "id"), "id")
-    picked = null_safe_join(tagged, shares, [*cell, "salt"]).withColumn("place", F.row_number().over(inside))
-    copies = F.floor(F.col("copies") / F.col("rows")) + (F.col("place") <= F.col("extra")).cast("bigint")
+    before = F.sum("same").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("same")
+    picked = null_safe_join(tagged, shares, [*cell, "salt"]).withColumn("before", before)
+    favoured = F.greatest(F.lit(0), F.least("same", F.col("extra") - F.col("before")))
+    copies = F.floor(F.col("copies") / F.col("rows")) * F.col("same") + favoured
     return null_safe_join(
-        picked.select("id", *cell, copies.cast("bigint").alias("copies")), sources, ["source"]
-    ).select("id", "source", "size", "source_size", "target", "rate", "copies")
+        picked.select("id", *cell, "same", copies.cast("bigint").alias("copies")), sources, ["source"]
+    ).select("id", "source", "size", "source_size", "target", "rate", "same", "copies")
+
+
+def take_mixed(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, whatever ids are null or repeat.
+
+    Rows are told apart by their whole content. Rows that no other equals are repeated where the join finds
+    them; of equal rows one stands for all and is repeated as often as they are taken together.
+    """
+    keyed = docs.withColumn("_key", row_key(docs))
+    mix = mix_groups(keyed, key="_key", **options)
+    taken = stored(
+        mix.where("copies > 0").select(
+            F.col("id").alias("_key"), F.col("same").alias("_same"), F.col("copies").alias("_copies")
+        ),
+        "taken",
+    )
+    found = join_groups(keyed, taken, ["_key"], "_same")
+    one = found.where("_same > 1").dropDuplicates(["_key"])
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    return found.where("_same = 1").unionByName(one).withColumn("_copy", again).select(*docs.columns)
 
 
 def repeat_documents(docs: DataFrame, mix: DataFrame, key: str = "doc_id") -> DataFrame:

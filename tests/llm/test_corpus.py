@@ -110,6 +110,31 @@ def test_newton_meets_small_and_capped_targets(spark):
     assert np.allclose(got, [1e-6, 3.0, 1.0, 0.0, 0.0], rtol=1e-8)
 
 
+def test_null_and_repeated_ids_through_the_stages(documents):
+    """Null ids, one row 50 times, and one id with two texts."""
+    copy, other, single = words(1, 90), words(2, 80), words(3, 70)
+    texts = [copy, copy, other] + [single] * 50 + [words(4, 60), words(5, 50)]
+    ids = [1, 5, 5] + [7] * 50 + [None, None]
+    docs = documents(texts, ids=ids, sources=["x"] * len(texts))
+    expected = sorted(t for i, t in enumerate(texts) if i != 1)
+    exact = exact_dedup.drop_exact_copies(docs)
+    assert sorted(r.text for r in exact.collect()) == expected
+    near = [copy.replace(copy.split()[40], "changed")] + texts[1:]
+    assert sorted(r.text for r in minhash.keep_one_of_each(documents(near, ids=ids)).collect()) == sorted(
+        near[:1] + near[2:]
+    )
+    for weights in ((1,), (1, 2)):
+        sources = ["x", "y"] * (len(texts) // 2) + ["x"]
+        frame = documents(texts, ids=ids, sources=sources)
+        took = {}
+        for r in mixing.take_mixed(frame, weights=weights).collect():
+            took.setdefault(r.source, []).append(r.text)
+        sizes = {s: sum(len(t.split()) for t, o in zip(texts, sources, strict=True) if o == s) for s in "xy"}
+        for s, target in brute_targets(sizes, weights).items():
+            assert abs(sum(len(t.split()) for t in took[s]) - target) <= 90
+    assert sorted(r.text for r in mixing.take_mixed(docs).collect()) == sorted(texts)
+
+
 def test_repeated_documents(documents):
     docs = documents(["a", "b", "c"])
     mix = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("copies"))
