@@ -11,8 +11,9 @@ backwards from the end.
 * a pair is tested by replaying the merges of both pieces side by side: it fails when a merge across the
   border is next; results are kept in a bounded dictionary
 * a character that no piece holds is never merged: it stands for its bytes, and the table starts anew
-* texts are cut before a run of spaces when no piece holds another character before one, and around line ends
-  and tabs that no piece holds; the ids of short stretches are kept in a bounded dictionary
+* texts are cut before a run of spaces when no piece holds another character before one, between letters and
+  other characters when no piece holds both, and around line ends and tabs that no piece holds; the ids of
+  short stretches are kept in a bounded dictionary
 * a null or empty text has the end id alone, as without any text there is no leading space either; texts are
   encoded whole, in time and memory proportional to their length; invalid UTF-8 counts as U+FFFD
 * equal rows give equal results; other columns are never read; an empty table gives an empty result
@@ -31,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import Recent
+
 SPACE = "▁"
 
 # Fixed values of the model file's format: kinds of pieces, and the number of the merge type.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGE_TYPE = 2
 
-KEPT_STRETCHES = 120_000
+KEPT_STRETCHES = 200_000
 KEPT_PAIRS = 400_000
 LONG_STRETCH = 48
 ROWS_AT_ONCE = 200
@@ -113,10 +116,21 @@ class PieceModel:
         self.automaton.make_automaton()
         self.merges: dict[int, tuple[str, str, list] | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.stretches: dict[str, tuple[str, int, str]] = {}
-        lines = "".join(c for c in "\n\r\t" if c not in self.alphabet)
-        whole = any(c == SPACE != b for n in self.scores for b, c in zip(n, n[1:]))
-        self.cut = re.compile("(?s).+" if whole else f"[{lines}]+|{SPACE}*[^{SPACE}{lines}]+|{SPACE}+")
+        self.shown = {i: n.replace(SPACE, " ") for i, n in enumerate(self.names) if self.kinds[i] == NORMAL}
+        self.stretches = Recent(self._stretch, KEPT_STRETCHES, LONG_STRETCH)
+        self.cut = re.compile(self._certain_cuts())
+
+    def _certain_cuts(self) -> str:
+        """A pattern whose matches, side by side, are the stretches no piece reaches out of."""
+        inner = {(b, c) for n in self.scores for b, c in zip(n, n[1:])}
+        if any(c == SPACE != b for b, c in inner):
+            return "(?s).+"
+        lines = re.escape("".join(c for c in "\n\r\t" if c not in self.alphabet) or "\0")
+        letters = {c for c in self.alphabet if c.isalpha()}
+        if any(SPACE != b and (b in letters) != (c in letters) for b, c in inner):
+            return f"[{lines}]+|{SPACE}*[^{SPACE}{lines}]+|{SPACE}+"
+        letter = re.escape("".join(sorted(letters)))
+        return f"[{lines}]+|{SPACE}*(?:[{letter}]+|[^{SPACE}{lines}{letter}]+)|{SPACE}+"
 
     def merges_of(self, token: int) -> tuple[str, str, list] | None:
         """First and last character, and the merges of a piece's text by itself in their order, each as (score,
@@ -206,17 +220,10 @@ class PieceModel:
             return []
         return self.cut.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
 
-    def stretch(self, stretch: str) -> tuple[str, int, str]:
+    def _stretch(self, stretch: str) -> tuple[str, int, str]:
         """(decimal ids joined by a space, their number, decoded text with all spaces) of one stretch."""
-        found = self.stretches.get(stretch)
-        if found is None:
-            ids = self.stretch_ids(stretch)
-            found = (" ".join(map(str, ids)), len(ids), self.surface(ids))
-            if len(stretch) <= LONG_STRETCH:
-                if len(self.stretches) >= KEPT_STRETCHES:
-                    self.stretches.clear()
-                self.stretches[stretch] = found
-        return found
+        ids = self.stretch_ids(stretch)
+        return " ".join(map(str, ids)), len(ids), self.surface(ids)
 
     def ids(self, text: str) -> list[int]:
         """Ids of a text, the end id last."""
@@ -224,6 +231,8 @@ class PieceModel:
 
     def surface(self, ids: list[int]) -> str:
         """The text of ids with every space that pieces stand for; invalid bytes give U+FFFD each."""
+        if self.shown.keys() >= set(ids):
+            return "".join([self.shown[i] for i in ids])
         parts: list[str] = []
         pending = bytearray()
         for i in ids:
@@ -323,9 +332,7 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         for batch in batches:
             counts, ids, decoded = [], [], []
             for value in batch.column(1):
-                found = [
-                    known.get(s) or pieces.stretch(s) for s in pieces.split(value.as_py().decode("utf-8", "replace"))
-                ]
+                found = [known[s] for s in pieces.split(value.as_py().decode("utf-8", "replace"))]
                 text = "".join([f[2] for f in found])
                 counts.append(sum([f[1] for f in found]) + 1)
                 ids.append(hashlib.sha256(" ".join([*[f[0] for f in found], end]).encode()).hexdigest())

@@ -9,13 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import bpe, embedding_dedup, exact_dedup, html_extract, minhash, mixing, ppm, quality, sharding, url_filter
+from . import (
+    bpe,
+    conversations,
+    embedding_dedup,
+    exact_dedup,
+    html_extract,
+    minhash,
+    mixing,
+    phrases,
+    piece_table,
+    ppm,
+    quality,
+    sharding,
+    url_filter,
+)
 from .common import id_remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 40
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,6 +162,77 @@ def op10_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """Conversations with known faults: a row's crc32 of ``conv_id:turn`` decides whether it is dropped, emptied,
+    stripped of sentence ends, repeated or given the role user. Nulls are one space each."""
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    fate = F.pmod(F.crc32(name.cast("binary")), F.lit(20))
+    text = F.coalesce("text", F.lit(" "))
+    told = rows.select(
+        "conv_id",
+        "turn",
+        F.when(fate == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.array_repeat(F.lit(1), F.when(fate == 0, 0).when(fate == 3, 2).otherwise(1))).alias("time"),
+    )
+    return told.drop("time")
+
+
+def op11_viterbi_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    report = conversations.conversation_report(damaged_conversations(rows))
+    asked = rows.select("conv_id").distinct().select("conv_id", F.struct("conv_id").alias("key"))
+    # A conversation that lost all its turns has no row in the report.
+    told = report.withColumn("key", F.struct(F.col("id").alias("conv_id"))).drop("id")
+    zeros = {c: 0 for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    whole = asked.join(told, "key", "left").drop("key").fillna(zeros)
+    return whole.withColumn("audit", F.coalesce("audit", F.lit(""))).withColumn(
+        "repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))
+    )
+
+
+def op12_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), longest=3, least=10, top=2000)
+
+
+OP12_SQL = r"""
+with d as (
+  select coalesce(lang, 'und') as lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+occ as (
+  select lang, size, array_to_string(w[i : i + size - 1], ' ') as phrase
+  from (select lang, w, unnest(range(1, len(w) + 1)) as i from w), (values (1), (2), (3)) s(size)
+  where i + size - 1 <= len(w)),
+f as (select lang, size, phrase, count(*) as f from occ group by all),
+tot as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
+cand as (select lang, size, phrase, string_split(phrase, ' ') as w, f as a from f where size > 1 and f >= 10),
+cut as (
+  select c.lang, c.phrase, c.size, c.w, c.a, l.f as l, r.f as r, k,
+    ((1000000::hugeint * c.a * c.a) // (l.f::hugeint * r.f))::bigint as score
+  from (select *, unnest(range(1, size)) as k from cand) c
+  join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1 : k], ' ')
+  join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[k + 1 :], ' ')),
+best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+held as (
+  select lang, phrase, max(f) as f from (
+    select lang, unnest([array_to_string(w[1 : size - 1], ' '), array_to_string(w[2 :], ' ')]) as phrase, a as f
+    from cand where size > 2) group by all),
+kept as (
+  select b.* from best b left join held h on h.lang = b.lang and h.phrase = b.phrase
+  where h.f is null or 100 * h.f < 50 * b.a),
+ranked as (
+  select lang, phrase, a, l, r, score,
+    row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join tot using (lang) where rank <= 2000"""
+
+
+def op13_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return piece_table.token_digests(docs, public_tokenizers.path(PIECES)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_kd_sharding,
@@ -159,9 +245,12 @@ def queries() -> dict[str, Query]:
         op8_ppm_scoring,
         op9_gbt_url_filter,
         op10_entropy_mixing,
+        op11_viterbi_repair,
+        op12_trie_collocations,
+        op13_piece_table,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op7_int8_embedding_dedup": OP7_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op7_int8_embedding_dedup": OP7_SQL, "op12_trie_collocations": OP12_SQL}

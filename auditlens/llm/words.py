@@ -15,6 +15,30 @@ _POSITIONS = np.array(
 )
 
 
+class Recent(dict):
+    """Results of ``make`` by text, looked up as fast as in a plain dict and bounded in number.
+
+    When ``size`` results are held they become the older half: what is asked for again moves back, the rest goes
+    with the next turn, so frequent texts stay. Texts longer than ``longest`` are made anew each time.
+    """
+
+    def __init__(self, make, size: int, longest: int) -> None:
+        super().__init__()
+        self.make, self.size, self.longest = make, size, longest
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        found = self.older.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class WordIds(dict):
     """Word bytes to 64-bit hashes; looking up is as fast as a plain dict. Bounded: it starts anew when full."""
 
