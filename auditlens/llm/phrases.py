@@ -5,7 +5,8 @@ length they are trimmed to the stretches whose every part of that length is freq
 For a length there are three passes over what is left of the texts:
 
 1. every candidate occurrence is hashed into one of ``BUCKETS`` buckets, and the buckets whose count reaches
-   ``least`` become a bit map of fixed size: a phrase in any other bucket cannot be frequent;
+   ``least`` become a bit map of fixed size: a phrase in any other bucket cannot be frequent (on more text more
+   buckets are full, and more candidates are counted);
 2. the distinct phrases in those buckets are the candidates; they are dealt into shards by hash;
 3. the tries of a bounded number of shards at a time are broadcast, each task advances all positions of its texts
    through them symbol by symbol, counts the accepting states, and the counts of all tasks are summed.
@@ -22,6 +23,7 @@ numbers drawn anew if there is one. Scores are exact: decimals of 38 digits.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -47,8 +49,12 @@ WORDS_AT_ONCE = 4_000_000
 PHRASES_PER_TRIE = 80_000
 TRIES_AT_ONCE = 12
 
-_BLOCK = 1 << 19
-_COUNTED_WORDS = 250_000
+_BLOCK = 1 << 17
+_COUNTED_WORDS = 200_000
+_COUNTED_TOGETHER = 2_000_000
+# Buckets of a slice, and what one slice can count at most.
+_SLICE = 1 << 16
+_MOST = (1 << 16) - 1
 _NO_WORD = 1
 _KEPT_LANGUAGES = 8
 _POSITIONS = np.random.default_rng(77).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
@@ -85,7 +91,7 @@ def _word_id(word: bytes, seed: int) -> int:
 
 
 def word_counts(rows: DataFrame, salt: int) -> DataFrame:
-    """(id, lang, word, n, last): all words by number; ``last`` differs from (lang, word) if two share it."""
+    """(id, lang, word, n): all words with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
@@ -120,10 +126,7 @@ def word_counts(rows: DataFrame, salt: int) -> DataFrame:
         yield from emptied()
 
     found = rows.mapInArrow(run, "id long, lang string, word string, n long")
-    named = found.groupBy("id").agg(
-        F.sum("n").alias("n"), F.min(F.struct("lang", "word")).alias("first"), F.max(F.struct("lang", "word")).alias("last")
-    )
-    return named.select("id", "first.lang", "first.word", "n", (F.col("first") != F.col("last")).alias("shared"))
+    return found.groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _text_ids(rows: Iterator[pa.RecordBatch], salt: int) -> Iterator[np.ndarray]:
@@ -139,8 +142,7 @@ def _text_ids(rows: Iterator[pa.RecordBatch], salt: int) -> Iterator[np.ndarray]
                 if len(known) >= _KEPT_LANGUAGES:
                     known.clear()
                 seed = _seed(name, salt)
-                ids = known[name] = Recent(lambda w, seed=seed: _word_id(w, seed), 60_000, 32)
-                ids.longest = 32
+                ids = known[name] = Recent(lambda w, seed=seed: _word_id(w, seed), 40_000, 32)
             ids[b""], ids[b"\n"] = _NO_WORD, 0
             tokens = _tokens(text.as_py())
             numbers = np.fromiter(map(ids.__getitem__, tokens), np.uint64, len(tokens))
@@ -207,27 +209,57 @@ def _columns(length: int) -> list[str]:
 
 
 def _bucket_bits(blocks: DataFrame, length: int, least: int) -> np.ndarray:
-    """A bit per bucket: set where candidate occurrences of ``length`` words reach ``least``. ``BUCKETS`` / 8 bytes."""
+    """A bit per bucket: set where candidate occurrences of ``length`` words reach ``least``. ``BUCKETS`` / 8 bytes.
+
+    Counts travel as the filled buckets of each slice of the buckets, at most ``_MOST`` counted per task and bucket,
+    and are added up slice by slice as they arrive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        held = 0
         for ids, _ in _blocks(batches):
-            found = _phrase_hash(ids, _safe_starts(ids, length), length) >> np.uint64(64 - BUCKET_BITS)
-            buckets, n = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), pa.array(n, pa.int64())], ["bucket", "n"])
-
-    full = blocks.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    # The function numbers bits from 1 and parts from 1, 32,768 bits a part.
-    full = full.where(F.col("n") >= least).select((F.col("bucket") + 1).alias("bit"))
-    parts = full.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
-    )
+            parts.append((_phrase_hash(ids, _safe_starts(ids, length), length) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+            held += len(parts[-1])
+            if held >= _COUNTED_TOGETHER:
+                yield _slices(np.concatenate(parts))
+                parts, held = [], 0
+        if held:
+            yield _slices(np.concatenate(parts))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, at, n in zip(*batch.columns):
+                total = totals.setdefault(number.as_py(), np.zeros(_SLICE, np.uint16))
+                at, n = np.frombuffer(at.as_py(), np.uint16), np.frombuffer(n.as_py(), np.uint16)
+                total[at] = np.minimum(total[at].astype(np.uint32) + n, _MOST)
+        filled = [np.packbits(t >= min(least, _MOST), bitorder="little").tobytes() for t in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(filled, pa.binary())], ["slice", "bits"])
+
+    counts = blocks.mapInArrow(run, "slice int, at binary, n binary")
     bits = np.zeros(BUCKETS >> 3, np.uint8)
-    for row in parts.collect():
-        piece = np.frombuffer(row.bits, np.uint8)
-        bits[(row.part - 1) * 4096 : (row.part - 1) * 4096 + len(piece)] = piece
+    for row in counts.repartition("slice").mapInArrow(add, "slice int, bits binary").collect():
+        bits[row.slice * _SLICE >> 3 : (row.slice + 1) * _SLICE >> 3] = np.frombuffer(row.bits, np.uint8)
     return bits
 
 
+def _slices(buckets: np.ndarray) -> pa.RecordBatch:
+    """The filled buckets of every slice with their counts."""
+    filled, n = np.unique(buckets, return_counts=True)
+    slices = filled // _SLICE
+    firsts = np.flatnonzero(np.diff(slices, prepend=-1))
+    at, n = (filled % _SLICE).astype(np.uint16), np.minimum(n, _MOST).astype(np.uint16)
+    ends = np.append(firsts[1:], len(filled))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(slices[firsts], pa.int32()),
+            pa.array([at[i:j].tobytes() for i, j in zip(firsts, ends)], pa.binary()),
+            pa.array([n[i:j].tobytes() for i, j in zip(firsts, ends)], pa.binary()),
+        ],
+        ["slice", "at", "n"],
+    )
+
+
 def _candidates(blocks: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
     """The distinct phrases (w0, w1, ...) of ``length`` words in buckets with their bit set."""
     shared = blocks.sparkSession.sparkContext.broadcast(bits)
@@ -256,12 +288,8 @@ def _tries(phrases: DataFrame, length: int, rows: int) -> Iterator[list[PhraseTr
     dealt = phrases.select(*columns, F.pmod(F.xxhash64(F.lit(31), *columns), F.lit(shards)).alias("shard"))
 
     def build(group: pa.Table) -> pa.Table:
-        import pickle
-
         return pa.table({"trie": pa.array([pickle.dumps(PhraseTrie(_matrix(group, length)))], pa.binary())})
 
-    import pickle
-
     for first in range(0, shards, TRIES_AT_ONCE):
         part = dealt.where(F.col("shard").between(first, first + TRIES_AT_ONCE - 1))
         built = part.groupBy("shard").applyInArrow(build, "trie binary").collect()
@@ -362,7 +390,7 @@ def mine_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text: str =
     rows = _rows(docs, text, lang)
     for salt in range(8):
         vocabulary = stored(word_counts(rows, salt), "phrases-words")
-        if vocabulary.where("shared").isEmpty():
+        if vocabulary.groupBy("id").agg(F.count("*").alias("words")).where("words > 1").isEmpty():
             break
     else:
         raise RuntimeError("word numbers collide under eight salts")
