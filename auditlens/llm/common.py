@@ -37,6 +37,17 @@ def row_key(df: DataFrame) -> Column:
     return F.struct(F.xxhash64(F.lit(91), *values).alias("a"), F.xxhash64(F.lit(92), *values).alias("b"))
 
 
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores behind those that are columns of ``df``, whose case does not count."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def numbered(df: DataFrame, groups: list[str], key: str, slot: str, per_bucket: int = 1000) -> DataFrame:
     """Add ``slot``: 0, 1, 2, ... without gaps inside each group, whatever the group's size.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import SPACES
+from .common import SPACES, unused_names
 
 SUPPORT = 0.001
 
@@ -59,6 +59,7 @@ def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     groups = exact_groups(docs, key, text)
     copies = groups.where(F.col("id") != F.col("keep"))
-    dropped = copies.select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    same = (docs[key] == F.col("_id")) & (normalised_sha256(docs[text]) == F.col("_digest"))
+    name, digest = unused_names(docs, "_id", "_digest")
+    dropped = copies.select(F.col("id").alias(name), F.col("digest").alias(digest)).distinct()
+    same = (docs[key] == F.col(name)) & (normalised_sha256(docs[text]) == F.col(digest))
     return docs.join(dropped, same, "left_anti")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import connected_components, join_groups
+from .common import connected_components, join_groups, unused_names
 from .words import SHINGLE, WordIds, shingles, word_ids
 
 COORDINATES = 63
@@ -347,15 +347,16 @@ def _keep_one_of_each_text(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
     found = near_duplicates(named.join(numbers, ["id", "digest"]).dropDuplicates(["number"]), "number", "text")
     of_component = numbers.select(F.col("number").alias("component"), F.col("id").alias("kept"))
+    own_id, own_digest = unused_names(docs, "_id", "_digest")
     dropped = (
         found.where("id <> component")
         .withColumnRenamed("id", "number")
         .join(of_component, "component")
         .join(numbers, "number")
         .where("id <> kept")
-        .select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+        .select(F.col("id").alias(own_id), F.col("digest").alias(own_digest))
     )
-    return docs.join(dropped, (docs[key] == F.col("_id")) & (digest == F.col("_digest")), "left_anti")
+    return docs.join(dropped, (docs[key] == F.col(own_id)) & (digest == F.col(own_digest)), "left_anti")
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -367,7 +368,6 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     hashes = docs.select(docs[key].alias("id"), F.xxhash64(body).alias("h")).where("id is not null")
     if not hashes.groupBy("id").agg(F.min("h").alias("h1"), F.max("h").alias("h2")).where("h1 <> h2").isEmpty():
         return _keep_one_of_each_text(docs, key, text)
-    dropped = (
-        near_duplicates(docs, key, text).where("id <> component").select(F.col("id").alias("_id")).distinct()
-    )
-    return docs.join(dropped, docs[key] == F.col("_id"), "left_anti")
+    (name,) = unused_names(docs, "_id")
+    dropped = near_duplicates(docs, key, text).where("id <> component").select(F.col("id").alias(name)).distinct()
+    return docs.join(dropped, docs[key] == F.col(name), "left_anti")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .common import join_groups, n_words, null_safe_join, row_key
+from .common import join_groups, n_words, null_safe_join, row_key, unused_names
 
 NEWTON_STEPS = 80
 TOLERANCE = 1e-9
@@ -177,23 +177,23 @@ def take_mixed(docs: DataFrame, **options) -> DataFrame:
     Rows are told apart by their whole content. Rows that no other equals are repeated where the join finds
     them; of equal rows one stands for all and is repeated as often as they are taken together.
     """
-    keyed = docs.withColumn("_key", row_key(docs))
-    mix = mix_groups(keyed, key="_key", **options)
+    key, same, copies, copy = unused_names(docs, "_key", "_same", "_copies", "_copy")
+    keyed = docs.withColumn(key, row_key(docs))
+    mix = mix_groups(keyed, key=key, **options)
     taken = stored(
-        mix.where("copies > 0").select(
-            F.col("id").alias("_key"), F.col("same").alias("_same"), F.col("copies").alias("_copies")
-        ),
+        mix.where("copies > 0").select(F.col("id").alias(key), F.col("same").alias(same), F.col("copies").alias(copies)),
         "taken",
     )
-    found = join_groups(keyed, taken, ["_key"], "_same")
-    one = found.where("_same > 1").dropDuplicates(["_key"])
-    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
-    return found.where("_same = 1").unionByName(one).withColumn("_copy", again).select(*docs.columns)
+    found = join_groups(keyed, taken, [key], same)
+    one = found.where(F.col(same) > 1).dropDuplicates([key])
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies)))
+    return found.where(F.col(same) == 1).unionByName(one).withColumn(copy, again).select(*docs.columns)
 
 
 def repeat_documents(docs: DataFrame, mix: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` with every row as often as ``mix`` (id, copies) says. Ids must be unique and not null."""
-    copies = mix.where("copies > 0").select(F.col("id").alias("_id"), F.col("copies").alias("_copies"))
-    taken = docs.join(copies, docs[key] == F.col("_id"))
-    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
-    return taken.withColumn("_copy", again).select(*docs.columns)
+    name, times, copy = unused_names(docs, "_id", "_copies", "_copy")
+    copies = mix.where("copies > 0").select(F.col("id").alias(name), F.col("copies").alias(times))
+    taken = docs.join(copies, docs[key] == F.col(name))
+    again = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(times)))
+    return taken.withColumn(copy, again).select(*docs.columns)

@@ -185,14 +185,13 @@ def score_documents(docs: DataFrame, ranking: Ranking, key: str = "doc_id", text
 
 def keep_good(docs: DataFrame, ranking: Ranking, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least 0.5, all columns as they are."""
-    columns, kinds = docs.columns, docs.schema
-    at = columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Python sees the texts alone, and gives a number for each; the rows themselves stay in Spark.
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ids = WordIds()
-        for batch in batches:
-            texts = [(v.as_py() or "").encode() for v in batch.column(at)]
-            rows = np.array([features(t, ids) for t in texts]).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(ranking.score(rows) >= 0.5))
+        for part in texts:
+            rows = [features(v.as_py(), ids) for v in part]
+            yield pa.array(ranking.score(np.array(rows).reshape(-1, len(FEATURES))))
 
-    return docs.mapInArrow(run, kinds)
+    return docs.where(score(docs[text].cast("binary")) >= 0.5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 SHINGLE = 5
 
 # Odd multipliers of the word positions in a shingle: random numbers, fixed once.
