@@ -150,6 +150,33 @@ def nearest_token_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(nearest_distance(abnormal, normal).select("cmd_id", "distance"), "distance")
 
 
+@CATALOG.query(
+    f"""with {LABELLED},
+    abnormal as (select cmd_id as id, string_split(command, ' ') as t from labelled where label = 1),
+    normal as (select cmd_id as id, string_split(command, ' ') as t from labelled where label = 0),
+    {sql_overlap('abnormal', 'normal')}
+    select id as cmd_id, round(numerator / denominator, 6) as distance from nearest"""
+)
+def nearest_token_distance_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As for query sides of any size: joined on token prefixes, nothing broadcast by hand."""
+    normal, abnormal = sets.split_classes(labelled(spark, sf_dir))
+    joined = nearest_distance(abnormal, normal, block_bytes=0)
+    return rounded(joined.select("cmd_id", "distance"), "distance")
+
+
+@CATALOG.query(
+    f"""with {LABELLED},
+    new as (select cmd_id as id, string_split(command, ' ') as t from labelled where label = 1),
+    base as (select cmd_id as id, string_split(command, ' ') as t from labelled where label = 0),
+    {sql_overlap('new', 'base', False)}
+    select cmd_id, command from nearest join labelled on cmd_id = id where numerator > 4"""
+)
+def far_from_normals_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published distance of 4, joined on token prefixes."""
+    normal, new = sets.split_classes(labelled(spark, sf_dir))
+    return filter_by_distance(new, normal, block_bytes=0).select("cmd_id", "command")
+
+
 @CATALOG.query(
     f"""with {COMMANDS},
     new as (select item_id as id, string_split(text, ' ') as t from benchmark),

@@ -13,10 +13,10 @@ from ..functions.common import bind
 from ..functions.text import strip, tokens_strict, tokens_ws
 from ..session import cut_lineage
 from .blockjoin import BLOCK_BYTES, block_join
-from .cells import collapse, size_join
 from .evaluation import sweep_fraction
 from .sampling import hash_position, sample_n
 from .scanners import NearestOverlap
+from .setjoin import nearest_sets
 from .sets import set_minus
 
 # Stands for every token without a vocabulary id; such tokens all compare equal.
@@ -48,19 +48,15 @@ def nearest_distance(
     The distance is (list sizes - 2 x set overlap), divided by the list sizes when
     ``normalised``; it is exact whatever tokens are shared, and 1 without a shared token.
     ``tokens`` is the token expression on both frames, by default the strict split of
-    ``command``. Queries without tokens or without a reference get nulls.
+    ``command``. Queries without tokens or without a reference get nulls. Queries that do not
+    fit ``block_bytes`` are joined on prefixes of their tokens (:mod:`.setjoin`).
     """
     tokens = tokens_strict(F.col("command")) if tokens is None else tokens
     scanner = partial(NearestOverlap, normalised=normalised)
     size = F.octet_length(F.array_join("tokens", "")) + 8 * F.size("tokens")
 
-    def by_size(some: DataFrame, others: DataFrame) -> DataFrame:
-        some, others = (df.withColumn("tokens", F.sort_array("tokens")) for df in (some, others))
-        queries, copies = collapse(some, ["tokens", "size"])
-        references, _ = collapse(others, ["tokens", "size"])
-        found = size_join(queries, references, scanner, NearestOverlap.SCHEMA, size, block_bytes, normalised)
-        answers = cut_lineage(_smallest(found).withColumnRenamed("id", "rep"))
-        return copies.join(answers, "rep").drop("rep", "distance")
+    def by_prefix(some: DataFrame, others: DataFrame) -> DataFrame:
+        return nearest_sets(some, others, normalised)
 
     partials = block_join(
         _sides(query, id, tokens),
@@ -69,7 +65,7 @@ def nearest_distance(
         NearestOverlap.SCHEMA,
         size,
         block_bytes,
-        by_size,
+        by_prefix,
     )
     best = _smallest(partials)
     ids = query.select(F.col(id).cast("bigint").alias("id"))
@@ -82,9 +78,10 @@ def filter_by_distance(
     min_distance: float = 4,
     id: str = "cmd_id",
     tokenizer: Callable[[Column], Column] = tokens_strict,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """New commands farther than ``min_distance`` (un-normalised) from every base command."""
-    distances = nearest_distance(new, base, id, tokenizer(F.col("command")), normalised=False)
+    distances = nearest_distance(new, base, id, tokenizer(F.col("command")), False, block_bytes)
     far = distances.where(F.col("distance") > min_distance).select(id)
     return new.join(far, id, "left_semi")
 
