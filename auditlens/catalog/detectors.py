@@ -25,6 +25,7 @@ from ..session import scratch_path, stored
 from . import CATALOG
 from .bayes_sql import sql_bayes
 from .evaluation import SQL_CENTROID
+from .isolation_sql import sql_forest
 from .tables import (
     LABELLED,
     REPORT_COLUMNS,
@@ -38,7 +39,7 @@ from .tables import (
     table,
     vectors,
 )
-from .text import audit_records
+from .text import audit_records, sql_lexical
 
 IS_TEST = f"{sql_hash('cmd_id', 42)} < {int(0.2 * (1 << 32))}"
 IS_TEST_VECTOR = f"{sql_hash('id', 42)} < {int(0.2 * (1 << 32))}"
@@ -282,13 +283,20 @@ def isolation_outliers_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.agg(F.count_if(F.col("prediction") == -1).alias("outliers"))
 
 
-@CATALOG.query()
+@CATALOG.query(
+    f"""with {VECTORS}, points as (select id, features as x from vectors), {sql_forest(100, 5000, 42, 0.19)}
+    select id, label, round(score, 9) as score, prediction from scored join vectors using (id)"""
+)
 def isolation_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = isolation_forest(vectors(spark, sf_dir), 100, 5000, 0.19, seed=42)
-    return scored.select("id", "label", "score", "prediction")
+    return rounded(scored.select("id", "label", "score", "prediction"), "score", digits=9)
 
 
-@CATALOG.query()
+@CATALOG.query(
+    f"""with counted as ({sql_lexical("doc_id as id, c")}),
+    points as (select id, [{", ".join(LEXICAL_COLUMNS)}] as x from counted), {sql_forest(200, 256, 0, 0.3757)}
+    select id, c as ccmdline, round(score, 9) as score from scored join counted using (id) where prediction = -1"""
+)
 def isolation_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isolation forest on the 22 lexical counters: the abnormal commands."""
     rows = audit_records(spark, sf_dir).withColumn("id", F.col("cpid").cast("bigint"))
@@ -296,7 +304,7 @@ def isolation_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "ccmdline", F.array(*[F.col(c) for c in LEXICAL_COLUMNS]).alias("features")
     )
     scored = isolation_forest(features, 200, 256, 0.3757)
-    return scored.where("prediction = -1").select("id", "ccmdline", "score")
+    return rounded(scored.where("prediction = -1").select("id", "ccmdline", "score"), "score", digits=9)
 
 
 @CATALOG.query()

@@ -293,22 +293,24 @@ def audit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lexical_sql() -> str:
+def sql_lexical(key: str) -> str:
+    """The lexical counters of English documents beside the columns ``key``; ``c`` is the command."""
+
     def count(needle: str, divisor: int) -> str:
         quoted = needle.replace("'", "''")
         number = f"cast((length(c) - length(replace(c, '{quoted}', ''))) / {len(needle)} as integer)"
         return f"cast({number} / {divisor} as double)" if divisor > 1 else f"cast({number} as double)"
 
     counters = ",\n".join(f"{count(needle, d)} as {name}" for name, needle, d in LEXICAL_COUNTERS)
-    return f"""select md5(c) as command,
+    return f"""select {key},
       cast(length(c) - 1 as double) as len,
       cast(len(list_filter(string_split_regex(c, '{SPACE}+'), lambda x: x <> '')) as double) as paramnum,
       {sql_entropy('c')} as entropy,
       {counters}
-    from (select text || ' ' as c from documents where lang = 'en')"""
+    from (select doc_id, text || ' ' as c from documents where lang = 'en')"""
 
 
-@CATALOG.query(_lexical_sql())
+@CATALOG.query(sql_lexical("md5(c) as command"))
 def lexical_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = lexical_features(audit_records(spark, sf_dir))
     return features.select(F.md5("ccmdline").alias("command"), *LEXICAL_COLUMNS)
