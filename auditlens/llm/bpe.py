@@ -2,8 +2,8 @@
 
 A merge can only join symbols that stand side by side inside some vocabulary token. A pair of symbols
 that no token contains is therefore a certain cut: the pieces on either side are encoded by themselves
-and the ids put one after the other. Pieces repeat far more often than words, so each task keeps the
-ids of the words and pieces it has seen in bounded dictionaries.
+and the ids put one after the other. Words repeat, so each task keeps the ids of the pre-tokens
+it has seen last in a bounded dictionary.
 
 The rules of the tokenizer file are applied as they stand: canonical composition, white space,
 lower case, splitting by pattern, bytes as symbols, a suffix at the end of a word, special tokens.
@@ -26,12 +26,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import Recent
+
 # Fixed values of the file format: white space as its patterns see it, and the bytes shown as themselves.
 SPACE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
-CACHED = 300_000
-LONG_WORD = 64
+KEPT_TOKENS = 200_000
+LONG_TOKEN = 64
+# Pieces up to this many symbols are merged by plain scans, longer ones with a heap.
+SCANNED = 24
+NEVER = 1 << 60
 
 
 def byte_symbols() -> list[str]:
@@ -49,20 +54,30 @@ class BytePairs:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in rules["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         steps = rules["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.symbols = byte_symbols()
+        self.space = regex.compile(SPACE)
+        # Symbols outside the vocabulary are numbered after it: they can be merged, but have no id of their own.
+        self.numbers = dict(self.vocab)
+        beyond = 1 + max(self.names)
+
+        def number(symbol: str) -> int:
+            return self.numbers.setdefault(symbol, beyond + len(self.numbers))
+
+        shown = byte_symbols()
+        self.inner = [number(c) for c in shown]
+        self.last = [number(c + self.suffix) for c in shown]
+        self.ranks = {(number(a), number(b)): i for i, (a, b) in enumerate(pairs)}
+        self.joined = [number(a + b) for a, b in pairs]
+        self.known = set(self.vocab.values())
         self.inside = set()
         for token in self.vocab:
-            shown = self.symbols_of_token(token)
-            self.inside.update(zip(shown, shown[1:]))
-        self.pieces: dict[tuple[str, ...], list[int]] = {}
-        self.words: dict[str, tuple[str, int, str]] = {}
-        self.space = regex.compile(SPACE)
+            parts = [number(c) for c in self.symbols_of_token(token)]
+            self.inside.update(zip(parts, parts[1:]))
+        self.tokens = Recent(self._token, KEPT_TOKENS, LONG_TOKEN)
 
     def symbols_of_token(self, token: str) -> list[str]:
         ends = bool(self.suffix) and token.endswith(self.suffix) and token != self.suffix
@@ -72,19 +87,44 @@ class BytePairs:
         return shown
 
     def merged(self, piece: tuple[str, ...]) -> list[int]:
-        """Merge the lowest rank first, the leftmost of equals, with a heap over linked neighbours."""
-        parts: list[str | None] = list(piece)
+        """Ids of one piece, given as symbols."""
+        return [i for i in self.merge([self.numbers[c] for c in piece]) if i in self.known]
+
+    def merge(self, piece: list[int]) -> list[int]:
+        """Merge the lowest rank first, the leftmost of equals; changes ``piece``."""
+        if len(piece) == 1:
+            return piece
+        if len(piece) > SCANNED:
+            return self.merge_by_heap(piece)
+        get, joined = self.ranks.get, self.joined
+        ranks = [get(pair, NEVER) for pair in zip(piece, piece[1:])]
+        while ranks:
+            rank = min(ranks)
+            if rank == NEVER:
+                break
+            i = ranks.index(rank)
+            piece[i : i + 2] = [joined[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((piece[i - 1], piece[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = get((piece[i], piece[i + 1]), NEVER)
+        return piece
+
+    def merge_by_heap(self, piece: list[int]) -> list[int]:
+        """The same with a heap over linked neighbours, for pieces of any length."""
+        parts: list[int | None] = list(piece)
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
         ranks = self.ranks
         heap = [(ranks[p], i, *p) for i, p in enumerate(zip(piece, piece[1:])) if p in ranks]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if parts[i] != left or j >= len(parts) or parts[j] != right:
                 continue
-            parts[i], parts[j] = left + right, None
+            parts[i], parts[j] = self.joined[rank], None
             after[i] = after[j]
             if after[i] < len(parts):
                 before[after[i]] = i
@@ -95,67 +135,56 @@ class BytePairs:
                 pair = (parts[before[i]], parts[i])
                 if pair in ranks:
                     heapq.heappush(heap, (ranks[pair], before[i], *pair))
-        return [self.vocab[p] for p in parts if p is not None and p in self.vocab]
-
-    def piece_ids(self, piece: tuple[str, ...]) -> list[int]:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = self.merged(piece)
-            if len(piece) <= LONG_WORD:
-                if len(self.pieces) >= CACHED:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
+        return [p for p in parts if p is not None]
 
     def token_ids(self, token: str) -> list[int]:
         """Ids of one pre-token: cut where no vocabulary token has the pair, encode the pieces, concatenate."""
-        shown = [self.symbols[b] for b in token.encode()]
-        shown[-1] += self.suffix
-        ids: list[int] = []
-        start = 0
-        for cut in range(1, len(shown)):
-            if (shown[cut - 1], shown[cut]) not in self.inside:
-                ids += self.piece_ids(tuple(shown[start:cut]))
-                start = cut
-        return ids + self.piece_ids(tuple(shown[start:]))
-
-    def plain_ids(self, text: str) -> list[int]:
-        """Ids of text without special tokens."""
-        composed = self.space.sub(" ", unicodedata.normalize("NFC", text))
+        data = token.encode()
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        cuts = [i for i, pair in enumerate(zip(symbols, symbols[1:]), 1) if pair not in self.inside]
+        if not cuts:
+            ids = self.merge(symbols)
+        else:
+            ends = zip([0, *cuts], [*cuts, len(symbols)])
+            ids = [i for start, end in ends for i in self.merge(symbols[start:end])]
+        return [i for i in ids if i in self.known]
+
+    def _token(self, token: str) -> tuple[str, int, str]:
+        """(decimal ids joined by a space, their number, decoded text) of one pre-token."""
+        ids = [self.special[token]] if token in self.special else self.token_ids(token)
+        return " ".join(map(str, ids)), len(ids), self.decoded(ids)
+
+    def pre_tokens(self, text: str) -> list[str]:
+        """What the file's pattern makes of text without special tokens; it passes over white space of any kind."""
+        composed = text if text.isascii() else unicodedata.normalize("NFC", text)
         # Character by character: no rule about the end of a word.
-        lower = composed.replace("Σ", "σ").lower()
-        return [i for token in self.pattern.findall(lower) for i in self.token_ids(token)]
+        return self.pattern.findall(composed.replace("Σ", "σ").lower())
 
-    def ids(self, text: str) -> list[int]:
+    def split_text(self, text: str) -> list[str]:
+        """Pre-tokens of any text, special tokens among them as they stand."""
         if self.split is None or not any(s in text for s in self.special):
-            return self.plain_ids(text)
-        found: list[int] = []
+            return self.pre_tokens(text)
+        found: list[str] = []
         for part in self.split.split(text):
-            found += [self.special[part]] if part in self.special else self.plain_ids(part) if part else []
+            found += [part] if part in self.special else self.pre_tokens(part)
         return found
 
-    def word(self, word: str) -> tuple[str, int, str]:
-        """(decimal ids joined by a space, their number, decoded text) of a run without white space."""
-        found = self.words.get(word)
-        if found is None:
-            ids = self.ids(word)
-            found = (" ".join(map(str, ids)), len(ids), self.decoded(ids))
-            if len(word) <= LONG_WORD:
-                if len(self.words) >= CACHED:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+    def split_words(self, text: str) -> list[str]:
+        """Runs between white space; no rule of the file reaches across it."""
+        return [w for w in self.space.split(text) if w]
+
+    def encoded(self, text: str) -> list[tuple[str, int, str]]:
+        """What :meth:`_token` says of every pre-token that has ids."""
+        return [t for t in map(self.tokens.__getitem__, self.split_text(text)) if t[1]]
+
+    def ids(self, text: str) -> list[int]:
+        return [int(i) for t in self.encoded(text) for i in t[0].split()]
 
     def decoded(self, ids: list[int]) -> str:
         """The tokens joined by a space, as the file names no decoder; unknown ids are left out."""
         return " ".join(self.names[i] for i in ids if i in self.names)
 
-    def split_words(self, text: str) -> list[str]:
-        """Runs between white space; no rule of the file reaches across it."""
-        if regex.search("[\x1c-\x1f]", text):  # white space to str.split, but not here
-            return [w for w in self.space.split(text) if w]
-        return text.split()
-
 
 _LOADED: dict[int, BytePairs] = {}
 
@@ -188,10 +217,7 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                ids = [
-                    [int(i) for w in pairs.split_words(v.as_py().decode("utf-8", "replace")) for i in pairs.word(w)[0].split()]
-                    for v in part.column(1)
-                ]
+                ids = [pairs.ids(v.as_py().decode("utf-8", "replace")) for v in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     rows = _texts(docs, key, text)
@@ -222,9 +248,8 @@ def token_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         for batch in batches:
             counts, ids, decoded = [], [], []
             for value in batch.column(1):
-                words = pairs.split_words(value.as_py().decode("utf-8", "replace"))
-                found = [w for w in map(pairs.word, words) if w[1]]
-                counts.append(sum(w[1] for w in found))
+                found = pairs.encoded(value.as_py().decode("utf-8", "replace"))
+                counts.append(sum([w[1] for w in found]))
                 ids.append(hashlib.sha256(" ".join([w[0] for w in found]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(" ".join([w[2] for w in found]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
