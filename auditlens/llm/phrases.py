@@ -50,6 +50,8 @@ PHRASES_PER_TRIE = 80_000
 TRIES_AT_ONCE = 12
 
 _BLOCK = 1 << 17
+_ROW = 1 << 13
+_ROWS_AT_ONCE = 16
 _COUNTED_WORDS = 200_000
 _COUNTED_TOGETHER = 2_000_000
 # Buckets of a slice, and what one slice can count at most.
@@ -156,18 +158,27 @@ def _text_ids(rows: Iterator[pa.RecordBatch], salt: int) -> Iterator[np.ndarray]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """(word numbers, marks if any) of a table of trimmed texts."""
+    """(word numbers, marks if any) of a table of trimmed texts, several rows at a time; every row ends a piece."""
     for batch in batches:
-        for ids, mark in zip(batch.column(0), batch.column(1)):
-            yield np.frombuffer(ids.as_py(), np.uint64), None if not mark.is_valid else np.frombuffer(mark.as_py(), bool)
+        for start in range(0, batch.num_rows, _ROWS_AT_ONCE):
+            part = batch.slice(start, _ROWS_AT_ONCE)
+            # Marks are on all rows of a table or on none.
+            ids = b"".join(part.column(0).to_pylist())
+            marked = part.column(1).null_count == 0
+            yield np.frombuffer(ids, np.uint64), np.frombuffer(b"".join(part.column(1).to_pylist()), bool) if marked else None
 
 
 _BLOCK_SCHEMA = "ids binary, mark binary"
 
 
 def _block(ids: np.ndarray, mark: np.ndarray | None) -> pa.RecordBatch:
+    """Rows of about ``_ROW`` words, cut between pieces: a file writer buffers at least a hundred rows."""
+    breaks = np.flatnonzero(ids == 0)
+    after = np.searchsorted(breaks, np.arange(_ROW, len(ids), _ROW))
+    cuts = np.unique(breaks[after[after < len(breaks)]] + 1)
+    marks = [None] * (len(cuts) + 1) if mark is None else [m.tobytes() for m in np.split(mark, cuts)]
     return pa.RecordBatch.from_arrays(
-        [pa.array([ids.tobytes()], pa.binary()), pa.array([None if mark is None else mark.tobytes()], pa.binary())],
+        [pa.array([part.tobytes() for part in np.split(ids, cuts)], pa.binary()), pa.array(marks, pa.binary())],
         ["ids", "mark"],
     )
 
