@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .tries import PhraseTrie
+from .tries import MOST_WORDS, PhraseTrie
 from .words import Recent, mix64
 
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -46,12 +46,12 @@ BUCKET_BITS = 26
 BUCKETS = 1 << BUCKET_BITS
 # Words of one broadcast set, phrases of one trie, tries broadcast together.
 WORDS_AT_ONCE = 4_000_000
-PHRASES_PER_TRIE = 80_000
-TRIES_AT_ONCE = 12
+PHRASES_PER_TRIE = 300_000
+TRIES_AT_ONCE = 4
 
 _BLOCK = 1 << 17
 _ROW = 1 << 13
-_ROWS_AT_ONCE = 16
+_ROWS_AT_ONCE = 64
 _COUNTED_WORDS = 200_000
 _COUNTED_TOGETHER = 2_000_000
 # Buckets of a slice, and what one slice can count at most.
@@ -292,9 +292,14 @@ def _matrix(table: pa.Table, length: int) -> np.ndarray:
     return np.stack([table.column(c).to_numpy() for c in _columns(length)], axis=1).view(np.uint64).reshape(-1, length)
 
 
-def _tries(phrases: DataFrame, length: int, rows: int) -> Iterator[list[PhraseTrie]]:
-    """Tries over all phrases, a bounded number at a time; each is built by a task of its own."""
-    shards = max(1, -(-rows // PHRASES_PER_TRIE))
+def _shards(rows: int, length: int) -> int:
+    """Hashed shards that hold ``PHRASES_PER_TRIE`` phrases and ``MOST_WORDS`` words at most, with room to spare."""
+    return max(1, -(-rows // min(PHRASES_PER_TRIE, MOST_WORDS * 9 // (10 * length))))
+
+
+def _tries(phrases: DataFrame, length: int, rows: int) -> Iterator[list[bytes]]:
+    """Serialised tries over all phrases, a bounded number at a time; each is built by a task of its own."""
+    shards = _shards(rows, length)
     columns = _columns(length)
     dealt = phrases.select(*columns, F.pmod(F.xxhash64(F.lit(31), *columns), F.lit(shards)).alias("shard"))
 
@@ -303,21 +308,21 @@ def _tries(phrases: DataFrame, length: int, rows: int) -> Iterator[list[PhraseTr
 
     for first in range(0, shards, TRIES_AT_ONCE):
         part = dealt.where(F.col("shard").between(first, first + TRIES_AT_ONCE - 1))
-        built = part.groupBy("shard").applyInArrow(build, "trie binary").collect()
-        yield [pickle.loads(row.trie) for row in built]
+        yield part.groupBy("shard").applyInArrow(build, "trie binary").toArrow().column("trie").to_pylist()
 
 
-def _counted(blocks: DataFrame, tries: list[PhraseTrie], length: int) -> DataFrame:
+def _counted(blocks: DataFrame, tries: list[bytes], length: int) -> DataFrame:
     """(w0, w1, ..., f): occurrences of the tries' phrases per task, added up per block of text."""
     shared = blocks.sparkSession.sparkContext.broadcast(tries)
     columns = _columns(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(len(t.phrases), np.int64) for t in shared.value]
+        held: list[PhraseTrie] = [pickle.loads(t) for t in shared.value]
+        counts = [np.zeros(len(t.phrases), np.int64) for t in held]
         for ids, _ in _blocks(batches):
-            for trie, total in zip(shared.value, counts):
+            for trie, total in zip(held, counts):
                 total += np.bincount(trie.occurrences(ids)[1], minlength=len(total))
-        for trie, total in zip(shared.value, counts):
+        for trie, total in zip(held, counts):
             seen = np.flatnonzero(total)
             words = trie.phrases[seen].view(np.int64)
             arrays = [pa.array(words[:, k].copy()) for k in range(length)]
@@ -380,14 +385,16 @@ def _word_markers(words: DataFrame, rows: int) -> Iterator[tuple[Callable, bool]
 
 def _phrase_markers(phrases: DataFrame, length: int, rows: int) -> Iterator[tuple[Callable, bool]]:
     context = phrases.sparkSession.sparkContext
-    passes = -(-max(1, -(-rows // PHRASES_PER_TRIE)) // TRIES_AT_ONCE)
+    passes = -(-_shards(rows, length) // TRIES_AT_ONCE)
     for i, tries in enumerate(_tries(phrases, length, rows)):
         shared = context.broadcast(tries)
 
         def marker(shared=shared) -> Marker:
+            held: list[PhraseTrie] = [pickle.loads(t) for t in shared.value]
+
             def mark(text: np.ndarray) -> np.ndarray:
                 found = np.zeros(len(text), bool)
-                for trie in shared.value:
+                for trie in held:
                     found[trie.occurrences(text)[0]] = True
                 return found
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-# A word is two symbols of this many bits, so that a state has at most 512 followers and lies in a short range.
-BITS = 9
+# A word is two symbols of this many bits, so that a state has at most 1,024 followers and lies in a short range.
+BITS = 10
 SYMBOLS = 1 << BITS
 # Different words a trie can tell apart; a phrase of k words brings at most k of them.
 MOST_WORDS = 1 << (2 * BITS)
