@@ -47,7 +47,7 @@ BUCKETS = 1 << BUCKET_BITS
 # Words of one broadcast set, phrases of one trie, tries broadcast together.
 WORDS_AT_ONCE = 4_000_000
 PHRASES_PER_TRIE = 300_000
-TRIES_AT_ONCE = 4
+TRIES_AT_ONCE = 1
 
 _BLOCK = 1 << 17
 _ROW = 1 << 13
