@@ -67,16 +67,17 @@ class BytePairs:
         def number(symbol: str) -> int:
             return self.numbers.setdefault(symbol, beyond + len(self.numbers))
 
-        shown = byte_symbols()
-        self.inner = [number(c) for c in shown]
-        self.last = [number(c + self.suffix) for c in shown]
+        self.symbols = byte_symbols()
+        self.inner = [number(c) for c in self.symbols]
+        self.last = [number(c + self.suffix) for c in self.symbols]
         self.ranks = {(number(a), number(b)): i for i, (a, b) in enumerate(pairs)}
         self.joined = [number(a + b) for a, b in pairs]
         self.known = set(self.vocab.values())
         self.inside = set()
         for token in self.vocab:
-            parts = [number(c) for c in self.symbols_of_token(token)]
+            parts = self.symbols_of_token(token)
             self.inside.update(zip(parts, parts[1:]))
+        self.uncut = {(number(a), number(b)) for a, b in self.inside}
         self.tokens = Recent(self._token, KEPT_TOKENS, LONG_TOKEN)
 
     def symbols_of_token(self, token: str) -> list[str]:
@@ -142,7 +143,7 @@ class BytePairs:
         data = token.encode()
         symbols = [self.inner[b] for b in data]
         symbols[-1] = self.last[data[-1]]
-        cuts = [i for i, pair in enumerate(zip(symbols, symbols[1:]), 1) if pair not in self.inside]
+        cuts = [i for i, pair in enumerate(zip(symbols, symbols[1:]), 1) if pair not in self.uncut]
         if not cuts:
             ids = self.merge(symbols)
         else:
