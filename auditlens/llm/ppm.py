@@ -1,18 +1,20 @@
 """Language-model scores: prediction by partial matching over bytes, and a word-count base.
 
-The model is a trie of byte contexts, three deep, counted over all training texts. A symbol that a context has
-seen n of T times, among d different ones, has probability n / (T + d) there; d / (T + d) is the escape to the
-context shorter by a byte, where the symbols already seen are excluded from all counts. Below the empty
-context every symbol left is equally likely. A text starts after ends and closes with an end symbol.
-
-The two upper levels have at most 257**3 (context, symbol) cells whatever the corpus: their counts, one row
-per cell seen, go to every task, which works out all their log-probabilities. The third level has no such
-bound and stays distributed: texts are dealt into blocks of bounded bytes by a hash, a block asks for
-the distinct cells it holds, and the answer brings what the cell's context has seen in all of training.
-Exclusion needs one number more per context: how often the shorter context saw the same symbols.
-
-The base is a smoothed unigram model of words, whose counts are asked for in the same way and in the
-same shuffle. So what is gathered grows with the corpus, and no vocabulary or trie is gathered anywhere.
+The model is a trie of byte contexts, ``ORDER`` deep, learned from all training texts. The deepest contexts count
+symbols; a shorter context counts a symbol once for every context a byte longer that has seen it (update
+exclusion), so what only one longer context explains weighs little. Of a context with counts n, in all T, of d
+different symbols, a symbol has probability (n - D) / T, and D * d / T is the escape to the context shorter by a
+byte, where the symbols already seen are excluded from all counts. D is estimated for every order from the cells
+seen once and twice, n1 / (n1 + 2 * n2). Below the empty context every symbol left is equally likely. A text
+starts after ends and closes with an end symbol.
+
+Nothing of the trie is gathered, broadcast or held as a table of all contexts. Texts are dealt into blocks of
+bounded bytes by a hash; a block writes the distinct (context, symbol) cells and words it holds with their counts.
+Summed by cell they are the deepest level; every shorter level is the one above grouped by suffix. Joins on the
+suffix and windows over a context (at most 257 rows each) then work out one probability per cell, level by
+level, and the blocks get those of the cells they hold.
+
+The base is a smoothed unigram model of words, whose counts come from the same blocks.
 
 * a null text is empty: it scores its end alone; a training id is decided by crc32 of the id as text
 * rows without id count as the empty id text; rows that repeat train and score each by themselves
@@ -22,149 +24,55 @@ same shuffle. So what is gathered grows with the corpus, and no vocabulary or tr
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import id_remainder, n_bytes
 
 END = 256
 SYMBOLS = 257
-SHORT = SYMBOLS**3  # cells of contexts of up to two bytes
+# Bytes of the longest context; a cell of up to six and its symbol fits 64 bits.
+ORDER = 5
 BLOCK_BYTES = 16 << 20
-_CHUNK = 1 << 22
+# A discount is estimated inside these bounds: escapes never vanish, nor do symbols seen once.
+DISCOUNTS = (0.1, 0.95)
+_CHUNK = 1 << 21
 
 
-def _cells(text: bytes) -> np.ndarray:
-    """The (context of three, symbol) cell of every byte and of the end; modulo ``SHORT``, of contexts of two."""
-    symbols = np.empty(len(text) + 4, dtype=np.int64)
-    symbols[:3] = END
-    symbols[3:-1] = np.frombuffer(text, dtype=np.uint8)
+def _cells(text: bytes, order: int) -> np.ndarray:
+    """The (context, symbol) cell of every byte and of the end; modulo 257**k, of contexts of k - 1 bytes."""
+    symbols = np.empty(len(text) + order + 1, dtype=np.int64)
+    symbols[:order] = END
+    symbols[order:-1] = np.frombuffer(text, dtype=np.uint8)
     symbols[-1] = END
-    return ((symbols[:-3] * SYMBOLS + symbols[1:-2]) * SYMBOLS + symbols[2:-1]) * SYMBOLS + symbols[3:]
+    cells = np.zeros(len(text) + 1, dtype=np.int64)
+    for i in range(order + 1):
+        cells *= SYMBOLS
+        cells += symbols[i : i + len(cells)]
+    return cells
 
 
-def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells of some texts and their counts, holding a few million cells at a time."""
     cells, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     held, size = [], 0
     for i, text in enumerate(texts):
-        held.append(_cells(text))
+        held.append(_cells(text, order))
         size += len(held[-1])
         if size >= _CHUNK or i == len(texts) - 1:
             new, n = np.unique(np.concatenate(held), return_counts=True)
-            cells, at = np.unique(np.concatenate([cells, new]), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(cells)).astype(np.int64)
-            held, size = [], 0
+            if len(cells):
+                new, at = np.unique(np.concatenate([cells, new]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(new)).astype(np.int64)
+            cells, counts, held, size = new, n, [], 0
     return cells, counts
 
 
-def cell_counts(texts: DataFrame) -> DataFrame:
-    """(cell, n) of contexts of two over all rows of (text); a task sends one row per cell it has seen."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SHORT, dtype=np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                cells, n = _distinct([v.as_py() or b"" for v in batch.column(0).slice(start, 200)])
-                np.add.at(counts, cells % SHORT, n)
-        seen = np.flatnonzero(counts)
-        for start in range(0, len(seen), 100_000):
-            part = seen[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], ["cell", "n"])
-
-    found = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cell int, n long")
-    return found.groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def log_probabilities(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 probability of every cell (257**3, single precision), escapes and exclusions worked out."""
-    table = np.zeros(SHORT, dtype=np.float64)
-    table[cells] = n
-    table = table.reshape(SYMBOLS, SYMBOLS, SYMBOLS)  # older byte, newer byte, symbol
-    by_one = table.sum(axis=0)
-    by_none = by_one.sum(axis=0)
-    out = np.empty((SYMBOLS, SYMBOLS, SYMBOLS), dtype=np.float32)
-    for newer in range(SYMBOLS):
-        two = table[:, newer, :]
-        one = np.broadcast_to(by_one[newer], two.shape)
-        none = np.broadcast_to(by_none, two.shape)
-        open_to = np.ones_like(two, dtype=bool)  # not seen in any longer context
-        reach = np.ones((SYMBOLS, 1))  # probability of having escaped this far
-        probability = np.zeros_like(two)
-        for counts in (two, one, none):
-            seen = (counts > 0) & open_to
-            total = np.where(seen, counts, 0.0).sum(axis=1, keepdims=True)
-            kinds = seen.sum(axis=1, keepdims=True)
-            whole = np.maximum(total + kinds, 1.0)
-            left = open_to.sum(axis=1, keepdims=True) - kinds
-            # Nothing is left to escape to once every symbol has been seen.
-            share = np.where(left > 0, whole, np.maximum(total, 1.0))
-            probability = np.where(seen, reach * counts / share, probability)
-            reach = reach * np.where(total > 0, np.where(left > 0, kinds / whole, 0.0), 1.0)
-            open_to = open_to & ~seen
-        left = np.maximum(open_to.sum(axis=1, keepdims=True), 1)
-        probability = np.where(open_to, reach / left, probability)
-        out[:, newer, :] = np.log10(probability)
-    return out.reshape(-1)
-
-
-class ShortContexts:
-    """The two upper levels of the trie, from (cell, n) in cell order."""
-
-    def __init__(self, cells: np.ndarray, n: np.ndarray) -> None:
-        self.cells, self.n = cells, n
-        self.logs = log_probabilities(cells, n)
-        self.total = np.bincount(cells // SYMBOLS, weights=n, minlength=SYMBOLS**2)
-        self.kinds = np.bincount(cells // SYMBOLS, minlength=SYMBOLS**2).astype(float)
-
-    def counts(self, cells: np.ndarray) -> np.ndarray:
-        if not len(self.cells):
-            return np.zeros(len(cells), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.cells, cells), len(self.cells) - 1)
-        return np.where(self.cells[at] == cells, self.n[at], 0)
-
-    def log_probability(
-        self, cells: np.ndarray, n: np.ndarray, total: np.ndarray, kinds: np.ndarray, lower: np.ndarray
-    ) -> np.ndarray:
-        """log10 probability of cells of contexts of three.
-
-        ``n``: of the cell; ``total`` and ``kinds``: of its context; ``lower``: what the shorter context
-        counts for the symbols its context has seen.
-        """
-        short = cells % SHORT
-        n2, t2, k2 = self.counts(short), self.total[short // SYMBOLS], self.kinds[short // SYMBOLS]
-        whole = np.maximum(np.where(kinds < SYMBOLS, total + kinds, total), 1.0)
-        left, new = t2 - lower, k2 - kinds
-        whole2 = np.maximum(np.where(k2 < SYMBOLS, left + new, left), 1.0)
-        # Below contexts of two the symbols excluded are the same, so the rest of the table applies.
-        escape = np.where(left > 0, new / whole2, 1.0)
-        direct = np.maximum(k2, 1.0) / np.maximum(t2 + k2, 1.0)
-        with np.errstate(divide="ignore"):
-            deeper = np.where(n2 > 0, np.log10(n2 / whole2), np.log10(escape / direct) + self.logs[short])
-            unseen = np.where(total > 0, np.log10(kinds / whole) + deeper, self.logs[short])
-            return np.where(n > 0, np.log10(n / whole), unseen)
-
-
-_HELD: dict[int, ShortContexts] = {}
-
-
-def _short_contexts(packed) -> ShortContexts:
-    """The broadcast counts as a table, worked out once per worker process."""
-    cells, n = packed.value
-    key = hash((zlib.crc32(cells.tobytes()), zlib.crc32(n.tobytes())))
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = ShortContexts(cells, n)
-    return _HELD[key]
-
-
 # The end of a text as a token: no word holds white space.
 _END_TOKEN = b" "
 
@@ -173,10 +81,12 @@ def _tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), _END_TOKEN]
 
 
-ASKED = "block int, word binary, context long, cell long, n long, lower long"
+# In place of a cell, where a row is about a word.
+_A_WORD = -1
+ASKED = "block int, word binary, cell long, n long"
 
 
-def _asks(packed):
+def _asks(order: int):
     """One block's distinct words and cells with their counts in its training texts."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
@@ -190,68 +100,101 @@ def _asks(packed):
         for word in others - trained.keys():
             trained[word] = 0
         words = pd.DataFrame({"word": list(trained), "n": list(trained.values())})
-        words = words.assign(block=number, context=None, cell=None, lower=0)[_NAMES].astype(_KINDS)
-        cells, n = _distinct(list(texts[~out]))
-        more, _ = _distinct(list(texts[out]))
+        cells, n = _distinct(list(texts[~out]), order)
+        more, _ = _distinct(list(texts[out]), order)
         more = np.setdiff1d(more, cells, assume_unique=True)
         cells, n = np.concatenate([cells, more]), np.concatenate([n, np.zeros(len(more), dtype=np.int64)])
-        lower = _short_contexts(packed).counts(cells % SHORT)
-        found = pd.DataFrame({"cell": cells, "context": cells // SYMBOLS, "n": n, "lower": lower})
-        return pd.concat([words, found.assign(block=number, word=None)[_NAMES].astype(_KINDS)])
+        found = pd.DataFrame({"cell": cells, "n": n})
+        names = ["block", "word", "cell", "n"]
+        return pd.concat([words.assign(cell=_A_WORD), found.assign(word=None)]).assign(block=number)[names]
 
     return run
 
 
-_NAMES = ["block", "word", "context", "cell", "n", "lower"]
-_KINDS = {"block": "int32", "context": "Int64", "cell": "Int64", "n": "int64", "lower": "int64"}
+def trie_levels(cells: DataFrame, order: int) -> list[DataFrame]:
+    """(cell, n) of every level, the empty context first, from the deepest: ``cells`` (cell, n) in any multiplicity."""
+    levels = [stored(cells.groupBy("cell").agg(F.sum("n").alias("n")), f"level-{order}")]
+    for k in range(order, 0, -1):
+        suffix = F.pmod(F.col("cell"), F.lit(SYMBOLS**k)).alias("cell")
+        seen = F.sum((F.col("n") > 0).cast("long")).alias("n")
+        levels.append(stored(levels[-1].groupBy(suffix).agg(seen), f"level-{k - 1}"))
+    return levels[::-1]
 
 
-def _answered(asked: DataFrame) -> DataFrame:
-    """Every row of ``asked`` with what all blocks together have seen: c of the word or cell; total, kinds and
-    lower of the cell's context; ``first`` on one row of each word or cell. One shuffle."""
-    one = Window.partitionBy("word", "context", "cell")
-    context = Window.partitionBy("word", "context")
-    counted = asked.repartition("word", "context").withColumns(
-        {"c": F.sum("n").over(one), "first": F.row_number().over(one.orderBy("block")) == 1}
-    )
-    counts = F.col("first") & (F.col("c") > 0)
-    return counted.select(
-        "block",
-        "word",
-        "cell",
-        "c",
-        "first",
-        F.sum("n").over(context).alias("total"),
-        F.sum(counts.cast("long")).over(context).alias("kinds"),
-        F.sum(F.when(counts, F.col("lower")).otherwise(0)).over(context).alias("lower"),
-    )
+def _discount(level: DataFrame) -> float:
+    """The share of a count that escapes, from the cells seen once and twice."""
+    once, twice = level.agg(
+        F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice")
+    ).first()
+    return min(max(once / (once + 2 * twice), DISCOUNTS[0]), DISCOUNTS[1]) if once + twice else 0.5
+
+
+def cell_probabilities(levels: list[DataFrame]) -> DataFrame:
+    """(cell, p) of the deepest level: probability of the symbol after the context, escapes and exclusions worked out.
+
+    Per level a row carries p, and ``below``: the probability of its symbol in the context shorter by a byte if
+    the symbols its own context has seen are excluded.
+    """
+    context = Window.partitionBy("context")
+    table, share1 = None, 0.0
+    for k, level in enumerate(levels):
+        share = _discount(level)
+        own = level.withColumn("context", F.expr(f"cell div {SYMBOLS}"))
+        if k:
+            own = own.withColumn("suffix", F.pmod(F.col("cell"), F.lit(SYMBOLS**k))).join(table, "suffix")
+        seen = F.col("n") > 0
+        sums = {"total": F.sum("n").over(context), "kinds": F.sum(seen.cast("long")).over(context)}
+        if k:
+            sums["taken"] = F.sum(F.when(seen, F.col("n1")).otherwise(0)).over(context)
+        own = own.withColumns(sums)
+        if k:
+            left, new = F.col("total1") - F.col("taken"), F.col("kinds1") - F.col("kinds")
+            found, escape = _shares(F.col("n1"), left, new, F.col("kinds1"), share1)
+            below = F.when(F.col("n1") > 0, found).otherwise(escape * F.col("below1"))
+            shorter = F.col("p1")
+        else:
+            below = 1.0 / F.greatest(F.lit(SYMBOLS) - F.col("kinds"), F.lit(1))
+            shorter = F.lit(1.0 / SYMBOLS)
+        own = own.withColumn("below", below)
+        found, escape = _shares(F.col("n"), F.col("total"), F.col("kinds"), F.col("kinds"), share)
+        unseen = F.when(F.col("total") > 0, escape * F.col("below")).otherwise(shorter)
+        own = own.withColumn("p", F.when(seen, found).otherwise(unseen))
+        names = ("n", "total", "kinds", "below", "p")
+        table = own.select(F.col("cell").alias("suffix"), *[F.col(c).alias(f"{c}1") for c in names])
+        share1 = share
+    return table.select(F.col("suffix").alias("cell"), F.col("p1").alias("p"))
+
+
+def _shares(n: Column, total: Column, kinds: Column, all_kinds: Column, share: float) -> tuple[Column, Column]:
+    """Probability of a symbol seen n times, and of an escape: 1 where nothing is left to be seen.
+
+    A context that has seen all symbols keeps nothing back for an escape.
+    """
+    kept = F.when(all_kinds < SYMBOLS, F.lit(share)).otherwise(0.0)
+    whole = F.greatest(total, F.lit(1))
+    return (n - kept) / whole, F.when(total > 0, kept * kinds / whole).otherwise(1.0)
 
 
 SCORED = "n_tokens long, n_known long, known double, score double"
 
 
-def _scores(packed):
+def _scores(order: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["id", "held_out", "n_tokens", "n_known", "known", "score"]
         if not len(left):
             return pd.DataFrame({name: [] for name in names})
-        model = _short_contexts(packed)
-        is_word = right["cell"].isna().to_numpy()
+        cells, found = right["cell"].to_numpy(), right["log"].to_numpy()
+        is_word = cells == _A_WORD
         words = right[is_word]
-        words = words[words["c"] > 0]
-        logs = dict(zip(words["word"], np.log10(words["c"].to_numpy() + 0.1).tolist(), strict=True))
-        rest = right[~is_word]
-        cells = rest["cell"].to_numpy(dtype=np.int64)
-        order = np.argsort(cells)
-        cells = cells[order]
-        found = model.log_probability(
-            cells, *(rest[name].to_numpy(dtype=np.float64)[order] for name in ("c", "total", "kinds", "lower"))
-        )
+        logs = dict(zip(words["word"], words["log"].tolist(), strict=True))
+        cells, found = cells[~is_word], found[~is_word]
+        by_cell = np.argsort(cells)
+        cells, found = cells[by_cell], found[by_cell]
         rows = []
         for text in left["text"]:
             tokens = _tokens(text)
             hits = [logs[t] for t in tokens if t in logs]
-            held = _cells(text)
+            held = _cells(text, order)
             score = sum(
                 float(found[np.searchsorted(cells, held[i : i + _CHUNK])].sum()) for i in range(0, len(held), _CHUNK)
             )
@@ -263,12 +206,20 @@ def _scores(packed):
 
 
 def score_documents(
-    docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    held_out: Column,
+    key: str = "doc_id",
+    text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+    order: int = ORDER,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    ``held_out`` says of each row of ``docs`` whether it is kept from training.
+    ``held_out`` says of each row of ``docs`` whether it is kept from training; ``order``, from 1 to 6, is the
+    number of bytes of the longest context.
     """
+    if not 1 <= order <= 6:
+        raise ValueError("order must lie between 1 and 6")
     body = F.coalesce(F.col(text), F.lit(""))
     total = docs.agg(F.sum(n_bytes(F.col(text)) + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -279,21 +230,28 @@ def score_documents(
         body.cast("binary").alias("text"),
         F.pmod(F.xxhash64(F.lit(71), F.col(key), body), F.lit(blocks)).cast("int").alias("block"),
     )
-    found = cell_counts(rows.where(~F.col("held_out")).select("text")).orderBy("cell").toPandas()
-    packed = docs.sparkSession.sparkContext.broadcast(
-        (found["cell"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64))
+    asked = stored(rows.groupBy("block").applyInPandas(_asks(order), ASKED), "asked")
+    words, cells = asked.where(F.col("cell") == _A_WORD), asked.where(F.col("cell") != _A_WORD)
+    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "words")
+    size = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("train_tokens"), F.count("*").alias("vocabulary")
     )
-    answered = _answered(rows.groupBy("block").applyInPandas(_asks(packed), ASKED))
-    distinct = F.col("first") & (F.col("c") > 0) & F.col("cell").isNull()
-    size = answered.agg(
-        F.coalesce(F.sum(F.when(distinct, F.col("c"))), F.lit(0)).alias("train_tokens"),
-        F.coalesce(F.sum(distinct.cast("long")), F.lit(0)).alias("vocabulary"),
+    table = cell_probabilities(trie_levels(cells.select("cell", "n"), order))
+    answered = (
+        words.select("block", "word")
+        .join(counts, "word")
+        .select("block", "word", F.lit(_A_WORD).cast("long").alias("cell"), F.log10(F.col("c") + 0.1).alias("log"))
+        .unionByName(
+            cells.select("block", "cell")
+            .join(table, "cell")
+            .select("block", F.lit(None).cast("binary").alias("word"), "cell", F.log10("p").alias("log"))
+        )
     )
     kind = rows.schema["id"].dataType.simpleString()
     scored = (
         rows.groupBy("block")
-        .cogroup(answered.drop("first").groupBy("block"))
-        .applyInPandas(_scores(packed), f"id {kind}, held_out boolean, {SCORED}")
+        .cogroup(answered.groupBy("block"))
+        .applyInPandas(_scores(order), f"id {kind}, held_out boolean, {SCORED}")
     )
     # One row, whatever the corpus.
     share = F.log10(F.col("train_tokens") + 0.1 * (F.col("vocabulary") + 1))

@@ -95,50 +95,67 @@ def test_encode_decode_and_digests(documents, mixed_texts, library):
 # Language model -------------------------------------------------------------------------------------------------
 
 
-DEEP = 3
-
-
 class BrutePpm:
     """Symbol by symbol, with dictionaries."""
 
-    def __init__(self, trained):
-        self.tables = [{} for _ in range(DEEP + 1)]
+    def __init__(self, trained, deep):
+        self.deep, self.tables = deep, [{} for _ in range(deep + 1)]
         for t in trained:
-            symbols = [ppm.END] * DEEP + list(t) + [ppm.END]
-            for k in range(DEEP, len(symbols)):
-                for order in range(DEEP + 1):
+            symbols = self._padded(t)
+            for k in range(deep, len(symbols)):
+                for order in range(deep, -1, -1):
                     seen = self.tables[order].setdefault(tuple(symbols[k - order : k]), Counter())
                     seen[symbols[k]] += 1
+                    if order and seen[symbols[k]] > 1:  # a shorter context counts what is new to the longer one
+                        break
+        self.kept = []
+        for table in self.tables:
+            n = Counter(n for seen in table.values() for n in seen.values())
+            self.kept.append(min(max(n[1] / (n[1] + 2 * n[2]), 0.1), 0.95) if n[1] + n[2] else 0.5)
+
+    def _padded(self, text):
+        return [ppm.END] * self.deep + list(text) + [ppm.END]
+
+    def distribution(self, context):
+        """Probability of every symbol after as many symbols as the trie is deep."""
+        found, reach = {}, 1.0
+        for order in range(self.deep, -1, -1):
+            whole = self.tables[order].get(tuple(context[self.deep - order :]), {})
+            counts = {s: n for s, n in whole.items() if s not in found}
+            if not counts:
+                continue
+            kept, total = self.kept[order] if len(whole) < ppm.SYMBOLS else 0.0, sum(counts.values())
+            found |= {s: reach * (n - kept) / total for s, n in counts.items()}
+            reach *= kept * len(counts) / total
+        rest = [s for s in range(ppm.SYMBOLS) if s not in found]
+        return found | {s: reach / len(rest) for s in rest}
 
     def score(self, text):
-        symbols = [ppm.END] * DEEP + list(text) + [ppm.END]
+        symbols = self._padded(text)
+        held = {}
         total = 0.0
-        for k in range(DEEP, len(symbols)):
-            excluded, reach = set(), 1.0
-            for order in range(DEEP, -1, -1):
-                counts = self.tables[order].get(tuple(symbols[k - order : k]), {})
-                counts = {s: n for s, n in counts.items() if s not in excluded}
-                if not counts:
-                    continue
-                left = ppm.SYMBOLS - len(excluded) - len(counts)
-                whole = sum(counts.values()) + (len(counts) if left else 0)
-                if symbols[k] in counts:
-                    total += math.log10(reach * counts[symbols[k]] / whole)
-                    break
-                reach *= len(counts) / whole
-                excluded |= set(counts)
-            else:
-                total += math.log10(reach / (ppm.SYMBOLS - len(excluded)))
+        for k in range(self.deep, len(symbols)):
+            context = tuple(symbols[k - self.deep : k])
+            if context not in held:
+                held[context] = self.distribution(context)
+            total += math.log10(held[context][symbols[k]])
         return total
 
 
-def test_short_contexts_are_distributions():
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_probabilities_of_a_context_sum_to_one(spark, order):
     trained = [b"banana band", b"abracadabra", b"\xff\x00 an", b"", bytes(range(256)) * 3]
-    cells = Counter(int(c) % ppm.SHORT for t in trained for c in ppm._cells(t))
-    keys = np.array(sorted(cells))
-    table = ppm.log_probabilities(keys, np.array([cells[k] for k in keys]))
-    rows = table.reshape(-1, ppm.SYMBOLS).astype(np.float64)
-    assert np.allclose((10**rows).sum(axis=1), 1, atol=1e-4)
+    model = BrutePpm(trained, order)
+    seen = [int(c) for t in trained for c in ppm._cells(t, order)]
+    contexts = sorted({c // ppm.SYMBOLS for c in seen})[:20]
+    asked = [(c * ppm.SYMBOLS + s, 0) for c in contexts for s in range(ppm.SYMBOLS)]
+    cells = spark.createDataFrame([(c, 1) for c in seen] + asked, "cell long, n long")
+    found = {r.cell: r.p for r in ppm.cell_probabilities(ppm.trie_levels(cells, order)).collect()}
+    for c in contexts:
+        own = [found[c * ppm.SYMBOLS + s] for s in range(ppm.SYMBOLS)]
+        digits = [c // ppm.SYMBOLS**i % ppm.SYMBOLS for i in range(order)][::-1]
+        assert math.isclose(sum(own), 1, rel_tol=1e-9)
+        assert np.allclose(own, [model.distribution(digits)[s] for s in range(ppm.SYMBOLS)], rtol=1e-9)
 
 
 @pytest.mark.parametrize("block_bytes", [2_000, 8 << 20])
@@ -152,7 +169,7 @@ def test_scores(documents, mixed_texts, block_bytes):
     out = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
     counts = Counter(w for t, o in zip(tokens, out, strict=True) if not o for w in t)
     n, v = sum(counts.values()), len(counts)
-    model = BrutePpm([(t or "").encode() for t, o in zip(texts, out, strict=True) if not o])
+    model = BrutePpm([(t or "").encode() for t, o in zip(texts, out, strict=True) if not o], ppm.ORDER)
     assert len(got) == len(texts)
     for i, found in enumerate(tokens):
         r = got[i]
@@ -160,7 +177,7 @@ def test_scores(documents, mixed_texts, block_bytes):
         assert (r.held_out, r.n_tokens, r.n_known) == (out[i], len(found), sum(w in counts for w in found))
         assert r.train_tokens == n and math.isclose(r.base_score, base, rel_tol=1e-9)
         if len(texts[i] or "") < 5000:
-            assert math.isclose(r.score, model.score((texts[i] or "").encode()), rel_tol=1e-5), i
+            assert math.isclose(r.score, model.score((texts[i] or "").encode()), rel_tol=1e-9), i
 
 
 def test_scores_of_empty_and_untrained_tables(documents):
@@ -168,7 +185,7 @@ def test_scores_of_empty_and_untrained_tables(documents):
     assert ppm.score_documents(documents([]), held).collect() == []
     row = ppm.score_documents(documents(["ab"]), F.lit(True)).collect()[0]
     assert (row.train_tokens, row.n_known, row.n_tokens) == (0, 0, 2)
-    assert math.isclose(row.score, -3 * math.log10(ppm.SYMBOLS), rel_tol=1e-5) and row.base_score == 0
+    assert math.isclose(row.score, -3 * math.log10(ppm.SYMBOLS), rel_tol=1e-9) and row.base_score == 0
 
 
 # Quality --------------------------------------------------------------------------------------------------------
