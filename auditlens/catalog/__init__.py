@@ -34,6 +34,6 @@ CATALOG = Catalog()
 
 def load_all() -> Catalog:
     """The catalog with every query module imported."""
-    from . import detectors, evaluation, features, flows, sampling, sets, sources, text  # noqa: F401
+    from . import detectors, evaluation, features, flows, sampling, sets, sources, streams, text  # noqa: F401
 
     return CATALOG

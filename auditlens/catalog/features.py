@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tfidf
-from ..operators.reduction import explained_variance, svd_transform, truncated_svd
+from ..operators.reduction import direction_residuals, explained_variance, svd_transform, truncated_svd
 from ..operators.sets import split_classes
 from ..plans.detection import text_vectors
 from ..session import stored
@@ -109,7 +109,7 @@ def variance_of_all_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def directions_of_two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Singular values and directions of a two-column matrix, whose closed form SQL can say."""
     pairs = vectors(spark, sf_dir).select(array_to_vector(F.slice("features", 1, 2)).alias("features"))
-    model = truncated_svd(pairs, 2, passes=500, tolerance=1e-14)
+    model = truncated_svd(pairs, 2)
     found = [
         (i + 1, float(model.singular[i]), float(model.components[0, i]), float(model.components[1, i])) for i in range(2)
     ]
@@ -147,6 +147,34 @@ def coordinate_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sums.select("i", "j", product.alias("product")), "product", digits=4)
 
 
+@CATALOG.query(
+    """with columns as (
+      select sum(x * x) as energy from (
+        select unnest(range(64)) as i, unnest(cast(embedding as double[])) as x from embeddings) group by i),
+    bounds as (select count(*) as width, sum(energy) as total, max(energy) as highest from columns)
+    select cast(d as bigint) as direction, 0.0::double as residual, true as between_bounds
+    from bounds, range(1, 6) as r(d)"""
+)
+def singular_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five of 64 directions at the defaults, tested on the rows: X.T X v - s^2 v is 0, so a basis that is not
+    singular shows; the first direction has no less energy than any column, all five no more than all columns,
+    and no less than an equal part."""
+    rows = vectors(spark, sf_dir).select(array_to_vector("features").alias("features"))
+    found = direction_residuals(rows, truncated_svd(rows, 5))
+    sums = vectors(spark, sf_dir).select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x") * F.col("x")).alias("e"))
+    bounds = sums.agg(F.count("*").alias("width"), F.sum("e").alias("total"), F.max("e").alias("highest"))
+    five = found.agg(F.sum("energy").alias("five"), F.max("energy").alias("first"))
+    slack = 1 + 1e-9
+    inside = (
+        (F.col("first") * slack >= F.col("highest"))
+        & (F.col("five") <= F.col("total") * slack)
+        & (F.col("five") * F.col("width") * slack >= F.col("total") * 5)
+    )
+    checked = bounds.join(F.broadcast(five), F.lit(True)).select(inside.alias("between_bounds"))
+    named = found.join(F.broadcast(checked), F.lit(True)).select("direction", "residual", "between_bounds")
+    return rounded(named, "residual", digits=2)
+
+
 @CATALOG.query()
 def explained_variance_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = text_vectors(commands(spark, sf_dir), keep=()).select(array_to_vector("features").alias("features"))

@@ -52,12 +52,12 @@ def tfidf_fit(df: DataFrame, text: str = "command") -> TfidfModel:
     return TfidfModel(cut_lineage(document_frequencies(df, text).withColumn("idf", idf)), n)
 
 
-def _weighted(
-    df: DataFrame, terms: DataFrame, columns: tuple[str, ...], id: str, text: str, keep: tuple[str, ...]
+def weighted_terms(
+    df: DataFrame, terms: DataFrame, columns: tuple[str, ...], id: str, text: str, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """``(id, *keep, term, raw, *columns)`` with raw = tf * idf. Texts stay even without terms;
     unknown terms have nulls. A term's row is unique, so a frequent term makes the left side of
-    this join skewed only, which adaptive execution splits."""
+    this join skewed only, which adaptive execution splits. It holds no state, so ``df`` may be a stream."""
     counts = run_counts(tokens_word(F.col(text)))
     long = df.select(id, *keep, F.explode_outer(counts).alias("c")).select(id, *keep, "c.term", "c.tf")
     known = long.join(terms.select("term", "idf", *columns), "term", "left")
@@ -71,7 +71,7 @@ def tfidf_vectors(
 
     Unknown terms are dropped; a text without known terms has an empty vector.
     """
-    weighted = _weighted(df, model.terms, (), id, text, keep)
+    weighted = weighted_terms(df, model.terms, (), id, text, keep)
     entry = F.when(F.col("raw").isNotNull(), F.struct("term", F.col("raw").alias("weight")))
     # The norm is an aggregate, not a second walk over the finished array.
     rows = weighted.groupBy(id, *keep).agg(
@@ -91,7 +91,7 @@ def tfidf_transform(
     """``(id, *keep, term, weight)``, L2-normalised per text; a text without known terms has no rows."""
     raw = F.col("raw")
     norm = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(id)))
-    weighted = _weighted(df, model.terms, (), id, text, keep).where("raw is not null")
+    weighted = weighted_terms(df, model.terms, (), id, text, keep).where("raw is not null")
     return weighted.select(id, *keep, "term", (raw / norm).alias("weight"))
 
 
@@ -109,7 +109,11 @@ def term_scores(
     One lookup join and one aggregate; the vectors themselves are never built. ``norm`` is 0, and
     so are the products, for a text without known terms.
     """
-    known = _weighted(df, terms, columns, id, text, keep)
+    return summed_terms(weighted_terms(df, terms, columns, id, text, keep), columns, id, keep)
+
+
+def summed_terms(known: DataFrame, columns: tuple[str, ...], id: str = "cmd_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The aggregate of :func:`term_scores` over rows of :func:`weighted_terms`."""
     raw = F.col("raw")
     norm = F.sqrt(F.coalesce(F.sum(raw * raw), F.lit(0.0)))
     return known.groupBy(id, *keep).agg(

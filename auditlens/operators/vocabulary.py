@@ -48,12 +48,29 @@ def encode(
     A token's row in the vocabulary is unique, so a frequent token makes only the long side of the
     lookup join skewed, which adaptive execution splits.
     """
+    return gathered_ids(token_rows(df, vocabulary, tokenizer, id, text), id, ids)
+
+
+def token_rows(
+    df: DataFrame,
+    vocabulary: DataFrame,
+    tokenizer: Callable[[Column], Column],
+    id: str = "cmd_id",
+    text: str = "command",
+) -> DataFrame:
+    """``(id, pos, token_id)`` of every token, -1 if unknown; one row with null ``pos`` for a text without
+    tokens. It holds no state, so ``df`` may be a stream."""
     occurrences = df.select(id, F.posexplode_outer(tokenizer(F.col(text))).alias("pos", "token"))
     looked_up = occurrences.join(vocabulary.select("token", "token_id"), "token", "left")
-    entry = F.struct("pos", F.coalesce("token_id", F.lit(-1)).alias("token_id"))
+    return looked_up.select(id, "pos", F.coalesce("token_id", F.lit(-1)).alias("token_id"))
+
+
+def gathered_ids(rows: DataFrame, id: str = "cmd_id", ids: str = "ids") -> DataFrame:
+    """``(id, ids)`` of rows of :func:`token_rows`, in text order."""
+    entry = F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id"))
     return (
-        looked_up.groupBy(id)
-        .agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), entry))).alias("placed"))
+        rows.groupBy(id)
+        .agg(F.sort_array(F.collect_list(entry)).alias("placed"))
         .select(id, F.col("placed.token_id").alias(ids))
     )
 

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import warnings
 
 import numpy as np
 import pytest
@@ -17,7 +18,13 @@ from auditlens.operators.discriminant import discriminant_fit, lda_classify
 from auditlens.operators.isolation import isolation_forest, tree_samples
 from auditlens.operators.nearest import filter_by_distance, nearest_distance, nearest_scores
 from auditlens.operators.oneclass import one_class_fit, one_class_score
-from auditlens.operators.reduction import explained_variance, svd_transform, truncated_svd
+from auditlens.operators.reduction import (
+    SvdModel,
+    direction_residuals,
+    explained_variance,
+    svd_transform,
+    truncated_svd,
+)
 
 WORDS = ["ls", "-l", "cat", "/etc/passwd", "rm", "", "the", "the", "x", "sudo", "grep", "w1", "w2", "w3"]
 CMD = "cmd_id long, command string, label int"
@@ -222,7 +229,7 @@ def test_truncated_svd(spark):
     points = rng.normal(size=(200, 30)) * np.linspace(3, 0.1, 30) + 0.5
     rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, x array<double>").repartition(5)
     df = rows.select("id", array_to_vector("x").alias("features"))
-    model = truncated_svd(df, 6, passes=60, tolerance=1e-12)
+    model = truncated_svd(df, 6, tolerance=1e-10)
     _, s, vt = np.linalg.svd(points, full_matrices=False)
     assert model.singular == pytest.approx(s[:6], rel=1e-6)
     got = np.array([r["reduced"] for r in svd_transform(df, model).orderBy("id").collect()])
@@ -234,6 +241,42 @@ def test_truncated_svd(spark):
     assert table[2] == pytest.approx(ratio[:2].sum(), abs=1e-4) and table[30] == pytest.approx(1.0)
 
 
+def test_weak_directions_settle_like_strong_ones(spark):
+    """Defaults on 120 columns: every direction's residual is small beside its own energy, a wrong basis shows."""
+    rng = np.random.default_rng(5)
+    spread = 1.15 ** -np.arange(120.0)
+    points = rng.normal(size=(300, 120)) * spread @ np.linalg.qr(rng.normal(size=(120, 120)))[0]
+    rows = spark.createDataFrame([(p.tolist(),) for p in points], "x array<double>").repartition(4)
+    df = rows.select(array_to_vector("x").alias("features"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        model = truncated_svd(df, 20)
+    _, s, vt = np.linalg.svd(points, full_matrices=False)
+    assert model.singular == pytest.approx(s[:20], rel=1e-7)
+    assert np.abs((vt[:20] @ model.components).diagonal()).min() > 0.99999
+    found = sorted(direction_residuals(df, model).collect())
+    assert [r["direction"] for r in found] == list(range(1, 21)) and max(r["residual"] for r in found) < 1.1e-4
+    wrong = np.linalg.qr(rng.normal(size=(120, 20)))[0]
+    energy = ((points @ wrong) ** 2).sum(axis=0)
+    off = direction_residuals(df, SvdModel(wrong, np.sqrt(energy), energy, energy)).collect()
+    assert min(r["residual"] for r in off) > 0.3
+
+
+def test_svd_beyond_the_rank(spark):
+    """More directions asked for than there are: the rest have no energy; an all-zero table has none at all."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(50, 3)) @ rng.normal(size=(3, 40))
+    for rows, rank in ((points, 3), (np.zeros((5, 40)), 0)):
+        frame = spark.createDataFrame([(p.tolist(),) for p in rows], "x array<double>")
+        df = frame.select(array_to_vector("x").alias("features"))
+        model = truncated_svd(df, 6)
+        want = np.linalg.svd(rows, compute_uv=False)[:6]
+        want = np.append(want, np.zeros(6 - len(want)))
+        assert model.singular == pytest.approx(want, abs=1e-5)
+        assert (model.singular > 1e-3).sum() == rank
+        assert model.components.T @ model.components == pytest.approx(np.eye(6), abs=1e-9)
+
+
 def test_svd_of_sparse_vectors_with_empty_rows(frame):
     rows = make_commands(40, 17) + [(800, "- x", 0)]
     df = frame(rows, CMD)
@@ -303,6 +346,24 @@ def test_one_class_svm(frame):
     assert model.weights @ model.weights == pytest.approx(margins.mean(), rel=0.05)
 
 
+def test_one_class_svm_reaches_its_gap(frame):
+    """Without a warning at the defaults, and no mixture of the nu-tails found by many plain steps is shorter."""
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(2000, 24)) + 0.3
+    df = frame([(i, p.tolist(), 0) for i, p in enumerate(points)], VEC)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        model = one_class_fit(df, nu=0.1)
+    weights = points.mean(axis=0)
+    for _ in range(5000):
+        tail = points[np.argsort(points @ weights)[:200]].mean(axis=0)
+        away = weights - tail
+        weights = weights - np.clip(weights @ away / (away @ away), 0, 1) * away
+    assert model.weights @ model.weights == pytest.approx(weights @ weights, rel=2e-3)
+    outside = [r["prediction"] for r in one_class_score(df, model).collect()].count(-1)
+    assert outside <= 0.1 * 2000
+
+
 def test_every_row_can_be_in_every_tree(frame):
     """Above the former pool of 20 samples: each tree gets its full sample, drawn from all rows."""
     rows = [(i, [float(i)], 0) for i in range(6000)]
