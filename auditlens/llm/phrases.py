@@ -51,7 +51,7 @@ TRIES_AT_ONCE = 1
 
 _BLOCK = 1 << 17
 _ROW = 1 << 13
-_ROWS_AT_ONCE = 64
+_ROWS_AT_ONCE = 16
 _COUNTED_WORDS = 200_000
 _COUNTED_TOGETHER = 2_000_000
 # Buckets of a slice, and what one slice can count at most.
@@ -313,11 +313,11 @@ def _tries(phrases: DataFrame, length: int, rows: int) -> Iterator[list[bytes]]:
 
 def _counted(blocks: DataFrame, tries: list[bytes], length: int) -> DataFrame:
     """(w0, w1, ..., f): occurrences of the tries' phrases per task, added up per block of text."""
-    shared = blocks.sparkSession.sparkContext.broadcast(tries)
+    shared = blocks.sparkSession.sparkContext.broadcast([pickle.loads(t) for t in tries])
     columns = _columns(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[PhraseTrie] = [pickle.loads(t) for t in shared.value]
+        held: list[PhraseTrie] = shared.value
         counts = [np.zeros(len(t.phrases), np.int64) for t in held]
         for ids, _ in _blocks(batches):
             for trie, total in zip(held, counts):
@@ -387,10 +387,10 @@ def _phrase_markers(phrases: DataFrame, length: int, rows: int) -> Iterator[tupl
     context = phrases.sparkSession.sparkContext
     passes = -(-_shards(rows, length) // TRIES_AT_ONCE)
     for i, tries in enumerate(_tries(phrases, length, rows)):
-        shared = context.broadcast(tries)
+        shared = context.broadcast([pickle.loads(t) for t in tries])
 
         def marker(shared=shared) -> Marker:
-            held: list[PhraseTrie] = [pickle.loads(t) for t in shared.value]
+            held: list[PhraseTrie] = shared.value
 
             def mark(text: np.ndarray) -> np.ndarray:
                 found = np.zeros(len(text), bool)
