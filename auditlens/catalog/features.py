@@ -178,7 +178,7 @@ def singular_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CATALOG.query()
 def explained_variance_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = text_vectors(commands(spark, sf_dir), keep=()).select(array_to_vector("features").alias("features"))
-    return explained_variance(stored(features, "text-vectors"), list(range(100, 600, 100)))
+    return explained_variance(features, list(range(100, 600, 100)))
 
 
 @CATALOG.query()
