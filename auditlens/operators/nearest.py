@@ -49,7 +49,7 @@ def nearest_distance(
     ``normalised``; it is exact whatever tokens are shared, and 1 without a shared token.
     ``tokens`` is the token expression on both frames, by default the strict split of
     ``command``. Queries without tokens or without a reference get nulls. Queries that do not
-    fit ``block_bytes`` are joined on prefixes of their tokens (:mod:`.setjoin`).
+    fit ``block_bytes`` go through :mod:`.setjoin`: joins on rare tokens, blocks for the rest.
     """
     tokens = tokens_strict(F.col("command")) if tokens is None else tokens
     scanner = partial(NearestOverlap, normalised=normalised)

@@ -1,31 +1,38 @@
-"""The nearest reference of every query by token overlap, as equi-joins on tokens.
+"""The nearest reference of every query by token overlap: equi-joins on rare tokens, and blocks for the rest.
 
 Distance is (list sizes - 2 x overlap), divided by the list sizes when normalised. Tokens are numbered by
 document frequency among the references, rarest first, so a row is an ascending array of numbers and every row
 reads its tokens in one global order. A query knows an upper bound of its answer: first that of sharing
-nothing with the shortest reference, then the best of a few references that hold its rarest tokens. A bound asks
-for a least overlap ``t``; of ``v`` known tokens, one of the first ``v - t + 1`` must then be shared. So
+nothing with the shortest reference, then that of the reference that shares most of its few rarest tokens. A bound
+asks for a least overlap ``t``; of ``v`` known tokens, one of the first ``v - t + 1`` must then be shared. So
 
-* candidates come from an equi-join of those prefixes with the references' prefixes, on the token;
-* a pair met at positions ``i`` and ``j`` can share at most what is left of either row, and its list sizes must
-  allow the bound, or it is dropped inside the join;
-* the surviving pairs are made distinct before they are shuffled, and their overlap is counted on the arrays.
+* a query whose prefix is short and rare (``NARROW``, ``RARE``) is joined to the references on its prefix; a pair
+  met at positions ``i`` and ``j`` can share at most what is left of either row, and its list sizes must allow the
+  bound, or it is dropped inside the join. It meets at most ``NARROW x RARE`` references, whose arrays are compared;
+* all other queries would meet much of the references: they are compared block by block (:mod:`.cells`), where each
+  task keeps one minimum per query and only blocks of list sizes that allow the bound are read.
 
-The nearer the references, the shorter the prefixes: common tokens are joined only for queries whose bound needs
-them. Equal rows are compared once. Results are exact; where no bound prunes, every pair that shares a token is a
-candidate. Adaptive execution splits the token that many rows hold.
+Equal rows are compared once. Results are exact. What is stored and shuffled is some copies of the tokens, and one copy
+of a side per block of the other; pairs are never more than a fixed number per query.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .blockjoin import BLOCK_BYTES
+from .cells import size_join
+from .scanners import NearestOverlap
 
-# Rarest tokens that look for a first bound, and references each of them tries.
+# Rarest tokens that look for a first bound.
 PROBE_TOKENS = 6
-PROBES = 16
+# A token of so many references is rare; a prefix of so many rare tokens is joined.
+RARE = 16
+NARROW = 8
 
 
 def _distinct_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,8 +82,13 @@ def _measured(pairs: DataFrame, queries: DataFrame, references: DataFrame, norma
     return fraction.groupBy("q").agg(best).select("q", "best.num", "best.den")
 
 
-def candidate_pairs(bounded: DataFrame, references: DataFrame, normalised: bool) -> DataFrame:
-    """Distinct (q, r) that may be no farther than the bounds in ``bounded`` (id, size, known, num, den)."""
+def candidate_pairs(
+    bounded: DataFrame, references: DataFrame, normalised: bool, below: int | None = None
+) -> DataFrame:
+    """Distinct (q, r) that may be no farther than the bounds in ``bounded`` (id, size, known, num, den).
+
+    ``below``: all numbers in the prefixes are smaller, so only these are looked up.
+    """
     num, den = F.col("num"), F.col("den")
     prefix = bounded.withColumn("t", _least_overlap(F.col("size"), num, den, normalised))
     first = prefix.select(
@@ -93,24 +105,26 @@ def candidate_pairs(bounded: DataFrame, references: DataFrame, normalised: bool)
         F.size("known").alias("w"),
         F.posexplode("known").alias("j", "number"),
     )
+    if below is not None:
+        postings = postings.where(F.col("number") < below)
     # At the first token they share a pair passes if it can be near enough; at later ones it need not.
     left = F.least(F.col("v") - F.col("i"), F.col("w") - F.col("j")).cast("bigint")
     met = first.join(postings, "number").where(_within(left, F.col("a") + F.col("b"), num, den, normalised))
     return met.select("q", "r").distinct()
 
 
-def _probes(queries: DataFrame, references: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Distinct (q, r): for the rarest tokens of every query about ``PROBES`` references that hold them."""
+def _probes(queries: DataFrame, references: DataFrame, below: int) -> DataFrame:
+    """(q, r): the reference that shares most of the query's rarest tokens, if one of these is smaller than ``below``."""
     first = queries.select(F.col("id").alias("q"), F.explode(F.slice("known", 1, PROBE_TOKENS)).alias("number"))
-    postings = references.select(F.col("id").alias("r"), F.explode("known").alias("number")).join(
-        vocabulary.select("number", "df"), "number"
-    )
-    share = F.greatest(F.lit(1), F.floor(F.col("df") / PROBES)).cast("bigint")
-    some = postings.where(F.pmod(F.xxhash64("r", "number"), share) == 0).select("r", "number")
-    return first.join(some, "number").select("q", "r").distinct()
+    postings = references.select(F.col("id").alias("r"), F.explode("known").alias("number"))
+    met = first.where(F.col("number") < below).join(postings.where(F.col("number") < below), "number")
+    shared = met.groupBy("q", "r").agg(F.count("*").alias("n"))
+    return shared.groupBy("q").agg(F.min_by("r", F.struct(-F.col("n"), F.col("r"))).alias("r"))
 
 
-def nearest_sets(query: DataFrame, reference: DataFrame, normalised: bool = True) -> DataFrame:
+def nearest_sets(
+    query: DataFrame, reference: DataFrame, normalised: bool = True, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """(id, numerator, denominator) of the nearest row of ``reference`` for every row of ``query`` with tokens.
 
     Both have (id, tokens: distinct tokens, size: list size). No row if there is no reference with tokens.
@@ -119,6 +133,9 @@ def nearest_sets(query: DataFrame, reference: DataFrame, normalised: bool = True
     references, _ = _distinct_rows(reference)
     vocabulary = _numbered_tokens(references)
     known, held = _encoded(queries, vocabulary), _encoded(references, vocabulary)
+    # Numbers rise with the frequency: all tokens before the first one of more than RARE references are rare.
+    frequent = vocabulary.where(F.col("df") > RARE).agg(F.min("number")).first()[0]
+    below = (1 << 63) - 1 if frequent is None else frequent
     shortest = F.broadcast(references.agg(F.min("size").alias("b")).where("b is not null"))
     total = F.col("size") + F.col("b")
     nothing = queries.join(shortest).select(
@@ -126,7 +143,7 @@ def nearest_sets(query: DataFrame, reference: DataFrame, normalised: bool = True
         total.cast("bigint").alias("num"),
         (total if normalised else F.lit(1)).cast("bigint").alias("den"),
     )
-    probed = cut_lineage(_measured(_probes(known, held, vocabulary), known, held, normalised))
+    probed = cut_lineage(_measured(_probes(known, held, below), known, held, normalised))
     best = F.min(F.struct((F.col("num") / F.col("den")).alias("d"), "num", "den")).alias("best")
 
     def smallest(found: DataFrame) -> DataFrame:
@@ -134,8 +151,25 @@ def nearest_sets(query: DataFrame, reference: DataFrame, normalised: bool = True
 
     bounds = cut_lineage(smallest(nothing.unionByName(probed)))
     bounded = known.join(bounds.withColumnRenamed("q", "id"), "id")
-    pairs = cut_lineage(candidate_pairs(bounded, held, normalised))
-    answers = cut_lineage(smallest(bounds.unionByName(_measured(pairs, known, held, normalised))))
+    least = _least_overlap(F.col("size"), F.col("num"), F.col("den"), normalised)
+    prefix = F.greatest(F.lit(0), F.size("known") - least.cast("int") + 1)
+    # A prefix of none means that no reference is nearer than the bound.
+    narrow = (prefix <= NARROW) & F.coalesce(F.get("known", prefix - 1) < below, F.lit(True))
+    split = cut_lineage(bounded.withColumn("narrow", narrow))
+    pairs = cut_lineage(candidate_pairs(split.where("narrow").drop("narrow"), held, normalised, below))
+    near = _measured(pairs, known, held, normalised)
+    sides = [
+        rows.select("id", F.col("known").alias("tokens"), "size") for rows in (split.where("not narrow"), held)
+    ]
+    scanned = size_join(
+        *sides,
+        partial(NearestOverlap, normalised=normalised),
+        NearestOverlap.SCHEMA,
+        8 * F.size("tokens"),
+        block_bytes,
+        normalised,
+    ).select(F.col("id").alias("q"), F.col("numerator").alias("num"), F.col("denominator").alias("den"))
+    answers = cut_lineage(smallest(bounds.unionByName(near).unionByName(scanned)))
     return copies.join(answers.withColumnRenamed("q", "rep"), "rep").select(
         "id", F.col("num").alias("numerator"), F.col("den").alias("denominator")
     )

@@ -43,3 +43,51 @@ def test_rows_of_frequent_terms_are_made_once(monkeypatch):
     fresh = projection.TermRows(16, 3)
     want = [sum(weights[20 * i + j] * plain(fresh, t).astype(float) for j, t in enumerate(text)) for i, text in enumerate(texts)]
     assert got == pytest.approx(np.array(want), abs=1e-9)
+
+
+def test_far_more_cells_than_blocks_copy_each_side_once_per_piece(frame, monkeypatch):
+    """All rows equally far apart, in many cells: nothing can be skipped, but small cells share blocks and pieces."""
+    from auditlens.operators import cells, neighbours
+
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(400, 48))
+    df = frame([(i, p.tolist()) for i, p in enumerate(points)], "id long, features array<double>")
+    dealt = []
+    plain = cells._pieces
+
+    def counted(*args):
+        first, parts = plain(*args)
+        dealt.append((len({n for f, k in zip(first, parts) for n in range(f, f + k)}), sum(k > 0 for k in parts)))
+        return first, parts
+
+    monkeypatch.setattr(cells, "_pieces", counted)
+    row = 48 * 8 + 512
+    near = neighbours.k_nearest(df, df, 3, skip_self=True, block_bytes=100 * row).collect()
+    (blocks, filled), (pieces, _) = dealt
+    assert filled > 40 and blocks <= 8 and pieces <= 70
+    gaps = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    np.fill_diagonal(gaps, np.inf)
+    want = {(i, int(j)) for i in range(400) for j in np.argsort(gaps[i])[:3]}
+    assert {(r["id"], r["neighbour"]) for r in near} == want
+
+
+def test_sets_without_close_references_emit_few_pairs(frame, monkeypatch):
+    """Every reference shares frequent tokens with every query: no pairs are made, blocks are compared."""
+    import random
+
+    from auditlens.operators import setjoin
+
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, t, len(t)) for i in range(150) for t in [draw.sample(words, draw.randint(5, 20))]]
+    made = []
+    plain = setjoin.candidate_pairs
+    monkeypatch.setattr(setjoin, "candidate_pairs", lambda *a: made.append(plain(*a).count()) or plain(*a))
+    schema = "id long, tokens array<string>, size int"
+    got = setjoin.nearest_sets(frame(rows[:60], schema), frame(rows[60:], schema)).collect()
+    assert made[0] <= 60 * setjoin.NARROW * setjoin.RARE / 10
+    for r in got:
+        a = set(rows[r["id"]][1])
+        best = min((len(a) + n - 2 * len(a & set(t))) / (len(a) + n) for _, t, n in rows[60:])
+        assert r["numerator"] / r["denominator"] == pytest.approx(best, abs=1e-12)
+    assert len(got) == 60
