@@ -5,7 +5,7 @@ import random
 import pytest
 
 from auditlens.operators import evaluation
-from auditlens.plans import detection
+from auditlens.plans import curves, detection
 from auditlens.plans.curves import bayes_learning_curve
 from tests.test_detectors import CMD, separable
 
@@ -86,6 +86,21 @@ def test_one_pass_learning_curve_equals_the_runs_one_by_one(frame):
         assert second[key]["std_score"] == pytest.approx(row["std_score"], abs=1e-9)
 
 
+def test_learning_curve_in_one_block_and_in_many(frame, monkeypatch):
+    rows = separable(80) + [(3, "ls twice", 1), (5, None, 0), (None, "wget passwd", 1)]
+    df = frame(rows, CMD)
+
+    def curve(chars):
+        monkeypatch.setattr(curves, "BLOCK_CHARS", chars)
+        found = bayes_learning_curve(df, sizes=(0.4, 1.0), splits=2).collect()
+        return {(r["train_size"], r["side"]): (r["mean_score"], r["std_score"]) for r in found}
+
+    whole, cut = curve(1 << 20), curve(100)
+    assert set(whole) == set(cut) and len(cut) == 4
+    for key, values in whole.items():
+        assert cut[key] == pytest.approx(values)
+
+
 def test_text_outliers(frame):
     rows = [(i, f"ls grep cat tail{i % 4} file{i % 9}", 0) for i in range(90)]
     rows += [(100 + i, f"wget passwd{i} netcat{i} chmod{i}", 1) for i in range(10)]
