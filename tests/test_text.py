@@ -85,6 +85,14 @@ def test_entropy_and_counts(spark):
     values = ["aaaa", "abcd", "a\nb a", "漢字漢😀", " ls ls ls "]
     assert apply(spark, T.char_entropy, values) == pytest.approx([entropy(v) + 0.0 for v in values], abs=1e-7)
     assert apply(spark, T.char_entropy, ["", None]) == [0.0, None]
+
+
+def test_char_entropy_counts_each_character_once(spark):
+    """Code points count, white space too; no copy of the text is made per distinct character."""
+    values = ["\U0001f600a\U0001f600a", "a\nb\n", "aaaa"]
+    assert apply(spark, T.char_entropy, values) == [1.0, 1.5, 0.0]
+    plan = spark.createDataFrame([("ab",)], "t string").select(T.char_entropy(F.col("t")))
+    assert "replace" not in plan._jdf.queryExecution().optimizedPlan().toString()
     assert apply(spark, T.substr_count, values, " ls ") == [v.count(" ls ") for v in values]
 
 
