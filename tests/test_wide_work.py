@@ -91,3 +91,22 @@ def test_sets_without_close_references_emit_few_pairs(frame, monkeypatch):
         best = min((len(a) + n - 2 * len(a & set(t))) / (len(a) + n) for _, t, n in rows[60:])
         assert r["numerator"] / r["denominator"] == pytest.approx(best, abs=1e-12)
     assert len(got) == 60
+
+
+def test_a_rare_term_row_is_made_once_per_batch(monkeypatch):
+    """Terms beyond the kept rows are made once, however many blocks of texts hold them."""
+    monkeypatch.setattr(projection, "CACHE_BYTES", 2 * 4 * 16)
+    monkeypatch.setattr(projection, "BLOCK", 16 * 4)
+    made = []
+    plain = projection.TermRows.made
+    monkeypatch.setattr(projection.TermRows, "made", lambda self, term: made.append(term) or plain(self, term))
+    texts = [["a", "b", f"t{i % 5}", f"t{(i + 1) % 5}"] for i in range(20)] + [[]]
+    weights = np.arange(1.0, 81.0)
+    found = projection.TermRows(16, 3).project(
+        pa.array([t for text in texts for t in text]), weights, np.array([len(t) for t in texts])
+    )
+    assert sorted(made) == ["a", "b", "t0", "t1", "t2", "t3", "t4"]
+    rows = projection.TermRows(16, 3)
+    for i, text in enumerate(texts):
+        want = sum((w * plain(rows, t).astype(float) for t, w in zip(text, weights[4 * i :])), np.zeros(16))
+        assert found[i] == pytest.approx(want)
