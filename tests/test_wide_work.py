@@ -110,3 +110,5 @@ def test_a_rare_term_row_is_made_once_per_batch(monkeypatch):
     for i, text in enumerate(texts):
         want = sum((w * plain(rows, t).astype(float) for t, w in zip(text, weights[4 * i :])), np.zeros(16))
         assert found[i] == pytest.approx(want)
+    often = projection.TermRows(16, 3).project(pa.array(["a", "a"]), np.ones(2), np.array([1, 0, 1]))
+    assert often[1].tolist() == [0.0] * 16 and often[0] == pytest.approx(plain(rows, "a").astype(float))
