@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens_ws
 from ..session import cut_lineage
 from .sampling import hash_position
+from .termblocks import Block, by_blocks, id_groups
 
 
 def build_vocabulary(
@@ -45,10 +49,27 @@ def encode(
 ) -> DataFrame:
     """``(id, ids)``: token ids in text order, -1 for unknown tokens, empty text gives [].
 
-    A token's row in the vocabulary is unique, so a frequent token makes only the long side of the
-    lookup join skewed, which adaptive execution splits.
+    Tokens are looked up once per block of texts; rows of one id are one text, by place and token id.
     """
-    return gathered_ids(token_rows(df, vocabulary, tokenizer, id, text), id, ids)
+    kind = vocabulary.schema["token_id"].dataType
+    schema = T.StructType([df.schema[id], T.StructField(ids, T.ArrayType(kind))])
+
+    def answer(block: Block) -> pa.Table:
+        found = block.values[block.codes, 0]
+        found = np.where(np.isnan(found), -1, found).astype(np.int64)
+        lengths, key = block.lengths, block.kept[0]
+        group = id_groups(key)
+        texts, first = np.unique(group, return_index=True)
+        if len(texts) < len(group):
+            place = np.arange(len(found)) - (np.cumsum(lengths) - lengths)[block.row]
+            found = found[np.lexsort((found, place, group[block.row]))]
+            lengths, key = np.bincount(group, lengths).astype(np.int64), key.take(pa.array(first))
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        numbers = pa.array(found).cast(pa.int64() if kind == T.LongType() else pa.int32())
+        return pa.Table.from_arrays([key, pa.ListArray.from_arrays(pa.array(offsets), numbers)], names=[id, ids])
+
+    columns = ("token_id",)
+    return by_blocks(df, vocabulary, "token", columns, (id,), tokenizer, text, answer, schema, counted=False)
 
 
 def token_rows(
