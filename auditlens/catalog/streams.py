@@ -21,11 +21,11 @@ from .tables import COMMANDS, commands, labelled, rounded
 
 
 def _arrivals(rows: DataFrame, path: str) -> Iterator[None]:
-    """Write ``rows`` as audit records below ``path``: normals first, abnormals after the caller went on."""
+    """Write ``rows`` as compressed audit records below ``path``: normals first, abnormals after the caller went on."""
     command = F.concat(F.replace("command", F.lit(" "), F.lit(NUL)), F.lit(NUL))
     records = rows.select("label", F.col("cmd_id").cast("string").alias("cpid"), command.alias("ccmdline"))
     for label, name in ((0, "first"), (1, "second")):
-        records.where(F.col("label") == label).drop("label").write.json(f"{path}/{name}")
+        records.where(F.col("label") == label).drop("label").write.json(f"{path}/{name}", compression="gzip")
         yield
 
 
