@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.text import tokens_ws
 from ..session import cut_lineage
 from .sampling import hash_position
-from .termblocks import Block, by_blocks, id_groups
+from .termblocks import Block, by_blocks, id_groups, text_blocks
 
 
 def build_vocabulary(
@@ -51,6 +51,9 @@ def encode(
 
     Tokens are looked up once per block of texts; rows of one id are one text, by place and token id.
     """
+    blocks = text_blocks(df, text)
+    if blocks == 1:
+        return gathered_ids(token_rows(df, vocabulary, tokenizer, id, text), id, ids)
     kind = vocabulary.schema["token_id"].dataType
     schema = T.StructType([df.schema[id], T.StructField(ids, T.ArrayType(kind))])
 
@@ -69,7 +72,7 @@ def encode(
         return pa.Table.from_arrays([key, pa.ListArray.from_arrays(pa.array(offsets), numbers)], names=[id, ids])
 
     columns = ("token_id",)
-    return by_blocks(df, vocabulary, "token", columns, (id,), tokenizer, text, answer, schema, counted=False)
+    return by_blocks(df, blocks, vocabulary, "token", columns, (id,), tokenizer, text, answer, schema, counted=False)
 
 
 def token_rows(
