@@ -7,12 +7,15 @@ For a length there are three passes over what is left of the texts:
 1. every candidate occurrence is hashed into one of ``BUCKETS`` buckets, and the buckets whose count reaches
    ``least`` become a bit map of fixed size: a phrase in any other bucket cannot be frequent (on more text more
    buckets are full, and more candidates are counted);
-2. the distinct phrases in those buckets are the candidates; they are dealt into shards by hash;
+2. the distinct phrases in those buckets are the candidates; they are dealt into shards by the bits of their words;
 3. the tries of a bounded number of shards at a time are broadcast, each task advances all positions of its texts
-   through them symbol by symbol, counts the accepting states, and the counts of all tasks are summed.
+   whose words belong to a shard through its trie symbol by symbol, counts the accepting states, and the counts of
+   all tasks are summed.
 
-More candidates mean more shards and, beyond ``TRIES_AT_ONCE``, more passes, never larger broadcasts. Words are
-64-bit numbers, different per language; a collision among all words of the corpus is looked for, and the
+More candidates mean more shards and, beyond ``TRIES_AT_ONCE``, more passes, never larger broadcasts; a position
+enters one trie in all passes together. Trimming looks up 64-bit numbers of the frequent phrases: should two phrases
+share one, a stretch too many is kept and nothing is counted wrongly. Broadcasts and stored copies go as soon as the
+next step is stored, so that disk and memory do not grow with the passes. Words are 64-bit numbers, different per language; a collision among all words of the corpus is looked for, and the
 numbers drawn anew if there is one. Scores are exact: decimals of 38 digits.
 
 * a null text counts as empty, a null language as ``und``; A-Z count as a-z, other letters as they stand
@@ -32,10 +35,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from .tries import MOST_WORDS, PhraseTrie
 from .words import Recent, mix64
 
@@ -44,7 +47,7 @@ _NORMAL = bytes.maketrans(PIECE_ENDS + b"\t", b"\n" * len(PIECE_ENDS) + b" ")
 
 BUCKET_BITS = 26
 BUCKETS = 1 << BUCKET_BITS
-# Words of one broadcast set, phrases of one trie, tries broadcast together.
+# Words or phrases of one broadcast set, phrases of one trie, tries broadcast together.
 WORDS_AT_ONCE = 4_000_000
 PHRASES_PER_TRIE = 300_000
 TRIES_AT_ONCE = 1
@@ -271,9 +274,9 @@ def _slices(buckets: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _candidates(blocks: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
-    """The distinct phrases (w0, w1, ...) of ``length`` words in buckets with their bit set."""
-    shared = blocks.sparkSession.sparkContext.broadcast(bits)
+def _candidates(blocks: DataFrame, length: int, least: int) -> DataFrame:
+    """The distinct phrases (w0, w1, ...) of ``length`` words in buckets whose count reaches ``least``, stored."""
+    shared = blocks.sparkSession.sparkContext.broadcast(_bucket_bits(blocks, length, least))
     columns = _columns(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +288,10 @@ def _candidates(blocks: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
             phrases = np.unique(np.stack([ids[at + k] for k in range(length)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(phrases[:, k].view(np.int64).copy()) for k in range(length)], columns)
 
-    return blocks.mapInArrow(run, ", ".join(f"{c} long" for c in columns)).distinct()
+    found = blocks.mapInArrow(run, ", ".join(f"{c} long" for c in columns)).distinct()
+    found = stored(found, "phrases-candidates")
+    shared.destroy()
+    return found
 
 
 def _matrix(table: pa.Table, length: int) -> np.ndarray:
@@ -297,39 +303,61 @@ def _shards(rows: int, length: int) -> int:
     return max(1, -(-rows // min(PHRASES_PER_TRIE, MOST_WORDS * 9 // (10 * length))))
 
 
-def _tries(phrases: DataFrame, length: int, rows: int) -> Iterator[list[bytes]]:
-    """Serialised tries over all phrases, a bounded number at a time; each is built by a task of its own."""
-    shards = _shards(rows, length)
+# A phrase's shard: bits of its words, each shifted by this more than the one before, the highest modulo the shards.
+_SHIFT, _LOWEST = 7, 33
+
+
+def _shard(columns: list[str], shards: int) -> Column:
+    bits = reduce(Column.bitwiseXOR, [F.shiftleft(c, _SHIFT * k) for k, c in enumerate(columns)])
+    return F.pmod(F.shiftrightunsigned(bits, _LOWEST), F.lit(shards))
+
+
+def _shards_of(ids: np.ndarray, length: int, shards: int) -> np.ndarray:
+    """The shard of the words that start at every position, as :func:`_shard` tells."""
+    n = max(len(ids) - length + 1, 0)
+    bits = ids[:n].copy()
+    for k in range(1, length):
+        bits ^= ids[k : n + k] << np.uint64(_SHIFT * k)
+    return (bits >> np.uint64(_LOWEST)).astype(np.uint32) % np.uint32(shards)
+
+
+def _tries(phrases: DataFrame, length: int, shards: int) -> Iterator[list[tuple[int, bytes]]]:
+    """(shard, serialised trie) over all phrases, a bounded number at a time; each is built by a task of its own."""
     columns = _columns(length)
-    dealt = phrases.select(*columns, F.pmod(F.xxhash64(F.lit(31), *columns), F.lit(shards)).alias("shard"))
+    dealt = phrases.select(*columns, _shard(columns, shards).alias("shard"))
 
     def build(group: pa.Table) -> pa.Table:
-        return pa.table({"trie": pa.array([pickle.dumps(PhraseTrie(_matrix(group, length)))], pa.binary())})
+        trie = pickle.dumps(PhraseTrie(_matrix(group, length)))
+        return pa.table({"shard": group.column("shard").slice(0, 1), "trie": pa.array([trie], pa.binary())})
 
     for first in range(0, shards, TRIES_AT_ONCE):
         part = dealt.where(F.col("shard").between(first, first + TRIES_AT_ONCE - 1))
-        yield part.groupBy("shard").applyInArrow(build, "trie binary").toArrow().column("trie").to_pylist()
+        built = part.groupBy("shard").applyInArrow(build, "shard long, trie binary").toArrow()
+        yield list(zip(built.column("shard").to_pylist(), built.column("trie").to_pylist()))
 
 
-def _counted(blocks: DataFrame, tries: list[bytes], length: int) -> DataFrame:
-    """(w0, w1, ..., f): occurrences of the tries' phrases per task, added up per block of text."""
-    shared = blocks.sparkSession.sparkContext.broadcast([pickle.loads(t) for t in tries])
+def _counted(blocks: DataFrame, tries: list[tuple[int, bytes]], length: int, shards: int, least: int) -> DataFrame:
+    """(w0, w1, ..., f): the tries' phrases that occur ``least`` times, counted per task and added up, stored."""
+    shared = blocks.sparkSession.sparkContext.broadcast([(shard, pickle.loads(t)) for shard, t in tries])
     columns = _columns(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[PhraseTrie] = shared.value
-        counts = [np.zeros(len(t.phrases), np.int64) for t in held]
+        held: list[tuple[int, PhraseTrie]] = shared.value
+        counts = [np.zeros(len(t.phrases), np.int64) for _, t in held]
         for ids, _ in _blocks(batches):
-            for trie, total in zip(held, counts):
-                total += np.bincount(trie.occurrences(ids)[1], minlength=len(total))
-        for trie, total in zip(held, counts):
+            of = _shards_of(ids, length, shards)
+            for (shard, trie), total in zip(held, counts):
+                total += np.bincount(trie.occurrences(ids, np.flatnonzero(of == shard))[1], minlength=len(total))
+        for (_, trie), total in zip(held, counts):
             seen = np.flatnonzero(total)
             words = trie.phrases[seen].view(np.int64)
             arrays = [pa.array(words[:, k].copy()) for k in range(length)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(total[seen])], [*columns, "f"])
 
     found = blocks.mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", f long")
-    return found.groupBy(*columns).agg(F.sum("f").alias("f"))
+    found = stored(found.groupBy(*columns).agg(F.sum("f").alias("f")).where(F.col("f") >= least), f"phrases-{length}")
+    shared.destroy()
+    return found
 
 
 Marker = Callable[[np.ndarray], np.ndarray]
@@ -355,52 +383,51 @@ def _trimmed_blocks(
                 if len(kept):
                     yield _block(kept, None)
 
-        blocks = stored(blocks.mapInArrow(run, _BLOCK_SCHEMA), f"phrases-texts-{length}")
+        before, blocks = blocks, stored(blocks.mapInArrow(run, _BLOCK_SCHEMA), f"phrases-texts-{length}")
+        if first:
+            discard(before)
     return blocks
 
 
-def _word_markers(words: DataFrame, rows: int) -> Iterator[tuple[Callable, bool]]:
-    """Markers of frequent words: sorted sets of at most some ``WORDS_AT_ONCE`` numbers each."""
+def _markers(numbers: DataFrame, rows: int, mark_by: Callable) -> Iterator[tuple[Callable, bool]]:
+    """Markers by sorted sets of at most some ``WORDS_AT_ONCE`` of the ``numbers`` (id) each, ``mark_by(known, text)``.
+
+    A set is let go when the next one is asked for."""
     shards = max(1, -(-rows // WORDS_AT_ONCE))
-    context = words.sparkSession.sparkContext
+    context = numbers.sparkSession.sparkContext
     for shard in range(shards):
-        part = words.where(F.pmod(F.xxhash64(F.lit(32), "id"), F.lit(shards)) == shard).select("id").toArrow()
-        ids = np.sort(part.column("id").to_numpy().view(np.uint64))
-        shared = context.broadcast(ids)
+        part = numbers.where(F.pmod(F.xxhash64(F.lit(32), "id"), F.lit(shards)) == shard).select("id").toArrow()
+        shared = context.broadcast(np.sort(part.column("id").to_numpy().view(np.uint64)))
 
         def marker(shared=shared) -> Marker:
             known = shared.value
-            if not len(known):
-                return lambda text: np.zeros(len(text), bool)
-
-            def mark(text: np.ndarray) -> np.ndarray:
-                at = np.searchsorted(known, text)
-                at[at == len(known)] = 0
-                return known[at] == text
-
-            return mark
+            return lambda text: mark_by(known, text)
 
         yield marker, shard == shards - 1
+        shared.destroy()
 
 
-def _phrase_markers(phrases: DataFrame, length: int, rows: int) -> Iterator[tuple[Callable, bool]]:
-    context = phrases.sparkSession.sparkContext
-    passes = -(-_shards(rows, length) // TRIES_AT_ONCE)
-    for i, tries in enumerate(_tries(phrases, length, rows)):
-        shared = context.broadcast([pickle.loads(t) for t in tries])
+def _among(known: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(numbers), bool)
+    at = np.searchsorted(known, numbers)
+    at[at == len(known)] = 0
+    return known[at] == numbers
 
-        def marker(shared=shared) -> Marker:
-            held: list[PhraseTrie] = shared.value
 
-            def mark(text: np.ndarray) -> np.ndarray:
-                found = np.zeros(len(text), bool)
-                for trie in held:
-                    found[trie.occurrences(text)[0]] = True
-                return found
+def _phrase_markers(phrases: DataFrame, length: int, rows: int) -> Iterator[tuple[Callable, bool]]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = _matrix(pa.Table.from_batches([batch]), length).ravel()
+            ids = _phrase_hash(words, np.arange(batch.num_rows) * length, length)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64))], ["id"])
 
-            return mark
+    def mark_by(known: np.ndarray, text: np.ndarray) -> np.ndarray:
+        found, at = np.zeros(len(text), bool), _safe_starts(text, length)
+        found[at] = _among(known, _phrase_hash(text, at, length))
+        return found
 
-        yield marker, i == passes - 1
+    return _markers(phrases.select(*_columns(length)).mapInArrow(number, "id long"), rows, mark_by)
 
 
 def mine_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text: str = "text", lang: str = "lang") -> Mined:
@@ -410,30 +437,33 @@ def mine_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text: str =
         vocabulary = stored(word_counts(rows, salt), "phrases-words")
         if vocabulary.groupBy("id").agg(F.count("*").alias("words")).where("words > 1").isEmpty():
             break
+        discard(vocabulary)
     else:
         raise RuntimeError("word numbers collide under eight salts")
-    totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = stored(vocabulary.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
     words = stored(vocabulary.where(F.col("n") >= least).select("id", "lang", "word", F.col("n").alias("f")), "phrases-frequent")
+    discard(vocabulary)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, None]]:
         return ((ids, None) for ids in _text_ids(batches, salt))
 
-    blocks = _trimmed_blocks(rows, read, _word_markers(words, words.count()), 1)
+    blocks = _trimmed_blocks(rows, read, _markers(words, words.count(), _among), 1)
     levels: list[DataFrame] = []
     for length in range(2, longest + 1):
-        bits = _bucket_bits(blocks, length, least)
-        candidates = stored(_candidates(blocks, length, bits), "phrases-candidates")
+        candidates = _candidates(blocks, length, least)
         n = candidates.count()
         if not n:
             break
-        counts = [
-            stored(_counted(blocks, tries, length).where(F.col("f") >= least), f"phrases-{length}")
-            for tries in _tries(candidates, length, n)
-        ]
+        shards = _shards(n, length)
+        counts = [_counted(blocks, tries, length, shards, least) for tries in _tries(candidates, length, shards)]
+        discard(candidates)
         frequent = reduce(DataFrame.unionByName, counts)
         levels.append(frequent.select(F.array(*_columns(length)).alias("w"), "f"))
         if length < longest:
+            before = blocks
             blocks = _trimmed_blocks(blocks, _blocks, _phrase_markers(frequent, length, frequent.count()), length)
+            discard(before)
+    discard(blocks)
     spark = docs.sparkSession
     empty = spark.createDataFrame([], "w array<bigint>, f long")
     return Mined(totals, words, reduce(DataFrame.unionByName, levels, empty))

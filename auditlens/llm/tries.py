@@ -73,22 +73,18 @@ class PhraseTrie:
             self.base = np.concatenate([self.base, np.zeros_like(self.base)])
             self.check = np.concatenate([self.check, np.full_like(self.check, _FREE)])
 
-    def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, phrase numbers) where a phrase starts; no phrase holds the word 0, which separates pieces."""
+    def occurrences(self, text: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, phrase numbers) where a phrase starts, among the positions ``at`` if given; no phrase holds
+        the word 0, which separates pieces."""
         length = self.phrases.shape[1]
-        codes = np.searchsorted(self.words, text)
-        codes[codes == len(self.words)] = 0
-        codes[self.words[codes] != text] = -1
-        known = codes >= 0
-        if len(text) < length:
-            return np.empty(0, np.int64), np.empty(0, np.int32)
-        starts = known[: len(text) - length + 1].copy()
-        for k in range(1, length):
-            starts &= known[k : len(text) - length + 1 + k]
-        at = np.flatnonzero(starts)
+        at = np.arange(max(len(text) - length + 1, 0)) if at is None else at
         state = np.zeros(len(at), np.int64)
         for k in range(length):
-            code = codes[at + k]
+            word = text[at + k]
+            code = np.searchsorted(self.words, word)
+            code[code == len(self.words)] = 0
+            known = self.words[code] == word
+            state, at, code = state[known], at[known], code[known]
             state, at, code = self._step(state, code >> BITS, at, code)
             state, at, code = self._step(state, code & (SYMBOLS - 1), at, code)
         return at, self.accept[state]

@@ -7,13 +7,16 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
+from itertools import count
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 
+from auditlens import session
 from auditlens.llm import conversations, phrases, piece_table, queries
 from auditlens.llm.tries import PhraseTrie
 
@@ -214,6 +217,36 @@ def test_phrases_over_many_shards_and_passes(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == mined(rows, 4, 6, 1000)
 
 
+def test_phrase_passes_leave_nothing_behind(spark, monkeypatch, tmp_path):
+    """Passes over the texts keep neither their copies of them nor their candidates and broadcasts."""
+    made, gone, number = [], [], count()
+    monkeypatch.setattr(phrases, "PHRASES_PER_TRIE", 25)
+    monkeypatch.setattr(phrases, "WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(session, "scratch_path", lambda _, name: str(tmp_path / f"{name}-{next(number)}"))
+    context, broadcast = type(spark.sparkContext), type(spark.sparkContext).broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: made.append(1) or broadcast(self, value))
+    destroy = Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: gone.append(1) or destroy(self, *a))
+    frame = spark.createDataFrame(phrase_rows(9), "text string, lang string").repartition(2)
+    found = phrases.mine_phrases(frame, longest=3, least=6)
+    kept = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert kept == {"phrases-totals", "phrases-frequent", "phrases-2", "phrases-3"} and found.phrases.count() > 0
+    assert len(made) == len(gone) > 8
+
+
+@pytest.mark.parametrize("length", [2, 3])
+def test_each_phrase_lies_in_the_shard_that_texts_look_for(spark, length):
+    ids = np.random.default_rng(length).integers(2, 1 << 64, 500 + length, dtype=np.uint64)
+    columns = phrases._columns(length)
+    rows = [tuple(ids[i : i + length].view(np.int64).tolist()) for i in range(len(ids) - length + 1)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, " + ", ".join(f"{c} long" for c in columns))
+    told = dict(frame.select("i", phrases._shard(columns, 7)).collect())
+    of = phrases._shards_of(ids, length, 7)
+    assert [told[i] for i in range(len(rows))] == of.tolist() and set(of) == set(range(7))
+    trie = PhraseTrie(np.array(rows, np.int64).view(np.uint64)[of == 3])
+    assert trie.occurrences(ids, np.flatnonzero(of == 3))[0].tolist() == trie.occurrences(ids)[0].tolist()
+
+
 def test_phrases_of_nothing(spark):
     frame = spark.createDataFrame([(None, None), ("a b", "en")], "text string, lang string")
     assert phrases.collocations(frame).count() == 0
