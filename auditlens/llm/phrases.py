@@ -27,20 +27,20 @@ numbers drawn anew if there is one. Scores are exact: decimals of 38 digits.
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, stored
-from .tries import MOST_WORDS, PhraseTrie
-from .words import Recent, mix64
+from .tries import MOST_WORDS, PhraseTrie, run_starts
+from .words import mix64
 
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _NORMAL = bytes.maketrans(PIECE_ENDS + b"\t", b"\n" * len(PIECE_ENDS) + b" ")
@@ -52,16 +52,16 @@ WORDS_AT_ONCE = 4_000_000
 PHRASES_PER_TRIE = 300_000
 TRIES_AT_ONCE = 1
 
-_BLOCK = 1 << 17
 _ROW = 1 << 13
 _ROWS_AT_ONCE = 16
-_COUNTED_WORDS = 200_000
+# Bytes of the texts that are counted, or encoded, together.
+_COUNTED_BYTES = 16 << 20
+_ENCODED_BYTES = 4 << 20
 _COUNTED_TOGETHER = 2_000_000
 # Buckets of a slice, and what one slice can count at most.
 _SLICE = 1 << 16
 _MOST = (1 << 16) - 1
 _NO_WORD = 1
-_KEPT_LANGUAGES = 8
 _POSITIONS = np.random.default_rng(77).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
 
@@ -74,9 +74,27 @@ class Mined:
     phrases: DataFrame
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    """Words in order, ``\\n`` between pieces, empty strings where blanks meet."""
-    return text.lower().translate(_NORMAL).replace(b"\n", b" \n ").split(b" ")
+def _encoded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Distinct words of some texts, and the place of every word among them in order: ``\\n`` stands between pieces
+    and texts, empty ones where blanks meet."""
+    joined = b"\n".join(texts).lower().translate(_NORMAL).replace(b"\n", b" \n ")
+    words = pc.split_pattern(pa.array([joined], pa.large_binary()), pattern=b" ").values.dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy()
+
+
+def _by_language(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[dict[str, list[bytes]]]:
+    """Texts per language, about ``together`` bytes at a time; longer texts whole."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            held.setdefault(lang, []).append(text := text.as_py())
+            size += len(text) + 1
+            if size >= together:
+                yield held
+                held, size = {}, 0
+    if held:
+        yield held
 
 
 def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -99,36 +117,23 @@ def word_counts(rows: DataFrame, salt: int) -> DataFrame:
     """(id, lang, word, n): all words with their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-        held = 0
-
-        def emptied() -> Iterator[pa.RecordBatch]:
-            for lang, words in counts.items():
+        for held in _by_language(batches, _COUNTED_BYTES):
+            for lang, texts in held.items():
+                words, at = _encoded(texts)
+                counts = np.bincount(at, minlength=len(words))
                 seed = _seed(lang, salt)
+                kept = np.array([w not in (b"", b"\n") for w in words], bool)
+                words = [w for w in words if w not in (b"", b"\n")]
                 ids = np.fromiter((_word_id(w, seed) for w in words), np.uint64, len(words))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids.view(np.int64)),
                         pa.array([lang] * len(words), pa.string()),
                         pa.array([w.decode("utf-8", "replace") for w in words], pa.string()),
-                        pa.array(list(words.values()), pa.int64()),
+                        pa.array(counts[kept], pa.int64()),
                     ],
                     ["id", "lang", "word", "n"],
                 )
-            counts.clear()
-
-        for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                words = counts.setdefault(lang.as_py(), Counter())
-                held -= len(words)
-                words.update(_tokens(text.as_py()))
-                words.pop(b"", None)
-                words.pop(b"\n", None)
-                held += len(words)
-                if held >= _COUNTED_WORDS:
-                    yield from emptied()
-                    held = 0
-        yield from emptied()
 
     found = rows.mapInArrow(run, "id long, lang string, word string, n long")
     return found.groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
@@ -136,27 +141,17 @@ def word_counts(rows: DataFrame, salt: int) -> DataFrame:
 
 def _text_ids(rows: Iterator[pa.RecordBatch], salt: int) -> Iterator[np.ndarray]:
     """Texts as word numbers, 0 between pieces; short texts together, long ones whole."""
-    known: dict[str, Recent] = {}
-    parts: list[np.ndarray] = []
-    held = 0
-    for batch in rows:
-        for lang, text in zip(batch.column(0), batch.column(1)):
-            name = lang.as_py()
-            ids = known.get(name)
-            if ids is None:
-                if len(known) >= _KEPT_LANGUAGES:
-                    known.clear()
-                seed = _seed(name, salt)
-                ids = known[name] = Recent(lambda w, seed=seed: _word_id(w, seed), 40_000, 32)
-            ids[b""], ids[b"\n"] = _NO_WORD, 0
-            tokens = _tokens(text.as_py())
-            numbers = np.fromiter(map(ids.__getitem__, tokens), np.uint64, len(tokens))
+    for held in _by_language(rows, _ENCODED_BYTES):
+        parts: list[np.ndarray] = []
+        for lang, texts in held.items():
+            words, at = _encoded(texts)
+            seed = _seed(lang, salt)
+            ids = np.fromiter((_word_id(w, seed) for w in words), np.uint64, len(words))
+            for word, number in ((b"", _NO_WORD), (b"\n", 0)):
+                if word in words:
+                    ids[words.index(word)] = number
+            numbers = ids[at]
             parts += [numbers[numbers != _NO_WORD], np.zeros(1, np.uint64)]
-            held += len(parts[-2]) + 1
-            if held >= _BLOCK:
-                yield np.concatenate(parts)
-                parts, held = [], 0
-    if parts:
         yield np.concatenate(parts)
 
 
@@ -283,10 +278,14 @@ def _candidates(blocks: DataFrame, length: int, least: int) -> DataFrame:
         kept = shared.value
         for ids, _ in _blocks(batches):
             at = _safe_starts(ids, length)
-            bucket = (_phrase_hash(ids, at, length) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            at = at[(kept[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1]
-            phrases = np.unique(np.stack([ids[at + k] for k in range(length)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(phrases[:, k].view(np.int64).copy()) for k in range(length)], columns)
+            number = _phrase_hash(ids, at, length)
+            bucket = (number >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+            inside = (kept[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
+            # Equal phrases meet when sorted by their numbers; what two phrases of one number leave goes with the rest.
+            at = at[inside][np.argsort(number[inside])]
+            words = [ids[at + k] for k in range(length)]
+            new = run_starts(*words)
+            yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)) for w in words], columns)
 
     found = blocks.mapInArrow(run, ", ".join(f"{c} long" for c in columns)).distinct()
     found = stored(found, "phrases-candidates")

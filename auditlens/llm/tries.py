@@ -39,9 +39,9 @@ class PhraseTrie:
         state = np.zeros(len(symbols), np.int64)
         for level in range(symbols.shape[1]):
             column = symbols[:, level]
-            starts = _starts(state, column)
+            starts = run_starts(state, column)
             parents, follows = state[starts], column[starts]
-            firsts = _starts(parents)
+            firsts = run_starts(parents)
             sizes = np.diff(np.append(firsts, len(parents)))
             slots = np.empty(len(starts), np.int64)
             for g in np.flatnonzero(sizes > 1)[np.argsort(-sizes[sizes > 1], kind="stable")]:
@@ -96,7 +96,7 @@ class PhraseTrie:
         return slot[alive].astype(np.int64), at[alive], code[alive]
 
 
-def _starts(*columns: np.ndarray) -> np.ndarray:
+def run_starts(*columns: np.ndarray) -> np.ndarray:
     """Where a row differs from the one before it."""
     if not len(columns[0]):
         return np.empty(0, np.int64)
