@@ -57,6 +57,15 @@ def _cells(text: bytes, order: int) -> np.ndarray:
     return cells
 
 
+def _merged(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of distinct cells with counts as one; a stable sort merges two sorted runs in one go."""
+    both = np.concatenate([a, b])
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    starts = np.flatnonzero(np.diff(both, prepend=both[0] - 1))
+    return both[starts], np.add.reduceat(np.concatenate([n, m])[order], starts)
+
+
 def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct cells of some texts and their counts, holding a few million cells at a time."""
     cells, counts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
@@ -66,10 +75,8 @@ def _distinct(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
         size += len(held[-1])
         if size >= _CHUNK or i == len(texts) - 1:
             new, n = np.unique(np.concatenate(held), return_counts=True)
-            if len(cells):
-                new, at = np.unique(np.concatenate([cells, new]), return_inverse=True)
-                n = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(new)).astype(np.int64)
-            cells, counts, held, size = new, n, [], 0
+            cells, counts = _merged(cells, counts, new, n) if len(cells) else (new, n)
+            held, size = [], 0
     return cells, counts
 
 
@@ -113,11 +120,11 @@ def _asks(order: int):
 
 def trie_levels(cells: DataFrame, order: int) -> list[DataFrame]:
     """(cell, n) of every level, the empty context first, from the deepest: ``cells`` (cell, n) in any multiplicity."""
-    levels = [stored(cells.groupBy("cell").agg(F.sum("n").alias("n")), f"level-{order}")]
+    levels = [stored(cells.groupBy("cell").agg(F.sum("n").alias("n")), f"level-{order}", "zstd")]
     for k in range(order, 0, -1):
         suffix = F.pmod(F.col("cell"), F.lit(SYMBOLS**k)).alias("cell")
         seen = F.sum((F.col("n") > 0).cast("long")).alias("n")
-        levels.append(stored(levels[-1].groupBy(suffix).agg(seen), f"level-{k - 1}"))
+        levels.append(stored(levels[-1].groupBy(suffix).agg(seen), f"level-{k - 1}", "zstd"))
     return levels[::-1]
 
 
@@ -194,7 +201,8 @@ def _scores(order: int):
         for text in left["text"]:
             tokens = _tokens(text)
             hits = [logs[t] for t in tokens if t in logs]
-            held = _cells(text, order)
+            # Sorted, since neighbours are then found in neighbouring places of a long list.
+            held = np.sort(_cells(text, order))
             score = sum(
                 float(found[np.searchsorted(cells, held[i : i + _CHUNK])].sum()) for i in range(0, len(held), _CHUNK)
             )
@@ -230,7 +238,7 @@ def score_documents(
         body.cast("binary").alias("text"),
         F.pmod(F.xxhash64(F.lit(71), F.col(key), body), F.lit(blocks)).cast("int").alias("block"),
     )
-    asked = stored(rows.groupBy("block").applyInPandas(_asks(order), ASKED), "asked")
+    asked = stored(rows.groupBy("block").applyInPandas(_asks(order), ASKED), "asked", "zstd")
     words, cells = asked.where(F.col("cell") == _A_WORD), asked.where(F.col("cell") != _A_WORD)
     counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "words")
     size = counts.agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from auditlens import session
 from auditlens.llm import bpe, html_extract, ppm, quality
 from auditlens.llm.words import WordIds, shingles, word_ids
 
@@ -180,6 +182,29 @@ def test_scores(documents, mixed_texts, block_bytes):
             assert math.isclose(r.score, model.score((texts[i] or "").encode()), rel_tol=1e-9), i
 
 
+def test_ppm_cells_of_many_chunks_merge(monkeypatch):
+    monkeypatch.setattr(ppm, "_CHUNK", 50)
+    texts = [bytes(random.Random(i).choices(b"ab", k=30)) for i in range(40)]
+    cells, counts = ppm._distinct(texts, 5)
+    want = Counter(int(c) for t in texts for c in ppm._cells(t, 5))
+    assert dict(zip(cells.tolist(), counts.tolist(), strict=True)) == want and (np.diff(cells) > 0).all()
+    empty = np.empty(0, np.int64)
+    assert [x.tolist() for x in ppm._merged(cells[:3], counts[:3], empty, empty)] == [cells[:3].tolist(), counts[:3].tolist()]
+
+
+def test_ppm_stores_its_cells_in_the_smaller_coding(spark, documents, monkeypatch):
+    written = {}
+
+    def spy(df, name="rows", codec=None):
+        written[name] = (copy := session.stored(df, name, codec)).inputFiles()
+        return copy
+
+    monkeypatch.setattr(ppm, "stored", spy)
+    ppm.score_documents(documents(["some text"] * 20), ppm.held_out_rows(F.col("doc_id"))).collect()
+    assert all(f.endswith(".zstd.parquet") for name, files in written.items() if name != "words" for f in files)
+    assert {"asked", "level-0", f"level-{ppm.ORDER}"} < set(written)
+
+
 def test_scores_of_empty_and_untrained_tables(documents):
     held = ppm.held_out_rows(F.col("doc_id"))
     assert ppm.score_documents(documents([]), held).collect() == []
