@@ -55,8 +55,8 @@ TRIES_AT_ONCE = 1
 _ROW = 1 << 13
 _ROWS_AT_ONCE = 16
 # Bytes of the texts that are counted, or encoded, together.
-_COUNTED_BYTES = 16 << 20
-_ENCODED_BYTES = 4 << 20
+_COUNTED_BYTES = 4 << 20
+_ENCODED_BYTES = 1 << 20
 _COUNTED_TOGETHER = 2_000_000
 # Buckets of a slice, and what one slice can count at most.
 _SLICE = 1 << 16
@@ -95,6 +95,9 @@ def _by_language(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[d
                 held, size = {}, 0
     if held:
         yield held
+    held = {}
+    # Else the worker keeps what Arrow needed here through the passes that follow.
+    pa.default_memory_pool().release_unused()
 
 
 def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -347,14 +350,25 @@ def _counted(blocks: DataFrame, tries: list[tuple[int, bytes]], length: int, sha
             of = _shards_of(ids, length, shards)
             for (shard, trie), total in zip(held, counts):
                 total += np.bincount(trie.occurrences(ids, np.flatnonzero(of == shard))[1], minlength=len(total))
-        for (_, trie), total in zip(held, counts):
-            seen = np.flatnonzero(total)
-            words = trie.phrases[seen].view(np.int64)
-            arrays = [pa.array(words[:, k].copy()) for k in range(length)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total[seen])], [*columns, "f"])
-
-    found = blocks.mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", f long")
-    found = stored(found.groupBy(*columns).agg(F.sum("f").alias("f")).where(F.col("f") >= least), f"phrases-{length}")
+        for i, total in enumerate(counts):
+            seen = np.flatnonzero(total).astype(np.int32)
+            trie = np.full(len(seen), i, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(trie), pa.array(seen), pa.array(total[seen])], ["trie", "number", "f"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, PhraseTrie]] = shared.value
+        for batch in batches:
+            tries, numbers, counts = (column.to_numpy() for column in batch.columns)
+            for i in np.unique(tries):
+                mine = tries == i
+                words = held[i][1].phrases[numbers[mine]].view(np.int64)
+                arrays = [pa.array(words[:, k].copy()) for k in range(length)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts[mine])], [*columns, "f"])
+
+    # Phrases travel as their numbers in the trie, which all tasks share.
+    found = blocks.mapInArrow(run, "trie int, number int, f long").groupBy("trie", "number").agg(F.sum("f").alias("f"))
+    found = found.where(F.col("f") >= least).mapInArrow(spell, ", ".join(f"{c} long" for c in columns) + ", f long")
+    found = stored(found, f"phrases-{length}")
     shared.destroy()
     return found
 
