@@ -167,6 +167,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             ids = b"".join(part.column(0).to_pylist())
             marked = part.column(1).null_count == 0
             yield np.frombuffer(ids, np.uint64), np.frombuffer(b"".join(part.column(1).to_pylist()), bool) if marked else None
+    batch = part = None
+    # As in :func:`_by_language`.
+    pa.default_memory_pool().release_unused()
 
 
 _BLOCK_SCHEMA = "ids binary, mark binary"
