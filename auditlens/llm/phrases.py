@@ -7,13 +7,14 @@ For a length there are three passes over what is left of the texts:
 1. every candidate occurrence is hashed into one of ``BUCKETS`` buckets, and the buckets whose count reaches
    ``least`` become a bit map of fixed size: a phrase in any other bucket cannot be frequent (on more text more
    buckets are full, and more candidates are counted);
-2. the distinct phrases in those buckets are the candidates; they are dealt into shards by the bits of their words;
-3. the tries of a bounded number of shards at a time are broadcast, each task advances all positions of its texts
-   whose words belong to a shard through its trie symbol by symbol, counts the accepting states, and the counts of
-   all tasks are summed.
-
-More candidates mean more shards and, beyond ``TRIES_AT_ONCE``, more passes, never larger broadcasts; a position
-enters one trie in all passes together. Trimming looks up 64-bit numbers of the frequent phrases: should two phrases
+2. the distinct phrases in those buckets are the candidates;
+3. where ``TRIES_AT_ONCE`` tries hold them all, these are broadcast, each task advances all positions of its texts
+   through the trie of their shard symbol by symbol, counts the accepting states, and the counts of all tasks are summed.
+
+Where more tries are needed, step 2 and 3 are one pass still: the occurrences in those buckets are dealt by their words,
+equal ones of a block of text together, and each task builds the tries of its candidates and advances what it was dealt
+through them. So the passes over the texts do not grow with the candidates, and nothing of their number is broadcast.
+Trimming looks up 64-bit numbers of the frequent phrases: should two phrases
 share one, a stretch too many is kept and nothing is counted wrongly. Broadcasts and stored copies go as soon as the
 next step is stored, so that disk and memory do not grow with the passes. Words are 64-bit numbers, different per language; a collision among all words of the corpus is looked for, and the
 numbers drawn anew if there is one. Scores are exact: decimals of 38 digits.
@@ -35,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,8 @@ _ROWS_AT_ONCE = 16
 _COUNTED_BYTES = 4 << 20
 _ENCODED_BYTES = 1 << 20
 _COUNTED_TOGETHER = 2_000_000
+# Occurrences that a task is dealt at most, equal ones of a block of text counting once.
+_DEALT_TOGETHER = 1_500_000
 # Buckets of a slice, and what one slice can count at most.
 _SLICE = 1 << 16
 _MOST = (1 << 16) - 1
@@ -223,8 +227,9 @@ def _columns(length: int) -> list[str]:
     return [f"w{k}" for k in range(length)]
 
 
-def _bucket_bits(blocks: DataFrame, length: int, least: int) -> np.ndarray:
-    """A bit per bucket: set where candidate occurrences of ``length`` words reach ``least``. ``BUCKETS`` / 8 bytes.
+def _bucket_bits(blocks: DataFrame, length: int, least: int) -> tuple[np.ndarray, int]:
+    """A bit per bucket: set where candidate occurrences of ``length`` words reach ``least``, ``BUCKETS`` / 8 bytes; and
+    how many occurrences at least lie in these buckets.
 
     Counts travel as the filled buckets of each slice of the buckets, at most ``_MOST`` counted per task and bucket,
     and are added up slice by slice as they arrive."""
@@ -248,14 +253,19 @@ def _bucket_bits(blocks: DataFrame, length: int, least: int) -> np.ndarray:
                 total = totals.setdefault(number.as_py(), np.zeros(_SLICE, np.uint16))
                 at, n = np.frombuffer(at.as_py(), np.uint16), np.frombuffer(n.as_py(), np.uint16)
                 total[at] = np.minimum(total[at].astype(np.uint32) + n, _MOST)
-        filled = [np.packbits(t >= min(least, _MOST), bitorder="little").tobytes() for t in totals.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(filled, pa.binary())], ["slice", "bits"])
+        filled = [t >= min(least, _MOST) for t in totals.values()]
+        inside = [int(t[f].sum(dtype=np.int64)) for t, f in zip(totals.values(), filled)]
+        bits = [np.packbits(f, bitorder="little").tobytes() for f in filled]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(totals), pa.int32()), pa.array(bits, pa.binary()), pa.array(inside, pa.int64())], ["slice", "bits", "n"]
+        )
 
     counts = blocks.mapInArrow(run, "slice int, at binary, n binary")
-    bits = np.zeros(BUCKETS >> 3, np.uint8)
-    for row in counts.repartition("slice").mapInArrow(add, "slice int, bits binary").collect():
+    bits, inside = np.zeros(BUCKETS >> 3, np.uint8), 0
+    for row in counts.repartition("slice").mapInArrow(add, "slice int, bits binary, n long").collect():
         bits[row.slice * _SLICE >> 3 : (row.slice + 1) * _SLICE >> 3] = np.frombuffer(row.bits, np.uint8)
-    return bits
+        inside += row.n
+    return bits, inside
 
 
 def _slices(buckets: np.ndarray) -> pa.RecordBatch:
@@ -275,13 +285,12 @@ def _slices(buckets: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _candidates(blocks: DataFrame, length: int, least: int) -> DataFrame:
-    """The distinct phrases (w0, w1, ...) of ``length`` words in buckets whose count reaches ``least``, stored."""
-    shared = blocks.sparkSession.sparkContext.broadcast(_bucket_bits(blocks, length, least))
+def _occurrences(blocks: DataFrame, length: int, bits: Broadcast) -> DataFrame:
+    """(w0, w1, ..., n): the phrases of ``length`` words in the buckets whose bit is set, once per block of text."""
     columns = _columns(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = shared.value
+        kept = bits.value
         for ids, _ in _blocks(batches):
             at = _safe_starts(ids, length)
             number = _phrase_hash(ids, at, length)
@@ -291,12 +300,57 @@ def _candidates(blocks: DataFrame, length: int, least: int) -> DataFrame:
             at = at[inside][np.argsort(number[inside])]
             words = [ids[at + k] for k in range(length)]
             new = run_starts(*words)
-            yield pa.RecordBatch.from_arrays([pa.array(w[new].view(np.int64)) for w in words], columns)
-
-    found = blocks.mapInArrow(run, ", ".join(f"{c} long" for c in columns)).distinct()
-    found = stored(found, "phrases-candidates")
-    shared.destroy()
-    return found
+            n = np.diff(np.append(new, len(at)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(w[new].view(np.int64)) for w in words), pa.array(n, pa.int64())], [*columns, "n"])
+
+    return blocks.mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", n long")
+
+
+def _frequent(blocks: DataFrame, length: int, least: int) -> DataFrame | None:
+    """(w0, w1, ..., f): the phrases of ``length`` words that occur ``least`` times, stored; None without a candidate."""
+    found, inside = _bucket_bits(blocks, length, least)
+    bits = blocks.sparkSession.sparkContext.broadcast(found)
+    occurrences = _occurrences(blocks, length, bits)
+    if _shards(inside, length) > TRIES_AT_ONCE:
+        frequent = stored(_dealt(occurrences, -(-inside // _DEALT_TOGETHER), length, least), f"phrases-{length}")
+        bits.destroy()
+        return frequent
+    candidates = stored(occurrences.select(*_columns(length)).distinct(), "phrases-candidates")
+    bits.destroy()
+    n = candidates.count()
+    shards = _shards(n, length)
+    counts = [_counted(blocks, tries, length, shards, least) for tries in _tries(candidates, length, shards)] if n else []
+    discard(candidates)
+    return reduce(DataFrame.unionByName, counts) if n else None
+
+
+def _dealt(occurrences: DataFrame, parts: int, length: int, least: int) -> DataFrame:
+    """(w0, w1, ..., f): tries of what a task is dealt count it; a phrase is dealt to one task."""
+    columns = _columns(length)
+    most = max(1, min(PHRASES_PER_TRIE, MOST_WORDS // length))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        words, n = _matrix(table, length), table.column("n").to_numpy()
+        order = np.lexsort(words.T[::-1])
+        words, n = words[order], n[order]
+        starts = run_starts(*words.T)
+        for first in range(0, len(starts), most):
+            trie = PhraseTrie(words[starts[first : first + most]])
+            rows = slice(starts[first], starts[first + most] if first + most < len(starts) else len(words))
+            text = np.zeros((rows.stop - rows.start, length + 1), np.uint64)
+            text[:, :length] = words[rows]
+            row, number = trie.occurrences(text.ravel(), np.arange(len(text)) * (length + 1))
+            total = np.zeros(len(trie.phrases), np.int64)
+            np.add.at(total, number, n[rows][row // (length + 1)])
+            kept = total >= least
+            spelled = trie.phrases[kept].view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(spelled[:, k].copy()) for k in range(length)), pa.array(total[kept])], [*columns, "f"])
+
+    return occurrences.repartition(parts, *columns).mapInArrow(count, ", ".join(f"{c} long" for c in columns) + ", f long")
 
 
 def _matrix(table: pa.Table, length: int) -> np.ndarray:
@@ -466,14 +520,9 @@ def mine_phrases(docs: DataFrame, longest: int = 3, least: int = 10, text: str =
     blocks = _trimmed_blocks(rows, read, _markers(words, words.count(), _among), 1)
     levels: list[DataFrame] = []
     for length in range(2, longest + 1):
-        candidates = _candidates(blocks, length, least)
-        n = candidates.count()
-        if not n:
+        frequent = _frequent(blocks, length, least)
+        if frequent is None:
             break
-        shards = _shards(n, length)
-        counts = [_counted(blocks, tries, length, shards, least) for tries in _tries(candidates, length, shards)]
-        discard(candidates)
-        frequent = reduce(DataFrame.unionByName, counts)
         levels.append(frequent.select(F.array(*_columns(length)).alias("w"), "f"))
         if length < longest:
             before = blocks

@@ -234,6 +234,19 @@ def test_phrase_passes_leave_nothing_behind(spark, monkeypatch, tmp_path):
     assert len(made) == len(gone) > 8
 
 
+def test_more_tries_make_no_more_passes(spark, monkeypatch):
+    """Candidates of many tries are counted where they are dealt; the texts are not read again for each trie."""
+    monkeypatch.setattr(phrases, "PHRASES_PER_TRIE", 5)
+    monkeypatch.setattr(phrases, "_DEALT_TOGETHER", 400)
+    passes, plain = [], phrases._counted
+    monkeypatch.setattr(phrases, "_counted", lambda *a: passes.append(1) or plain(*a))
+    rows = phrase_rows(5)
+    frame = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    got = phrases.collocations(frame, longest=3, least=6, top=1000)
+    assert sorted(map(tuple, got.collect())) == mined(rows, 3, 6, 1000)
+    assert len(passes) <= 2
+
+
 @pytest.mark.parametrize("length", [2, 3])
 def test_each_phrase_lies_in_the_shard_that_texts_look_for(spark, length):
     ids = np.random.default_rng(length).integers(2, 1 << 64, 500 + length, dtype=np.uint64)
