@@ -125,3 +125,19 @@ def test_grid_search(frame):
     got = detection.grid_search(frame(separable(60), CMD), depths=(1, 3), leaves=(1,), folds=2, num_features=64).collect()
     assert sorted((r["max_depth"], r["min_leaf"]) for r in got) == [(1, 1), (3, 1)]
     assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_learning_curve_sends_a_matrix_per_bucket_of_terms(spark, monkeypatch):
+    """What blocks send grows with buckets, not a row of numbers per block and term."""
+    from auditlens.plans import curves
+
+    rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(1, 40)), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "cmd_id long, command string, label int")
+    sent, plain = {}, curves.stored
+    monkeypatch.setattr(curves, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(curves, "stored", lambda df, name: sent.setdefault(name, plain(df, name)))
+    curve = curves.bayes_learning_curve(df, splits=2)
+    blocks = 1 + sum(len(r[1]) for r in rows) // 2000
+    counts = {name: kept.count() for name, kept in sent.items() if name != "curve-rows"}
+    assert counts and all(n <= (blocks + 1) ** 2 for n in counts.values())
+    assert curve.count() == 10
