@@ -68,6 +68,24 @@ def test_weights_by_blocks(frame, block_chars):
     assert sorted((str(r.cmd_id), r.label, r.term, round(r.weight, 9)) for r in got.collect()) == weights(ROWS, idf)
 
 
+def test_vectors_by_blocks(frame, block_chars):
+    df = frame([*ROWS, (2, "beta beta", 1)], SCHEMA)
+    model = tfidf.tfidf_fit(df.where("coalesce(cmd_id, 0) < 5"))
+    idf = {r.term: r.idf for r in model.terms.collect()}
+    got = tfidf.tfidf_vectors(df, model, keep=("label",))
+    assert got.columns == ["cmd_id", "label", "vector"]
+    if block_chars == 8:
+        shuffled_rows_are_asked_once(got)
+    want = {}
+    for i, text, label in [*ROWS, (2, "beta beta", 1)]:
+        counts = Counter(re.findall(r"\w{2,}", (text or "").lower()))
+        want.setdefault((str(i), label), []).extend((t, n * idf[t]) for t, n in counts.items() if t in idf)
+    for entries in want.values():
+        norm = math.sqrt(sum(x * x for _, x in entries))
+        entries[:] = [(t, round(x / norm, 9)) for t, x in sorted(entries)]
+    assert {(str(r.cmd_id), r.label): [(e.term, round(e.weight, 9)) for e in r.vector] for r in got.collect()} == want
+
+
 def test_scores_by_blocks(frame, block_chars):
     df = frame(ROWS, SCHEMA)
     terms = tfidf.tfidf_fit(df.where("coalesce(cmd_id, 0) < 5")).terms.selectExpr("term", "idf", "length(term) * idf as size")
